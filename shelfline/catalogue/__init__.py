@@ -3,4 +3,4 @@
 Importing this package registers all entries in :mod:`shelfline.registry`.
 """
 
-from . import overview  # noqa: F401
+from . import marts, overview  # noqa: F401

@@ -54,7 +54,8 @@ def bare_paid_rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def unit_activity(roles: Roles, month: str | None = None) -> DataFrame:
     """Per inventory unit: ``unit_rows`` (joined rental×payment rows, 0 if never
-    rented) and ``unit_paid`` (null if no payment).
+    rented), ``unit_rentals`` (rental rows, no payment fan-out) and ``unit_paid``
+    (null if no payment).
 
     This is ``inventory ⟕ rental ⟕ payment`` aggregated to the unit before any
     dimension join: the month predicate sits on the rental side (the ON clause),
@@ -62,7 +63,8 @@ def unit_activity(roles: Roles, month: str | None = None) -> DataFrame:
     """
     r = Filters(None, month).apply_month(roles.rental).select("rental_id", "inventory_id")
     per_unit = (with_payments(r, roles).groupBy("inventory_id")
-                .agg(F.sum("rows").alias("unit_rows"), F.sum("paid").alias("unit_paid")))
+                .agg(F.sum("rows").alias("unit_rows"), F.count(F.lit(1)).alias("unit_rentals"),
+                     F.sum("paid").alias("unit_paid")))
     return per_unit
 
 
@@ -71,5 +73,6 @@ def units_with_activity(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     act = unit_activity(roles, f.month)
     return (units(roles, f).join(act, "inventory_id", "left")
             .withColumn("unit_rows", F.coalesce(F.col("unit_rows"), F.lit(0)))
+            .withColumn("unit_rentals", F.coalesce(F.col("unit_rentals"), F.lit(0)))
             # rows the dimension-driven left chain yields for this unit: at least one
             .withColumn("chain_rows", F.greatest(F.col("unit_rows"), F.lit(1))))

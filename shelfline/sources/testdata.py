@@ -36,7 +36,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 MONEY = "DECIMAL(12,2)"
 RATE = "DECIMAL(4,2)"
-AMOUNT = "DECIMAL(20,6)"
+AMOUNT = "DECIMAL(18,6)"  # long-backed (compact) decimal: same values as (20,6), no BigDecimal per row
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

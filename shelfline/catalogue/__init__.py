@@ -3,4 +3,4 @@
 Importing this package registers all entries in :mod:`shelfline.registry`.
 """
 
-from . import extra, forecasting, marts, overview, reports, text  # noqa: F401
+from . import extra, forecasting, io, marts, overview, reports, text  # noqa: F401

@@ -169,3 +169,11 @@ def q_fc_arima_store(roles):
     out = md.arima(prepare(monthly_series(roles, "store")), 3, with_info=True)
     return out.groupBy("series_id").agg(F.first("order").alias("order"), F.first("aic").alias("aic"),
                                         F.count(F.lit(1)).alias("rows"))
+
+
+@register("forecast_arima_orders_customer", None)
+def q_fc_arima_customer(roles):
+    """F14 over one series per customer: chosen order and AIC per series."""
+    out = md.arima(prepare(monthly_series(roles, "customer")), 3, with_info=True)
+    return out.groupBy("series_id").agg(F.first("order").alias("order"), F.first("aic").alias("aic"),
+                                        F.count(F.lit(1)).alias("rows"))

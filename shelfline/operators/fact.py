@@ -32,6 +32,10 @@ def units(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """rental ⋈ inventory with the store and month predicates applied."""
+    if roles.rental_paid is not None:
+        cols = ["rental_id", "rental_date", "return_date", "inventory_id", "customer_id", "staff_id",
+                "film_id", "store_id"]
+        return f.apply_store(f.apply_month(roles.rental_paid.select(*cols)))
     r = f.apply_month(roles.rental)
     return r.join(units(roles, f), "inventory_id")
 
@@ -44,11 +48,15 @@ def with_payments(r: DataFrame, roles: Roles) -> DataFrame:
 
 
 def paid_rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
+    if roles.rental_paid is not None:
+        return f.apply_store(f.apply_month(roles.rental_paid))
     return with_payments(rentals(roles, f), roles)
 
 
 def bare_paid_rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """rental ⟕ payment without the inventory join (month filter only)."""
+    if roles.rental_paid is not None and roles.rental_paid_complete:
+        return f.apply_month(roles.rental_paid)
     return with_payments(f.apply_month(roles.rental), roles)
 
 
@@ -61,8 +69,12 @@ def unit_activity(roles: Roles, month: str | None = None) -> DataFrame:
     dimension join: the month predicate sits on the rental side (the ON clause),
     so units without a rental in the month survive with zero rows.
     """
-    r = Filters(None, month).apply_month(roles.rental).select("rental_id", "inventory_id")
-    per_unit = (with_payments(r, roles).groupBy("inventory_id")
+    if roles.rental_paid is not None:
+        paid = Filters(None, month).apply_month(roles.rental_paid).select("inventory_id", "rows", "paid")
+    else:
+        r = Filters(None, month).apply_month(roles.rental).select("rental_id", "inventory_id")
+        paid = with_payments(r, roles)
+    per_unit = (paid.groupBy("inventory_id")
                 .agg(F.sum("rows").alias("unit_rows"), F.count(F.lit(1)).alias("unit_rentals"),
                      F.sum("paid").alias("unit_paid")))
     return per_unit

@@ -48,7 +48,9 @@ class Result:
 def register_views(roles: Roles) -> None:
     """Expose every role as a temporary view named after it."""
     for name in Roles.__dataclass_fields__:
-        getattr(roles, name).createOrReplaceTempView(name)
+        df = getattr(roles, name)
+        if isinstance(df, DataFrame):
+            df.createOrReplaceTempView(name)
 
 
 def run_select(spark: SparkSession, sql: str, max_rows: int = 500, block_pg: bool = True,

@@ -23,6 +23,14 @@ Column contracts (all lazily planned DataFrames):
 
 ``rental_id`` may be any equality-comparable type (a struct in the test-data
 provider, to stay overflow-free at large scale).
+
+Optional, for providers that can derive it more cheaply than the generic plan:
+
+* ``rental_paid`` rental ⋈ inventory ⟕ payment already reduced to one row per
+  rental: the rental columns plus film_id, store_id, ``paid`` (sum of its
+  payments, null if none) and ``rows`` (rows the payment join produces,
+  greatest(#payments, 1)).  ``rental_paid_complete`` states that every rental
+  has its inventory unit, so the frame also stands for rental ⟕ payment.
 """
 
 from __future__ import annotations
@@ -48,3 +56,5 @@ class Roles:
     stores: DataFrame
     activity: DataFrame
     conversations: DataFrame
+    rental_paid: DataFrame | None = None
+    rental_paid_complete: bool = False

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .roles import Roles
@@ -112,8 +112,37 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
     activity = t["events"].select(F.col("ts"), F.col("user_id").alias("customer_id"),
                                   F.col("value").cast(MONEY).alias("amount"))
 
+    # rental_paid: payments and the inventory unit of a rental come from its own
+    # lineitem row, so the fact is enriched without a payment union/aggregate/join
+    # and without the distinct-units join.  A window over rental_id keeps the
+    # join semantics exact even when two lineitem rows share a rental_id.
+    price_amt = F.when(li["l_returnflag"] != "R",
+                       (li["l_extendedprice"].cast(MONEY) * (F.lit(1) - li["l_discount"].cast(RATE))).cast(AMOUNT))
+    tax_amt = F.when((li["l_tax"] > 0) & (li["l_linestatus"] == "F"),
+                     (li["l_extendedprice"].cast(MONEY) * li["l_tax"].cast(RATE)).cast(AMOUNT))
+    row_paid = F.coalesce(price_amt, F.lit(0)) + F.coalesce(tax_amt, F.lit(0))
+    row_npay = price_amt.isNotNull().cast("int") + tax_amt.isNotNull().cast("int")
+    # Payment totals per rental key from lineitem alone (one shuffle on the key),
+    # then the order and supplier lookups on the already-partitioned rows.
+    lines = li.select((li["l_orderkey"] * F.lit(10) + li["l_linenumber"]).alias("_lk"),
+                      _inventory_id(li).alias("inventory_id"), li["l_orderkey"], li["l_suppkey"],
+                      li["l_partkey"].alias("film_id"), li["l_shipdate"].alias("return_date"),
+                      row_paid.alias("_paid"), row_npay.alias("_npay"))
+    # partition on the two long key parts: sorting longs is much cheaper than a struct
+    same = Window.partitionBy("_lk", "inventory_id")
+    n_pay = F.sum("_npay").over(same)
+    keyed = lines.select("_lk", "inventory_id", "l_orderkey", "l_suppkey", "film_id", "return_date",
+                         F.when(n_pay > 0, F.sum("_paid").over(same)).alias("paid"),
+                         F.greatest(n_pay, F.lit(1)).cast("bigint").alias("rows"))
+    rental_paid = (keyed.join(orders, keyed["l_orderkey"] == orders["o_orderkey"])
+                   .join(supplier_store, keyed["l_suppkey"] == supplier_store["s_suppkey"])
+                   .select(F.struct(F.col("_lk").alias("line_key"), F.col("inventory_id")).alias("rental_id"),
+                           orders["o_orderdate"].alias("rental_date"), "return_date", "inventory_id",
+                           orders["o_custkey"].alias("customer_id"), orders["o_orderpriority"].alias("staff_id"),
+                           "film_id", F.col("store_id").cast("int").alias("store_id"), "paid", "rows"))
+
     return Roles(rental=rental, payment=payment, inventory=inventory, film=film,
                  film_category=film_category, category=category, film_actor=film_actor,
                  actor=actor, customer=customer, customer_country=customer_country,
                  staff=staff, stores=stores, activity=activity,
-                 conversations=t["conversations"])
+                 conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True)

@@ -16,7 +16,8 @@ moving average its rounded clipped value.
 * moving average (F13): native array expressions, no UDF.
 * trees (F10-F12): pooled over the panel on min-max scaled lags with
   ``pyspark.ml`` (random forest, decision tree, gradient-boosted trees).
-* ARIMA (F14): ``applyInPandas`` per series, Hannan-Rissanen estimation.
+* ARIMA (F14): one row of values per series, batches of series through numpy
+  in ``mapInPandas``; Hannan-Rissanen estimation.
 """
 
 from __future__ import annotations
@@ -182,28 +183,34 @@ def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_
 
 # ----------------------------------------------------------------------------- ARIMA
 def _ols(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(x, y, rcond=None)[0]
+    """Least squares for a handful of regressors: normal equations, lstsq if singular."""
+    xtx = x.T @ x
+    try:
+        return np.linalg.solve(xtx, x.T @ y)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(x, y, rcond=None)[0]
 
 
 def _stable(coefs: np.ndarray) -> bool:
     """Roots of 1 - c1 z - c2 z^2 ... outside the unit circle (stationary / invertible)."""
     if len(coefs) == 0:
         return True
+    if len(coefs) == 1:
+        return abs(coefs[0]) < 1.0 - 1e-6
+    if len(coefs) == 2:  # stationarity triangle of an order-2 polynomial
+        c1, c2 = coefs
+        return bool(c1 + c2 < 1.0 - 1e-6 and c2 - c1 < 1.0 - 1e-6 and abs(c2) < 1.0 - 1e-6)
     roots = np.roots(np.r_[-coefs[::-1], 1.0])
     return bool(np.all(np.abs(roots) > 1.0 + 1e-6))
 
 
-def _hr_fit(y: np.ndarray, p: int, q: int, max_order: int = 2):
-    """Hannan-Rissanen ARMA(p, q) on the first differences, no constant.
+MAX_ORDER = 2
 
-    Stage 1 estimates innovations with a long AR(m) by least squares; stage 2
-    regresses z_t on p lagged differences and q lagged innovations.  All orders
-    are estimated on the same sample (from index m + max_order), so their AICs
-    compare.  Returns (phi, theta, resid, aic) or None when the sample is too
-    short or the fit is not stationary/invertible."""
-    z = np.diff(y)
+
+def _stage1(z: np.ndarray):
+    """Long-AR innovations shared by every (p, q) of one series (Hannan-Rissanen stage 1)."""
     nz = len(z)
-    m = max(2 * max_order, 2)
+    m = max(2 * MAX_ORDER, 2)
     if nz - m < m + 1:
         m = max(1, (nz - 1) // 2)
     if m < 1 or nz - m < m + 1:
@@ -212,14 +219,21 @@ def _hr_fit(y: np.ndarray, p: int, q: int, max_order: int = 2):
     a = _ols(xl, z[m:])
     e = np.zeros(nz)
     e[m:] = z[m:] - xl @ a
-    r = m + max_order
+    return e, m
+
+
+def _stage2(z: np.ndarray, e: np.ndarray, m: int, p: int, q: int):
+    """ARMA(p, q) on differences z with innovations e, no constant; every order is
+    estimated on the same sample (from m + MAX_ORDER) so AICs compare.
+    Returns (phi, theta, resid, aic) or None (too short, or not stationary/invertible)."""
+    nz = len(z)
+    r = m + MAX_ORDER
     nobs = nz - r
     if nobs < p + q + 2:
         return None
-    cols = [z[r - j - 1:nz - j - 1] for j in range(p)] + [e[r - j - 1:nz - j - 1] for j in range(q)]
     target = z[r:]
-    if cols:
-        x = np.column_stack(cols)
+    if p + q:
+        x = np.column_stack([z[r - j - 1:nz - j - 1] for j in range(p)] + [e[r - j - 1:nz - j - 1] for j in range(q)])
         beta = _ols(x, target)
         resid = target - x @ beta
     else:
@@ -231,13 +245,18 @@ def _hr_fit(y: np.ndarray, p: int, q: int, max_order: int = 2):
     sigma2 = float(np.mean(resid ** 2))
     if not np.isfinite(sigma2) or sigma2 <= 0:
         return None
-    llf = -0.5 * nobs * (np.log(2 * np.pi * sigma2) + 1)
-    aic = -2 * llf + 2 * (p + q + 1)
+    aic = nobs * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + 1)
     full_e = e.copy()
     full_e[r:] = resid
     return phi, theta, full_e, aic
 
 
+def _hr_fit(y: np.ndarray, p: int, q: int):
+    z = np.diff(y)
+    s1 = _stage1(z)
+    return None if s1 is None else _stage2(z, s1[0], s1[1], p, q)
+
+
 def _hr_forecast(y: np.ndarray, p: int, q: int, steps: int):
     fit = _hr_fit(y, p, q)
     if fit is None:
@@ -256,41 +275,53 @@ def _hr_forecast(y: np.ndarray, p: int, q: int, steps: int):
     return np.array(out)
 
 
-def _arima_group(horizon: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = pdf["y"].to_numpy(float)
-        sid = pdf["series_id"].iloc[0]
-        lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
-        n_test = int(pdf["m"].iloc[0] - pdf["split"].iloc[0])
-        best_aic, best = np.inf, (1, 1)
-        for p in range(3):
-            for q in range(3):
-                try:
-                    f = _hr_fit(y, p, q)
-                except Exception:  # noqa: BLE001 - an order that cannot be fitted is skipped
-                    f = None
+def _arima_series(sid, y, lo, hi, n_test, horizon, rows):
+    """Order search on the full series, hold-out refit, full-data forecast."""
+    best_aic, best = np.inf, (1, 1)
+    z = np.diff(y)
+    s1 = _stage1(z)
+    if s1 is not None:
+        for p in range(MAX_ORDER + 1):
+            for q in range(MAX_ORDER + 1):
+                f = _stage2(z, s1[0], s1[1], p, q)
                 if f is not None and f[3] < best_aic:
                     best_aic, best = f[3], (p, q)
-        rows = []
-        if n_test > 0 and len(y) > n_test + 2:
-            fc = _hr_forecast(y[:-n_test], best[0], best[1], n_test)
-            if fc is not None:
-                fc = np.clip(fc, lo, hi)
-                for s in range(n_test):
-                    rows.append((sid, "arima", "test", s, float(y[len(y) - n_test + s]), float(fc[s])))
-        fc = _hr_forecast(y, best[0], best[1], horizon)
-        if fc is not None and np.all(np.isfinite(fc)):
-            for s in range(horizon):
-                rows.append((sid, "arima", "future", s + 1, None, round(float(np.clip(fc[s], lo, hi)), 2)))
-        out = pd.DataFrame(rows, columns=["series_id", "model", "kind", "step", "actual", "yhat"])
-        out["order"] = f"({best[0]}, 1, {best[1]})"
-        out["aic"] = round(float(best_aic), 2) if np.isfinite(best_aic) else None
-        return out
+    order = f"({best[0]}, 1, {best[1]})"
+    aic = round(float(best_aic), 2) if np.isfinite(best_aic) else None
+    if n_test > 0 and len(y) > n_test + 2:
+        fc = _hr_forecast(y[:-n_test], best[0], best[1], n_test)
+        if fc is not None:
+            fc = np.clip(fc, lo, hi)
+            for s in range(n_test):
+                rows.append((sid, "arima", "test", s, float(y[len(y) - n_test + s]), float(fc[s]), order, aic))
+    fc = _hr_forecast(y, best[0], best[1], horizon)
+    if fc is not None and np.all(np.isfinite(fc)):
+        for s in range(horizon):
+            rows.append((sid, "arima", "future", s + 1, None, round(float(np.clip(fc[s], lo, hi)), 2), order, aic))
+
+
+def _arima_batches(horizon: int):
+    cols = ["series_id", "model", "kind", "step", "actual", "yhat", "order", "aic"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for sid, ys, lo, hi, n_test in zip(pdf["series_id"], pdf["ys"], pdf["lo"], pdf["hi"], pdf["n_test"]):
+                try:
+                    _arima_series(sid, np.asarray(ys, dtype=float), float(lo), float(hi), int(n_test), horizon, rows)
+                except (np.linalg.LinAlgError, ValueError):
+                    continue  # a series that cannot be fitted gets no ARIMA rows
+            yield pd.DataFrame(rows, columns=cols)
     return run
 
 
 def arima(panel: DataFrame, horizon: int, with_info: bool = False) -> DataFrame:
-    cols = panel.select("series_id", "t", "y", "lo", "hi", "m", "split")
-    res = cols.groupBy("series_id").applyInPandas(_arima_group(horizon), PRED_SCHEMA + ", order string, aic double")
+    """F14 per series.  Each series becomes one row holding its (bounded) monthly
+    values; Arrow batches of many series go through numpy in ``mapInPandas``."""
+    per = panel.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("t", "y"))).alias("_pts"),
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        (F.first("m") - F.first("split")).alias("n_test"))
+    per = per.select("series_id", F.transform("_pts", lambda x: x.getField("y")).alias("ys"), "lo", "hi", "n_test")
+    res = per.mapInPandas(_arima_batches(horizon), PRED_SCHEMA + ", order string, aic double")
     return res if with_info else res.drop("order", "aic")

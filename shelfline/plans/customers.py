@@ -87,8 +87,10 @@ def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     edges = e.select(F.struct(F.col("q0").alias("e1"), F.col("q1").alias("e2"),
                               F.col("vmin").cast("double").alias("lo"),
                               F.col("vmax").cast("double").alias("hi"))).scalar()
-    e1, e2 = edges.getField("e1"), edges.getField("e2")
-    ok = (edges.getField("lo") < e1) & (e1 < e2) & (e2 < edges.getField("hi"))
+    # attach the one-row edges once (a single scalar subquery), then refer to its fields
+    cv = cv.withColumn("_e", edges)
+    e1, e2 = F.col("_e.e1"), F.col("_e.e2")
+    ok = (F.col("_e.lo") < e1) & (e1 < e2) & (e2 < F.col("_e.hi"))
     rev = F.col("revenue").cast("double")
     tier_ord = F.when(~ok, F.lit(1)).when(rev <= e1, F.lit(0)).when(rev <= e2, F.lit(1)).otherwise(F.lit(2))
     tiers = F.array(*[F.lit(t) for t in TIERS])

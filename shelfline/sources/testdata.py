@@ -29,6 +29,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import star
 from .roles import Roles
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -52,7 +53,31 @@ def _rental_id(l: DataFrame):
                     _inventory_id(l).alias("inventory_id"))
 
 
-def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
+STAR_INPUTS = ("lineitem", "orders", "supplier", "nation")
+
+
+_CACHE: dict = {}
+
+
+def load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Roles:
+    """Role views over ``sf_dir``, planned once per session and input version.
+
+    The bundle is a set of lazy DataFrames; reusing it across marts only saves
+    the file listing and footer reads of planning it again."""
+    sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in TABLES])
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), sig, materialized)
+    if key not in _CACHE:
+        _CACHE[key] = _load_roles(spark, sf_dir, materialized)
+    return _CACHE[key]
+
+
+def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Roles:
+    """Role views over the parquet tables in ``sf_dir``.
+
+    With ``materialized`` the enriched rental fact and the inventory dimension
+    are written once per input version to the shared checkpoint folder (see
+    :mod:`.star`) and every mart scans them; otherwise they are planned from the
+    raw tables on every use."""
     t = {name: read_table(spark, sf_dir, name) for name in TABLES}
     li, orders, supplier, nation = t["lineitem"], t["orders"], t["supplier"], t["nation"]
 
@@ -141,6 +166,11 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
                            orders["o_custkey"].alias("customer_id"), orders["o_orderpriority"].alias("staff_id"),
                            "film_id", F.col("store_id").cast("int").alias("store_id"), "paid", "rows"))
 
+    if materialized:
+        sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in STAR_INPUTS])
+        rental_paid = star.materialize(spark, "rental_paid", rental_paid, sig, sort_col="rental_date")
+        inventory = star.materialize(spark, "inventory", inventory, sig)
+
     return Roles(rental=rental, payment=payment, inventory=inventory, film=film,
                  film_category=film_category, category=category, film_actor=film_actor,
                  actor=actor, customer=customer, customer_country=customer_country,

@@ -196,13 +196,33 @@ def user_turns(conv: DataFrame) -> DataFrame:
     return conv.where(F.col("role") == "user")
 
 
+def _routed(conv: DataFrame) -> DataFrame:
+    """User turns with the rule results as columns, each computed once; the
+    route is then a short CASE over those columns."""
+    t = F.col("text")
+    base = user_turns(conv).select("conv_id", "turn", "text", lowered(t).alias("_p"))
+    p = F.col("_p")
+    step = base.select(
+        "*", answer_key(p).alias("answer_key"), branch(p).alias("_branch"),
+        chart_dimension(p).alias("_chart_dim"), dashboard_keyword(p).alias("dashboard_keyword"),
+        p.rlike(boundaries(R.REVERT_RE)).alias("_revert"),
+        F.trim(p).rlike(boundaries(R.FORECAST_NAV_RE)).alias("_fnav"),
+        (p.rlike(boundaries(R.CHART_VERB_RE)) & p.rlike(boundaries(R.CHART_NOUN_RE))).alias("_chart_cmd"))
+    route_col = (F.when(F.col("_revert"), F.lit("revert"))
+                 .when(F.col("answer_key").isNotNull() | F.col("_fnav"), F.lit("instant"))
+                 .when(F.col("_chart_cmd") & F.col("_chart_dim").isNotNull(), F.lit("chart"))
+                 .when(F.col("_branch").isNotNull(), F.lit("direct_query"))
+                 .when(~F.col("dashboard_keyword"), F.lit("off_topic"))
+                 .otherwise(F.lit("agent")))
+    return step.withColumn("route", route_col)
+
+
 def intents(conv: DataFrame) -> DataFrame:
     """Per user turn: T1, T2, T3, T4, T5 and the T10 route."""
-    t = F.col("text")
-    return user_turns(conv).select(
-        "conv_id", "turn", on_topic(t).alias("on_topic"), edit_intent(t).alias("edit_intent"),
-        F.array_join(topic_tags(t), "|").alias("topics"), dashboard_keyword(t).alias("dashboard_keyword"),
-        answer_key(t).alias("answer_key"), route(t).alias("route"))
+    r = _routed(conv)
+    p = F.col("_p")
+    return r.select("conv_id", "turn", on_topic(p).alias("on_topic"), edit_intent(p).alias("edit_intent"),
+                    F.array_join(topic_tags(p), "|").alias("topics"), "dashboard_keyword", "answer_key", "route")
 
 
 def topic_counts(conv: DataFrame) -> DataFrame:
@@ -213,8 +233,7 @@ def topic_counts(conv: DataFrame) -> DataFrame:
 
 def route_counts(conv: DataFrame) -> DataFrame:
     """Number of user turns per route."""
-    return (user_turns(conv).groupBy(route(F.col("text")).alias("route"))
-            .agg(F.count(F.lit(1)).alias("turns")))
+    return _routed(conv).groupBy("route").agg(F.count(F.lit(1)).alias("turns"))
 
 
 def parameters(conv: DataFrame) -> DataFrame:

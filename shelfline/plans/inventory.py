@@ -21,6 +21,8 @@ from ..sources.roles import Roles
 
 def film_categories(roles: Roles, inner: bool = True) -> DataFrame:
     """film_id -> category name (inner bridge, or left when no category filter)."""
+    if inner and roles.film_category_named is not None:
+        return roles.film_category_named
     how = "inner" if inner else "left"
     return roles.film_category.join(roles.category, "category_id", how).select("film_id", "name")
 

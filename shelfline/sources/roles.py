@@ -31,6 +31,7 @@ Optional, for providers that can derive it more cheaply than the generic plan:
   payments, null if none) and ``rows`` (rows the payment join produces,
   greatest(#payments, 1)).  ``rental_paid_complete`` states that every rental
   has its inventory unit, so the frame also stands for rental ⟕ payment.
+* ``film_category_named`` film_category ⋈ category as (film_id, name).
 """
 
 from __future__ import annotations
@@ -58,3 +59,4 @@ class Roles:
     conversations: DataFrame
     rental_paid: DataFrame | None = None
     rental_paid_complete: bool = False
+    film_category_named: DataFrame | None = None

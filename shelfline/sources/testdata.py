@@ -164,15 +164,23 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
                    .select(F.struct(F.col("_lk").alias("line_key"), F.col("inventory_id")).alias("rental_id"),
                            orders["o_orderdate"].alias("rental_date"), "return_date", "inventory_id",
                            orders["o_custkey"].alias("customer_id"), orders["o_orderpriority"].alias("staff_id"),
-                           "film_id", F.col("store_id").cast("int").alias("store_id"), "paid", "rows"))
+                           "film_id", F.col("store_id").cast("int").alias("store_id"),
+                           F.col("paid").cast(AMOUNT).alias("paid"), "rows"))
 
+    film_category_named = film_category.join(category, "category_id").select("film_id", "name")
     if materialized:
-        sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in STAR_INPUTS])
+        # the fact and the conformed dimensions (plain scans with true sizes afterwards,
+        # so the planner broadcasts the small side, never the fact)
+        sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in STAR_INPUTS + ("part", "customer")])
         rental_paid = star.materialize(spark, "rental_paid", rental_paid, sig, sort_col="rental_date")
         inventory = star.materialize(spark, "inventory", inventory, sig)
+        film_actor = star.materialize(spark, "film_actor", film_actor, sig)
+        film_category_named = star.materialize(spark, "film_category_named", film_category_named, sig)
+        customer_country = star.materialize(spark, "customer_country", customer_country, sig)
 
     return Roles(rental=rental, payment=payment, inventory=inventory, film=film,
                  film_category=film_category, category=category, film_actor=film_actor,
                  actor=actor, customer=customer, customer_country=customer_country,
                  staff=staff, stores=stores, activity=activity,
-                 conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True)
+                 conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True,
+                 film_category_named=film_category_named)

@@ -192,8 +192,16 @@ def truncate(text: Column, limit: int, with_length: bool = True) -> Column:
 
 
 # ---------------------------------------------------------------- table-level jobs
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores before
+    CPU-heavy per-row work (regex rules).  A large input already has many splits
+    and is left as it is, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def user_turns(conv: DataFrame) -> DataFrame:
-    return conv.where(F.col("role") == "user")
+    return spread(conv.where(F.col("role") == "user"))
 
 
 def _routed(conv: DataFrame) -> DataFrame:

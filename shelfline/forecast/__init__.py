@@ -1 +1 @@
-
+"""Panel forecasting (F1-F28): many monthly series at once, distributed by series."""

@@ -1 +1 @@
-
+"""Scalar helpers as native column expressions: dates and labels, exact money."""

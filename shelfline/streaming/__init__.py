@@ -1 +1,8 @@
+"""Streaming: intentionally empty.
 
+The dashboard this library re-expresses has no stream processing: no
+watermark, window, stateful operator or late-data rule; every view re-queries
+on demand.  Building streaming operators would add behaviour it does not have,
+so none are provided.  Marts read the materialised star (``sources.star``),
+which a scheduled batch refresh rewrites per input version.
+"""

@@ -66,20 +66,27 @@ for _cid in _POINTS:
     _register_share(_cid)
 
 
-@register("sales_context", with_roles(f"""
+def sales_context_sql(below: int) -> tuple[str, str]:
+    """(CTEs, final SELECT) of the Q41 oracle, reusable by report oracles."""
+    ctes = f"""
 , st AS (SELECT {store_lbl()} AS store, ROUND(SUM(p.amount), 2) AS revenue {FACT} {PAY} GROUP BY i.store_id),
 sl AS (SELECT f.film_id, f.title, COUNT(r.rental_id) AS n
        FROM film f JOIN inventory i ON f.film_id = i.film_id LEFT JOIN rental r ON i.inventory_id = r.inventory_id
-       GROUP BY f.film_id, f.title HAVING COUNT(r.rental_id) < 20 ORDER BY n, f.film_id LIMIT 3),
+       GROUP BY f.film_id, f.title HAVING COUNT(r.rental_id) < {below} ORDER BY n, f.film_id LIMIT 3),
 ct AS (SELECT row_number() OVER (ORDER BY rev DESC NULLS FIRST, category) AS rnk, category FROM
        (SELECT c.name AS category, ROUND(SUM(p.amount), 2) AS rev
         FROM category c JOIN film_category fc ON c.category_id = fc.category_id JOIN film f ON fc.film_id = f.film_id
-        {CHAIN} GROUP BY c.name ORDER BY rev DESC NULLS FIRST, c.name LIMIT 5) t)
+        {CHAIN} GROUP BY c.name ORDER BY rev DESC NULLS FIRST, c.name LIMIT 5) t)"""
+    select = """
 SELECT CAST(ROUND((SELECT SUM(revenue) FROM st), 2) AS DOUBLE) AS total_revenue,
        (SELECT store FROM st ORDER BY revenue DESC NULLS FIRST, store LIMIT 1) AS leading_store,
        COALESCE((SELECT string_agg(title, ', ' ORDER BY n, film_id) FROM sl), 'several titles') AS slow_titles,
        COALESCE((SELECT category FROM ct ORDER BY rnk LIMIT 1), 'n/a') AS top_category,
        CASE WHEN (SELECT COUNT(*) FROM ct) > 1 THEN (SELECT category FROM ct ORDER BY rnk DESC LIMIT 1)
-            ELSE 'n/a' END AS low_category"""))
+            ELSE 'n/a' END AS low_category"""
+    return ctes, select
+
+
+@register("sales_context", with_roles("".join(sales_context_sql(20))))
 def q_sales_context(roles):
     return cx.sales_context(roles, slow_below=20)

@@ -8,6 +8,7 @@ from ..oracle import with_roles
 from ..plans import customers as cu
 from ..reports import sections as rp
 from ..registry import register
+from .extra import sales_context_sql
 from .marts import CATS, CHAIN, FACT, GEO, PAY
 
 
@@ -175,3 +176,88 @@ def q_report_table(roles):
     t = cu.customers_list(roles)
     order = [F.col("total_spent").desc_nulls_first(), F.col("customer")]
     return rp.render_table(t, order)
+
+
+def p1(x: str) -> str:
+    return f"format('{{:.1f}}', CAST({x} AS DOUBLE))"
+
+
+_R3_CTES, _R3_SELECT = sales_context_sql(20)
+
+
+@register("report_recommendations", with_roles(_R3_CTES + f""", sc AS ({_R3_SELECT})
+SELECT 0 AS section_ord, 0 AS rank, '## 🎯 5 Recommendations to Increase Sales' AS line
+UNION ALL SELECT 0, 1, '**1. 🏆 Double down on ' || top_category || '**' FROM sc
+UNION ALL SELECT 0, 2, '   → Titles like ' || CASE WHEN slow_titles = 'several titles' THEN slow_titles
+       ELSE '*' || replace(slow_titles, ', ', '*, *') || '*' END || ' have <20 rentals.' FROM sc"""))
+def q_report_recommendations(roles):
+    return rp.recommendations(roles, slow_below=20)
+
+
+_H3 = ("SELECT CAST(EXTRACT(HOUR FROM ts) AS BIGINT) AS hour, COUNT(*) AS rentals FROM activity "
+       "GROUP BY 1 ORDER BY rentals DESC, hour LIMIT 3")
+_D3 = ("SELECT dayname(rental_date) AS day, EXTRACT(DOW FROM rental_date) AS dow, COUNT(*) AS rentals FROM rental "
+       "GROUP BY 1, 2 ORDER BY rentals DESC, dow LIMIT 3")
+
+
+@register("report_patterns", with_roles(f""", h AS ({_H3}), d AS ({_D3})
+{sec(1, '| Hour | Rentals |', 'SELECT * FROM h',
+     "'| **' || CAST(hour AS VARCHAR) || ':00** | ' || " + i0('rentals') + " || ' |'", 'rentals DESC, hour')}
+UNION ALL SELECT 2, 0, '🕐 **Peak time: ' || CAST(hour AS VARCHAR) || ':00–' || CAST(hour + 1 AS VARCHAR) || ':00**'
+  FROM (SELECT * FROM h ORDER BY rentals DESC, hour LIMIT 1) x
+UNION ALL {sec(3, '| Day | Rentals |', 'SELECT * FROM d',
+     "'| **' || day || '** | ' || " + i0('rentals') + " || ' |'", 'rentals DESC, dow')}
+UNION ALL SELECT 4, 0, '📅 **Best day: ' || day || '**' FROM (SELECT * FROM d ORDER BY rentals DESC, dow LIMIT 1) y"""))
+def q_report_patterns(roles):
+    return rp.patterns_report(roles, 3)
+
+
+@register("report_trend", with_roles(f""", m AS ({_MALL}),
+t AS (SELECT month, revenue, revenue = MAX(revenue) OVER () AS pk, LAG(month) OVER (ORDER BY month) AS prev_month,
+             (revenue - LAG(revenue) OVER (ORDER BY month)) / GREATEST(LAG(revenue) OVER (ORDER BY month), 1) * 100 AS chg
+      FROM m WHERE revenue > 0)
+{sec(1, '| Month | Revenue | Note |', 'SELECT * FROM t',
+     "'| ' || month || ' | **' || " + m2('revenue') + " || '** | ' || CASE WHEN pk THEN '🏆 Peak' WHEN revenue < 1000 "
+     "THEN '⚠️ Data cutoff' ELSE '' END || ' |'", 'month')}
+UNION ALL SELECT 2, 0, '**Biggest drop:** ' || month || ' (' || {p1('chg')} || '% vs ' || prev_month || ')'
+  FROM (SELECT * FROM t WHERE chg < -10 ORDER BY chg, month LIMIT 1) b
+UNION ALL SELECT 3, 0, '**Peak month: ' || month || '** → **' || {m2('revenue')} || '**'
+  FROM (SELECT * FROM t ORDER BY revenue DESC, month LIMIT 1) p
+UNION ALL SELECT 4, 0, 'Most recent valid month (' || month || ') ' || CASE WHEN chg > 0 THEN '📈 increased' ELSE '📉 decreased' END
+  || ' by **' || {p1('ABS(chg)')} || '%** vs previous month.'
+  FROM (SELECT * FROM t ORDER BY month DESC LIMIT 1) l WHERE chg IS NOT NULL"""))
+def q_report_trend(roles):
+    return rp.trend_report(roles)
+
+
+@register("report_store_difference", with_roles(f""", s AS ({_SS}),
+two AS (SELECT row_number() OVER (ORDER BY rev DESC NULLS FIRST, store) AS i, * FROM
+        (SELECT * FROM s ORDER BY rev DESC NULLS FIRST, store LIMIT 2) x),
+a AS (SELECT * FROM two WHERE i = 1), b AS (SELECT * FROM two WHERE i = 2)
+SELECT 0 AS section_ord, CAST(u.pos AS INTEGER) AS rank, u.line FROM (
+  SELECT unnest([
+    '| | ' || a.store || ' | ' || b.store || ' |',
+    '| **Revenue** | ' || {m2('a.rev')} || ' | ' || {m2('b.rev')} || ' |',
+    '| **Rentals** | ' || {i0('a.rentals')} || ' | ' || {i0('b.rentals')} || ' |',
+    '| **Rev/Rental** | $' || {p2('ROUND(a.rev / GREATEST(a.rentals, 1), 2)')} || ' | $' || {p2('ROUND(b.rev / GREATEST(b.rentals, 1), 2)')} || ' |',
+    '**' || CASE WHEN a.rentals > b.rentals THEN a.store ELSE b.store END || '** has more rentals but **'
+      || CASE WHEN a.rev > b.rev THEN a.store ELSE b.store END || '** generates more revenue.']) AS line,
+    unnest([0, 1, 2, 3, 4]) AS pos
+  FROM a, b) u"""))
+def q_report_store_difference(roles):
+    return rp.store_difference(roles)
+
+
+@register("film_utilization_bars", with_roles("""
+, u AS (SELECT f.title, COUNT(DISTINCT i.inventory_id) AS copies, COUNT(r.rental_id) AS times_rented,
+               ROUND(CAST(COUNT(r.rental_id) AS DECIMAL(20,0)) / NULLIF(COUNT(DISTINCT i.inventory_id), 0), 2) AS util
+        FROM film f JOIN inventory i ON f.film_id = i.film_id
+        JOIN film_category fc ON f.film_id = fc.film_id JOIN category cat ON fc.category_id = cat.category_id
+        LEFT JOIN rental r ON i.inventory_id = r.inventory_id LEFT JOIN payment p ON r.rental_id = p.rental_id
+        GROUP BY f.title, cat.name ORDER BY util DESC NULLS FIRST, f.title, cat.name LIMIT 15)
+SELECT title, CAST(util AS DOUBLE) AS util_rate, LEAST(100.0, CAST(util AS DOUBLE) / 30.0 * 100) AS util_bar FROM u"""))
+def q_film_util_bars(roles):
+    """Utilisation bar length next to the utilisation rate."""
+    from ..plans import inventory as inv
+    u = inv.film_utilization(roles)
+    return u.select("title", "util_rate", inv.utilization_bar(F.col("util_rate")).alias("util_bar"))

@@ -57,6 +57,11 @@ def film_activity(roles: Roles, month: str | None = None, store: int | None = No
         F.sum("chain_rows").alias("film_chain_rows"))
 
 
+def utilization_bar(util, full_at: float = 30.0):
+    """Bar length in percent, min(100, util / full_at * 100)."""
+    return F.least(F.lit(100.0), util / F.lit(full_at) * 100)
+
+
 def film_utilization(roles: Roles, f: Filters = NO_FILTERS, k: int = 15) -> DataFrame:
     """Q7: per (title, category) copies, times rented, rentals per copy, revenue; top k by
     utilisation.  Month predicate in the ON clause (unrented units stay), store in WHERE."""

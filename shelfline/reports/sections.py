@@ -38,6 +38,12 @@ def plain2(c) -> Column:
     return F.regexp_replace(F.format_number(c.cast("double"), 2), ",", "")
 
 
+def plain1(c) -> Column:
+    """'-12.3' (``f"{x:.1f}"``, no thousands separator)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(F.format_number(c.cast("double"), 1), ",", "")
+
+
 def int_txt(c) -> Column:
     """'1,234' (``f"{n:,}"``)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -199,3 +205,94 @@ def render_table(df: DataFrame, order: list[Column], money_pattern: str = "spent
     line = F.concat(F.lit("| "), F.row_number().over(w).cast("string"), F.lit(" | "),
                     F.concat_ws(" | ", *vals), F.lit(" |"))
     return _section(df, 0, header, line, order)
+
+
+def recommendations(roles: Roles, slow_below: int = 5) -> DataFrame:
+    """The fact-bearing lines of the recommendations text (top category, slow titles)."""
+    from ..plans.context import sales_context
+    c = sales_context(roles, slow_below)
+    titles = F.when(F.col("slow_titles") == "several titles", F.col("slow_titles")).otherwise(
+        F.concat(F.lit("*"), F.regexp_replace("slow_titles", ", ", "*, *"), F.lit("*")))
+    lines = c.select(F.array(
+        F.lit("## 🎯 5 Recommendations to Increase Sales"),
+        F.concat(F.lit("**1. 🏆 Double down on "), F.col("top_category"), F.lit("**")),
+        F.concat(F.lit("   → Titles like "), titles, F.lit(f" have <{slow_below} rentals."))).alias("a"))
+    return lines.select(F.lit(0).alias("section_ord"), F.posexplode("a").alias("rank", "line")) \
+        .select("section_ord", F.col("rank").cast("int").alias("rank"), "line")
+
+
+def patterns_report(roles: Roles, k: int = 3) -> DataFrame:
+    """Busiest hours and weekdays tables with the peak lines."""
+    hours = pa.peak_hours_all(roles, k)
+    days = pa.best_days_all(roles, k)
+    h = _section(hours, 1, "| Hour | Rentals |",
+                 F.concat(F.lit("| **"), F.col("hour").cast("string"), F.lit(":00** | "), int_txt("rentals"), F.lit(" |")),
+                 [F.col("rentals").desc(), F.col("hour")])
+    d = _section(days, 3, "| Day | Rentals |",
+                 F.concat(F.lit("| **"), F.col("day"), F.lit("** | "), int_txt("rentals"), F.lit(" |")),
+                 [F.col("rentals").desc(), F.col("dow")])
+    ph = top_k(hours, [F.col("rentals").desc(), F.col("hour")], 1).select(
+        F.lit(2).alias("section_ord"), F.lit(0).alias("rank"),
+        F.concat(F.lit("🕐 **Peak time: "), F.col("hour").cast("string"), F.lit(":00–"),
+                 (F.col("hour") + 1).cast("string"), F.lit(":00**")).alias("line"))
+    pd_ = top_k(days, [F.col("rentals").desc(), F.col("dow")], 1).select(
+        F.lit(4).alias("section_ord"), F.lit(0).alias("rank"),
+        F.concat(F.lit("📅 **Best day: "), F.col("day"), F.lit("**")).alias("line"))
+    return h.unionByName(ph).unionByName(d).unionByName(pd_)
+
+
+def trend_report(roles: Roles, cutoff: float = 1000.0, drop: float = -10.0) -> DataFrame:
+    """Positive months with peak / data-cutoff notes, the biggest drop, the peak
+    and the latest change."""
+    m = tr.monthly_revenue_all(roles).where(F.col("revenue") > 0)
+    peak = F.max("revenue").over(Window.partitionBy())  # one row per month: bounded
+    w = Window.orderBy("month")
+    prev = F.lag("revenue").over(w)
+    t = m.select("month", "revenue", (F.col("revenue") == peak).alias("_peak"),
+                 F.lag("month").over(w).alias("prev_month"),
+                 ((F.col("revenue") - prev) / F.greatest(prev, F.lit(1)) * 100).alias("_chg"))
+    note = (F.when(F.col("_peak"), F.lit("🏆 Peak"))
+            .when(F.col("revenue") < cutoff, F.lit("⚠️ Data cutoff")).otherwise(F.lit("")))
+    table = _section(t, 1, "| Month | Revenue | Note |",
+                     F.concat(F.lit("| "), F.col("month"), F.lit(" | **"), money_txt("revenue"), F.lit("** | "),
+                              note, F.lit(" |")), [F.col("month")])
+    drops = t.where(F.col("_chg") < drop)
+    biggest = top_k(drops, [F.col("_chg"), F.col("month")], 1).select(
+        F.lit(2).alias("section_ord"), F.lit(0).alias("rank"),
+        F.concat(F.lit("**Biggest drop:** "), F.col("month"), F.lit(" ("), plain1("_chg"),
+                 F.lit("% vs "), F.col("prev_month"), F.lit(")")).alias("line"))
+    pk = top_k(t, [F.col("revenue").desc(), F.col("month")], 1).select(
+        F.lit(3).alias("section_ord"), F.lit(0).alias("rank"),
+        F.concat(F.lit("**Peak month: "), F.col("month"), F.lit("** → **"), money_txt("revenue"), F.lit("**")).alias("line"))
+    last = top_k(t, [F.col("month").desc()], 1).where(F.col("_chg").isNotNull()).select(
+        F.lit(4).alias("section_ord"), F.lit(0).alias("rank"),
+        F.concat(F.lit("Most recent valid month ("), F.col("month"), F.lit(") "),
+                 F.when(F.col("_chg") > 0, F.lit("📈 increased")).otherwise(F.lit("📉 decreased")),
+                 F.lit(" by **"), plain1(F.abs(F.col("_chg"))),
+                 F.lit("%** vs previous month.")).alias("line"))
+    return table.unionByName(biggest).unionByName(pk).unionByName(last)
+
+
+def store_difference(roles: Roles) -> DataFrame:
+    """The two leading stores side by side: revenue, rentals, revenue per rental,
+    and which one has more rentals and which more revenue."""
+    s = ov.store_summary(roles)
+    two = top_k(s, [F.col("revenue").desc_nulls_first(), F.col("store")], 2)
+    w = Window.orderBy(F.col("revenue").desc_nulls_first(), F.col("store"))
+    p = two.select("*", F.row_number().over(w).alias("_i"))
+    a = p.where("_i = 1").select(*[F.col(c).alias(f"a_{c}") for c in ("store", "revenue", "rentals")], F.lit(0).alias("_k"))
+    b = p.where("_i = 2").select(*[F.col(c).alias(f"b_{c}") for c in ("store", "revenue", "rentals")], F.lit(0).alias("_k"))
+    j = a.join(b, "_k")
+    rpr = lambda r, n: plain2(F.round(F.col(r) / F.greatest(F.col(n), F.lit(1)), 2))
+    more_rent = F.when(F.col("a_rentals") > F.col("b_rentals"), F.col("a_store")).otherwise(F.col("b_store"))
+    more_rev = F.when(F.col("a_revenue") > F.col("b_revenue"), F.col("a_store")).otherwise(F.col("b_store"))
+    lines = j.select(F.array(
+        F.concat(F.lit("| | "), F.col("a_store"), F.lit(" | "), F.col("b_store"), F.lit(" |")),
+        F.concat(F.lit("| **Revenue** | "), money_txt("a_revenue"), F.lit(" | "), money_txt("b_revenue"), F.lit(" |")),
+        F.concat(F.lit("| **Rentals** | "), int_txt("a_rentals"), F.lit(" | "), int_txt("b_rentals"), F.lit(" |")),
+        F.concat(F.lit("| **Rev/Rental** | $"), rpr("a_revenue", "a_rentals"), F.lit(" | $"),
+                 rpr("b_revenue", "b_rentals"), F.lit(" |")),
+        F.concat(F.lit("**"), more_rent, F.lit("** has more rentals but **"), more_rev,
+                 F.lit("** generates more revenue."))).alias("a"))
+    return lines.select(F.lit(0).alias("section_ord"), F.posexplode("a").alias("rank", "line")) \
+        .select("section_ord", F.col("rank").cast("int").alias("rank"), "line")

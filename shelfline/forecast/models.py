@@ -156,6 +156,12 @@ def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_
     # iterative learners re-read their input every round: cut the lineage once.
     # The table is one row per training window (series x months), a bounded panel.
     train = w.where("is_train").select("features", "label").checkpoint()
+    # boosting runs one job per round: size the partitions to the rows (a handful
+    # of series needs one task per round, a large panel keeps its parallelism)
+    rows = train.count()
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // 50000)))
+    if parts < train.rdd.getNumPartitions():
+        train = train.coalesce(parts)
     makers = {
         "random_forest": lambda: RandomForestRegressor(numTrees=200, maxDepth=6, featureSubsetStrategy="all", seed=seed),
         "decision_tree": lambda: DecisionTreeRegressor(maxDepth=4, seed=seed),

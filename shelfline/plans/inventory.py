@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money_out, safe_ratio, zero_if_null
-from ..operators.fact import paid_rentals, units_with_activity
+from ..operators.fact import paid_rentals, units, units_with_activity
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
@@ -47,14 +47,25 @@ def top_categories(roles: Roles, f: Filters = NO_FILTERS, k: int = 5) -> DataFra
 
 def film_activity(roles: Roles, month: str | None = None, store: int | None = None) -> DataFrame:
     """Per film: copies, joined rental rows, plain rental rows, revenue and the
-    number of rows the left chain produces (``chain_rows``, for row-weighted averages)."""
-    u = units_with_activity(roles, Filters(store, month))
-    return u.groupBy("film_id").agg(
-        F.countDistinct("inventory_id").alias("copies"),
-        F.sum("unit_rows").alias("film_rows"),
-        F.sum(F.coalesce(F.col("unit_rentals"), F.lit(0))).alias("film_rentals"),
-        F.sum("unit_paid").alias("film_paid"),
-        F.sum("chain_rows").alias("film_chain_rows"))
+    number of rows the left chain produces (``film_chain_rows``, for row-weighted
+    averages).
+
+    Both sides are reduced to the film before they meet: units per film from the
+    inventory, activity per film from the fact (month in the ON clause, store on
+    the unit).  A unit without rentals contributes one chain row, so
+    chain rows = joined rows + copies - rented units."""
+    f = Filters(store, month)
+    copies = units(roles, f).groupBy("film_id").agg(F.countDistinct("inventory_id").alias("copies"))
+    act = (paid_rentals(roles, f).groupBy("film_id")
+           .agg(F.sum("rows").alias("film_rows"), F.count(F.lit(1)).alias("film_rentals"),
+                F.sum("paid").alias("film_paid"), F.countDistinct("inventory_id").alias("_rented")))
+    return (copies.join(act, "film_id", "left")
+            .select("film_id", "copies",
+                    F.coalesce("film_rows", F.lit(0)).alias("film_rows"),
+                    F.coalesce("film_rentals", F.lit(0)).alias("film_rentals"),
+                    "film_paid",
+                    (F.coalesce("film_rows", F.lit(0)) + F.col("copies") - F.coalesce("_rented", F.lit(0)))
+                    .alias("film_chain_rows")))
 
 
 def utilization_bar(util, full_at: float = 30.0):

@@ -92,9 +92,10 @@ g AS (SELECT series_id, COUNT(*) AS n_test, AVG(ABS(y - yhat)) AS mae, SQRT(AVG(
              AVG(CASE WHEN y <> 0 THEN ABS((y - yhat) / y) END) AS mape,
              SUM((y - yhat) * (y - yhat)) AS ssr, SUM((y - ym) * (y - ym)) AS sst
       FROM te GROUP BY 1)
-SELECT series_id, 'moving_average' AS model, n_test, round_even(mae, 2) AS mae, round_even(rmse, 2) AS rmse,
-       round_even(mape * 100, 2) AS mape,
-       CASE WHEN n_test > 1 THEN round_even(CASE WHEN sst > 0 THEN 1 - ssr / sst ELSE 0.0 END, 4) END AS r2
+SELECT series_id, 'moving_average' AS model, n_test, CAST(round_even(TRY_CAST(mae AS DECIMAL(38,9)), 2) AS DOUBLE) AS mae,
+       CAST(round_even(TRY_CAST(rmse AS DECIMAL(38,9)), 2) AS DOUBLE) AS rmse,
+       CAST(round_even(TRY_CAST(mape * 100 AS DECIMAL(38,9)), 2) AS DOUBLE) AS mape,
+       CASE WHEN n_test > 1 THEN CAST(round_even(TRY_CAST(CASE WHEN sst > 0 THEN 1 - ssr / sst ELSE 0.0 END AS DECIMAL(38,9)), 4) AS DOUBLE) END AS r2
 FROM g"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import py_round
 from .models import MODEL_ORDER
 from .panel import clip
 
@@ -28,7 +29,7 @@ def guard(preds: DataFrame, info: DataFrame, target: str = "xgboost",
     s = Window.partitionBy("series_id")
     tgt = tgt.withColumn("_blend", F.max(dev.cast("int")).over(s) == 1)
     fixed = tgt.select("series_id", "model", "kind", "step", "actual",
-                       F.when(F.col("_blend"), F.bround(clip(F.lit(0.6) * F.col("yhat") + F.lit(0.4) * F.col("_cm")), 2))
+                       F.when(F.col("_blend"), py_round(clip(F.lit(0.6) * F.col("yhat") + F.lit(0.4) * F.col("_cm")), 2))
                        .otherwise(F.col("yhat")).alias("yhat"))
     rest = preds.where(~((F.col("kind") == "future") & (F.col("model") == target)))
     return rest.unionByName(fixed)
@@ -44,17 +45,17 @@ def ensemble(preds: DataFrame, horizon: int) -> DataFrame:
     agg = ok.groupBy("series_id", "step").agg(F.avg("yhat").alias("_m"), F.stddev_pop("yhat").alias("_s"),
                                               F.count(F.lit(1)).alias("models"))
     return agg.where(F.col("models") >= 2).select(
-        "series_id", "step", "models", F.bround("_m", 2).alias("ensemble"),
-        F.bround(F.col("_m") - 1.96 * F.col("_s"), 2).alias("lower"),
-        F.bround(F.col("_m") + 1.96 * F.col("_s"), 2).alias("upper"),
-        F.bround("_s", 2).alias("std"))
+        "series_id", "step", "models", py_round("_m", 2).alias("ensemble"),
+        py_round(F.col("_m") - 1.96 * F.col("_s"), 2).alias("lower"),
+        py_round(F.col("_m") + 1.96 * F.col("_s"), 2).alias("upper"),
+        py_round("_s", 2).alias("std"))
 
 
 def residuals(preds: DataFrame) -> DataFrame:
     """actual − fitted for every window of every model with fitted values."""
     return (preds.where(F.col("kind") == "fit")
             .select("series_id", "model", F.col("step").alias("window"),
-                    F.bround(F.col("actual") - F.col("yhat"), 2).alias("residual")))
+                    py_round(F.col("actual") - F.col("yhat"), 2).alias("residual")))
 
 
 def comparison(preds: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def step_changes(preds: DataFrame, info: DataFrame) -> DataFrame:
     w = Window.partitionBy("series_id", "model").orderBy("step")
     prev = F.coalesce(F.lag("yhat").over(w), F.col("last_y"))
     return fut.select("series_id", "model", "step", "yhat",
-                      F.when(prev != 0, F.bround((F.col("yhat") - prev) / F.abs(prev) * 100, 2))
+                      F.when(prev != 0, py_round((F.col("yhat") - prev) / F.abs(prev) * 100, 2))
                       .otherwise(F.lit(0.0)).alias("delta_pct"))
 
 
@@ -87,9 +88,9 @@ def best_model(board: DataFrame, preds: DataFrame, ens: DataFrame, info: DataFra
     return (info.join(best, "series_id", "left").join(best_fc, "series_id", "left").join(ens_last, "series_id", "left")
             .select("series_id", F.coalesce(F.col("best_model"), F.lit("ensemble")).alias("best_model"),
                     F.transform("_b", lambda x: x.getField("yhat")).alias("best_future"),
-                    F.bround("last_y", 2).alias("last_revenue"), F.bround("ymean", 2).alias("avg_revenue"),
+                    py_round("last_y", 2).alias("last_revenue"), py_round("ymean", 2).alias("avg_revenue"),
                     F.when(F.col("last_y") > F.col("prev_y"), F.lit("upward")).otherwise(F.lit("downward"))
                     .alias("revenue_trend"),
-                    F.when(F.col("_en") > 0, F.bround((F.col("_e") - F.col("last_y")) / F.col("last_y") * 100, 1))
+                    F.when(F.col("_en") > 0, py_round((F.col("_e") - F.col("last_y")) / F.col("last_y") * 100, 1))
                     .alias("ensemble_change_pct"),
                     F.lit(horizon).alias("horizon")))

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import py_round
 from .panel import MAX_LAGS, clip, scaled, unscaled
 
 PRED_SCHEMA = "series_id string, model string, kind string, step int, actual double, yhat double"
@@ -58,7 +59,7 @@ def _future(info: DataFrame, model: str, preds_col, horizon: int, start_at_tail:
     return (info.select("series_id", "lo", "hi", F.posexplode(vals).alias("pos", "p"))
             .select("series_id", F.lit(model).alias("model"), F.lit("future").alias("kind"),
                     (F.col("pos") + 1).cast("int").alias("step"), F.lit(None).cast("double").alias("actual"),
-                    F.bround(clip(F.col("p")), 2).alias("yhat")))
+                    py_round(clip(F.col("p")), 2).alias("yhat")))
 
 
 # ----------------------------------------------------------------------------- ridge
@@ -134,7 +135,7 @@ def moving_average(panel: DataFrame, info: DataFrame, horizon: int) -> DataFrame
     k = F.col("k")
 
     def step(acc, _):
-        return F.concat(acc, F.array(F.bround(clip(_wma(acc, k)), 2)))
+        return F.concat(acc, F.array(py_round(clip(_wma(acc, k)), 2)))
     preds = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("tail"), step)
     return test.unionByName(_future(info, "moving_average", preds, horizon))
 

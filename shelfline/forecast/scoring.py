@@ -1,7 +1,8 @@
 """Hold-out metrics, composite score and leaderboard.
 
 Rounding follows Python's ``round`` (half-even on the binary value) via
-``bround``: MAE, RMSE, MAPE to 2 places, R² to 4, composite to 4.
+``py_round`` (half-even through the 9-decimal value): MAE, RMSE, MAPE to 2
+places, R² to 4, composite to 4.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import py_round
 from .models import MODEL_ORDER
 
 # Models that need long histories (small-sample penalty) — the
@@ -32,8 +34,8 @@ def metrics(preds: DataFrame) -> DataFrame:
         F.sum((F.col("actual") - F.col("_mean")) * (F.col("actual") - F.col("_mean"))).alias("_sst"))
     r2 = F.when(F.col("n_test") > 1, F.when(F.col("_sst") > 0, 1 - F.col("_ssr") / F.col("_sst")).otherwise(F.lit(0.0)))
     return agg.select("series_id", "model", "n_test",
-                      F.bround("_mae", 2).alias("mae"), F.bround("_rmse", 2).alias("rmse"),
-                      F.bround(F.col("_mape") * 100, 2).alias("mape"), F.bround(r2, 4).alias("r2"))
+                      py_round("_mae", 2).alias("mae"), py_round("_rmse", 2).alias("rmse"),
+                      py_round(F.col("_mape") * 100, 2).alias("mape"), py_round(r2, 4).alias("r2"))
 
 
 def leaderboard(m: DataFrame, n_points: DataFrame, strict_compat: bool = True) -> DataFrame:
@@ -53,7 +55,7 @@ def leaderboard(m: DataFrame, n_points: DataFrame, strict_compat: bool = True) -
     factor = F.lit(1.0) + F.greatest(F.lit(0.0), (F.lit(24) - F.col("n")) / 12.0)
     penalise = hungry if strict_compat else hungry & (c > 0)
     c = F.when(penalise, c * factor).otherwise(c)
-    composite = F.when(F.col("mae").isNotNull(), F.bround(c, 4))
+    composite = F.when(F.col("mae").isNotNull(), py_round(c, 4))
     order = F.array_position(F.array(*[F.lit(x) for x in MODEL_ORDER]), F.col("model"))
     scored = m.join(n_points, "series_id").withColumn("composite", composite).withColumn("_ord", order)
     w = Window.partitionBy("series_id").orderBy(F.col("composite").asc_nulls_last(), F.col("_ord"))

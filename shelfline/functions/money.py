@@ -30,3 +30,13 @@ def safe_ratio(num: Column, den: Column, scale: int = 2) -> Column:
 def guarded_ratio(num: Column, den: Column, scale: int = 2) -> Column:
     """Client-side ratio with a zero guard: 0 when the denominator is not positive."""
     return F.when(den > 0, F.round(num / den, scale)).otherwise(F.lit(0))
+
+
+def py_round(c, digits: int):
+    """Half-even rounding of a double through its 9-decimal value, as a double.
+
+    Matches Python's ``round`` except where a value sits within 1e-9 of a tie,
+    where float noise would otherwise decide; both engines then agree.
+    Non-finite values become null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.bround(c.try_cast("decimal(38,9)"), digits).cast("double")

@@ -13,10 +13,6 @@ from .overview import store_summary
 from .trend import ranked_categories
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(0))
-
-
 def sales_context(roles: Roles, slow_below: int = 5) -> DataFrame:
     """total revenue, leading store, first three slow titles, top and bottom of the
     top-5 categories.  Each input is already a bounded mart (stores, 5 categories,
@@ -32,7 +28,11 @@ def sales_context(roles: Roles, slow_below: int = 5) -> DataFrame:
     cats = ranked_categories(roles, 5).agg(F.max_by("category", "rank").alias("low_category"),
                                            F.min_by("category", "rank").alias("top_category"),
                                            F.count(F.lit(1)).alias("_n"))
-    row = _keyed(stores).join(_keyed(slow3), "_k", "left").join(_keyed(cats), "_k", "left")
+    # the slow titles and the category pair are one-row scalar subqueries
+    row = (stores.withColumn("_sl", slow3.select("_s").scalar())
+           .withColumn("_c", cats.select(F.struct("top_category", "low_category", "_n")).scalar())
+           .select("*", F.col("_sl").alias("_s"), F.col("_c.top_category").alias("top_category"),
+                   F.col("_c.low_category").alias("low_category"), F.col("_c._n").alias("_n")))
     titles = F.transform(F.slice(F.col("_s"), 1, 3), lambda x: x.getField("title"))
     return row.select(
         money_out("_total").alias("total_revenue"),

@@ -82,7 +82,9 @@ def half_even_ratio(num: str, den: str, digits: int):
 def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q11: three equal-frequency revenue tiers (linear-interpolated edges, right
     closed, lowest included).  Any collapsed edge puts everyone in the middle tier."""
-    cv = customer_value(roles, f)
+    # the ranking reads the per-customer mart several times: write it once
+    # (reliable checkpoint in the shared folder) instead of re-aggregating the fact
+    cv = customer_value(roles, f).checkpoint()
     e = exact_quantiles(cv, "revenue", [1 / 3, 2 / 3])
     edges = e.select(F.struct(F.col("q0").alias("e1"), F.col("q1").alias("e2"),
                               F.col("vmin").cast("double").alias("lo"),
@@ -106,7 +108,7 @@ def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def customer_value_tiers_pr(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q12: tiers from PERCENT_RANK()*100 of revenue: <=33 low, <=66 mid, else high."""
-    ranked = percent_rank(customer_value(roles, f), "revenue", out="pr")
+    ranked = percent_rank(customer_value(roles, f).checkpoint(), "revenue", out="pr")
     pct = F.col("pr") * F.lit(100.0)
     tier = (F.when(pct <= 33, F.lit(TIERS[0])).when(pct <= 66, F.lit(TIERS[1]))
             .otherwise(F.lit(TIERS[2])))

@@ -28,26 +28,22 @@ def months(roles: Roles) -> DataFrame:
     return sentinel.unionByName(numbered)
 
 
-def _one_row(*frames: DataFrame) -> DataFrame:
-    """Combine single-row aggregates side by side (scalar subqueries), keyed on a constant."""
-    out = frames[0].withColumn("_k", F.lit(0))
-    for fr in frames[1:]:
-        out = out.join(fr.withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k")
-
-
 def kpi(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q2: revenue, customers, distinct rentals, then inventory and films under the
-    store filter only (the month is ignored for the catalogue), and avg_tx."""
+    store filter only (the month is ignored for the catalogue), and avg_tx.
+
+    The catalogue counts are a scalar subquery attached once to the one-row fact
+    aggregate (no join of single-row frames)."""
     facts = paid_rentals(roles, f).agg(
         zero_if_null(F.sum("paid")).alias("_rev"),
         F.countDistinct("customer_id").alias("customers"),
         F.countDistinct("rental_id").alias("rentals"))
-    catalogue = units(roles, f.without_month()).agg(
+    catalogue = units(roles, f.without_month()).agg(F.struct(
         F.countDistinct("inventory_id").alias("inventory"),
-        F.countDistinct("film_id").alias("films"))
-    return _one_row(facts, catalogue).select(
-        money_out("_rev").alias("revenue"), "customers", "rentals", "inventory", "films",
+        F.countDistinct("film_id").alias("films"))).scalar()
+    return facts.withColumn("_cat", catalogue).select(
+        money_out("_rev").alias("revenue"), "customers", "rentals",
+        F.col("_cat.inventory").alias("inventory"), F.col("_cat.films").alias("films"),
         guarded_ratio(F.col("_rev"), F.col("rentals")).cast("double").alias("avg_tx"))
 
 

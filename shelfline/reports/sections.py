@@ -138,9 +138,9 @@ def store_performance(roles: Roles) -> DataFrame:
     table = _section(s, 1, "| Store | Revenue | Rentals | Customers |",
                      F.concat(F.lit("| **"), F.col("store"), F.lit("** | **"), money_txt("revenue"), F.lit("** | "),
                               int_txt("rentals"), F.lit(" | "), int_txt("customers"), F.lit(" |")), order)
-    total = s.agg(F.sum("revenue").alias("t"))
+    total = s.agg(F.sum("revenue")).scalar()
     lead = top_k(s, order, 1).select("store", "revenue")
-    summary = (total.withColumn("_k", F.lit(0)).join(lead.withColumn("_k", F.lit(0)), "_k")
+    summary = (lead.withColumn("t", total)
                .select(F.lit(0).alias("section_ord"), F.lit(0).alias("rank"),
                        F.concat(F.lit("Total Revenue: "), money_txt(F.round("t", 2)), F.lit(" | Leader: "), F.col("store"),
                                 F.lit(" with "), money_txt("revenue"), F.lit(" ("),
@@ -280,9 +280,9 @@ def store_difference(roles: Roles) -> DataFrame:
     two = top_k(s, [F.col("revenue").desc_nulls_first(), F.col("store")], 2)
     w = Window.orderBy(F.col("revenue").desc_nulls_first(), F.col("store"))
     p = two.select("*", F.row_number().over(w).alias("_i"))
-    a = p.where("_i = 1").select(*[F.col(c).alias(f"a_{c}") for c in ("store", "revenue", "rentals")], F.lit(0).alias("_k"))
-    b = p.where("_i = 2").select(*[F.col(c).alias(f"b_{c}") for c in ("store", "revenue", "rentals")], F.lit(0).alias("_k"))
-    j = a.join(b, "_k")
+    # pivot the two rows into one by conditional aggregation (no self join)
+    pick = lambda i, c: F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"{'ab'[i - 1]}_{c}")
+    j = p.agg(*[pick(i, c) for i in (1, 2) for c in ("store", "revenue", "rentals")])
     rpr = lambda r, n: plain2(F.round(F.col(r) / F.greatest(F.col(n), F.lit(1)), 2))
     more_rent = F.when(F.col("a_rentals") > F.col("b_rentals"), F.col("a_store")).otherwise(F.col("b_store"))
     more_rev = F.when(F.col("a_revenue") > F.col("b_revenue"), F.col("a_store")).otherwise(F.col("b_store"))

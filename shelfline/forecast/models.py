@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import py_round
+from ..session import cut
 from .panel import MAX_LAGS, clip, scaled, unscaled
 
 PRED_SCHEMA = "series_id string, model string, kind string, step int, actual double, yhat double"
@@ -156,7 +157,7 @@ def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_
         .withColumn("label", scaled(F.col("y")))
     # iterative learners re-read their input every round: cut the lineage once.
     # The table is one row per training window (series x months), a bounded panel.
-    train = w.where("is_train").select("features", "label").checkpoint()
+    train = cut(w.where("is_train").select("features", "label"))
     # boosting runs one job per round: size the partitions to the rows (a handful
     # of series needs one task per round, a large panel keeps its parallelism)
     rows = train.count()

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 DEFAULT_BUCKETS = 64
 
 
@@ -27,7 +29,7 @@ def value_ranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> Data
     """Distinct non-null values of ``col`` with ``cnt``, ``below`` and ``n`` (total rows)."""
     # distinct values with counts, written once: the bucket bounds and the prefix
     # sums both read it (reliable checkpoint in the shared folder)
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+    vc = cut(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt")))
     probs = [i / buckets for i in range(1, buckets)]
     # bucket bounds: a scalar subquery (one array of buckets-1 values), evaluated once
     bounds = vc.agg(F.percentile_approx(F.col(col), probs, 10000)).scalar()

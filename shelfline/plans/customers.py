@@ -10,6 +10,7 @@ from ..functions.money import money_out, zero_if_null
 from ..operators.fact import bare_paid_rentals, paid_rentals, rentals
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import exact_quantiles, percent_rank, top_k
+from ..session import cut
 from ..sources.roles import Roles
 
 # Segment labels and value-tier labels as the dashboard shows them.
@@ -84,7 +85,7 @@ def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     closed, lowest included).  Any collapsed edge puts everyone in the middle tier."""
     # the ranking reads the per-customer mart several times: write it once
     # (reliable checkpoint in the shared folder) instead of re-aggregating the fact
-    cv = customer_value(roles, f).checkpoint()
+    cv = cut(customer_value(roles, f))
     e = exact_quantiles(cv, "revenue", [1 / 3, 2 / 3])
     edges = e.select(F.struct(F.col("q0").alias("e1"), F.col("q1").alias("e2"),
                               F.col("vmin").cast("double").alias("lo"),
@@ -108,7 +109,7 @@ def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def customer_value_tiers_pr(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q12: tiers from PERCENT_RANK()*100 of revenue: <=33 low, <=66 mid, else high."""
-    ranked = percent_rank(customer_value(roles, f).checkpoint(), "revenue", out="pr")
+    ranked = percent_rank(cut(customer_value(roles, f)), "revenue", out="pr")
     pct = F.col("pr") * F.lit(100.0)
     tier = (F.when(pct <= 33, F.lit(TIERS[0])).when(pct <= 66, F.lit(TIERS[1]))
             .otherwise(F.lit(TIERS[2])))

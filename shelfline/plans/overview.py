@@ -32,18 +32,21 @@ def kpi(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q2: revenue, customers, distinct rentals, then inventory and films under the
     store filter only (the month is ignored for the catalogue), and avg_tx.
 
-    The catalogue counts are a scalar subquery attached once to the one-row fact
-    aggregate (no join of single-row frames)."""
+    The fact and catalogue aggregates are two one-row frames computed in
+    parallel; stacking them and taking max() per column combines them without
+    a join of single-row frames."""
     facts = paid_rentals(roles, f).agg(
         zero_if_null(F.sum("paid")).alias("_rev"),
         F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct("rental_id").alias("rentals"))
-    catalogue = units(roles, f.without_month()).agg(F.struct(
-        F.countDistinct("inventory_id").alias("inventory"),
-        F.countDistinct("film_id").alias("films"))).scalar()
-    return facts.withColumn("_cat", catalogue).select(
-        money_out("_rev").alias("revenue"), "customers", "rentals",
-        F.col("_cat.inventory").alias("inventory"), F.col("_cat.films").alias("films"),
+        F.countDistinct("rental_id").alias("rentals"),
+        F.lit(None).cast("bigint").alias("inventory"), F.lit(None).cast("bigint").alias("films"))
+    catalogue = units(roles, f.without_month()).agg(
+        F.lit(None).cast(facts.schema["_rev"].dataType).alias("_rev"),
+        F.lit(None).cast("bigint").alias("customers"), F.lit(None).cast("bigint").alias("rentals"),
+        F.countDistinct("inventory_id").alias("inventory"), F.countDistinct("film_id").alias("films"))
+    one = facts.unionByName(catalogue).agg(*[F.max(c).alias(c) for c in facts.columns])
+    return one.select(
+        money_out("_rev").alias("revenue"), "customers", "rentals", "inventory", "films",
         guarded_ratio(F.col("_rev"), F.col("rentals")).cast("double").alias("avg_tx"))
 
 

@@ -56,3 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="shelfline-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def cut(df):
+    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint):
+    cuts the lineage of a table that later stages read several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -37,3 +37,60 @@ def q_records(roles):
     """Store summary as JSON records with NaN/Inf cleaned."""
     from ..plans import overview as ov
     return sinks.as_json(ov.store_summary(roles).withColumn("ratio", F.col("rentals") / F.col("customers")))
+
+
+@register("answer_bundle_store_summary", with_roles(f"""
+, agg AS (
+  SELECT i.store_id, SUM(p.amount) AS rev, COUNT(r.rental_id) AS rentals, COUNT(DISTINCT r.customer_id) AS customers
+  FROM rental r JOIN inventory i ON r.inventory_id = i.inventory_id LEFT JOIN payment p ON p.rental_id = r.rental_id
+  GROUP BY i.store_id)
+SELECT 'Store ' || CAST(store_id AS VARCHAR) AS store, CAST(ROUND(rev, 2) AS DOUBLE) AS revenue, rentals, customers,
+       CAST(ROUND(rev / SUM(rev) OVER () * 100, 1) AS DOUBLE) AS revenue_share,
+       CAST(ROUND(rev / GREATEST(rentals, 1), 2) AS DOUBLE) AS revenue_per_rental,
+       row_number() OVER (ORDER BY rev DESC NULLS FIRST, store_id) = 1 AS leader,
+       CAST(ROUND(MAX(rev) OVER () - rev, 2) AS DOUBLE) AS revenue_gap,
+       MAX(rentals) OVER () - rentals AS rentals_gap
+FROM agg"""))
+def q_bundle(roles):
+    """The answer bundle is written once per input version to the shared folder;
+    the store table is read back from it."""
+    from ..sources import star
+    spark = roles.rental.sparkSession
+    # the bundle's version is the version of the files its marts read
+    sig = star.input_signature(spark, sorted(set(roles.rental.inputFiles() + roles.payment.inputFiles())))
+    base = sinks.bundle_dir(roles, sig)
+    if not star._done(spark, base + "/store_summary"):
+        sinks.write_bundle(roles, base)
+    return spark.read.parquet(base + "/store_summary")
+
+
+BATCH = {
+    "stores": "SELECT store_id, COUNT(*) AS n FROM inventory GROUP BY store_id",
+    "months": "SELECT date_format(rental_date, 'yyyy-MM') AS m, COUNT(*) AS n FROM rental GROUP BY 1",
+    "bad": "UPDATE rental SET staff_id = 'x'",
+}
+
+
+@register("adhoc_batch", with_roles("""
+SELECT 'bad' AS label, false AS ok, CAST(0 AS BIGINT) AS preview_rows
+UNION ALL SELECT 'months', true, CAST(LEAST(COUNT(*), 30) AS BIGINT)
+  FROM (SELECT strftime(rental_date, '%Y-%m') AS m FROM rental GROUP BY 1) t
+UNION ALL SELECT 'stores', true, CAST(LEAST(COUNT(*), 30) AS BIGINT)
+  FROM (SELECT store_id FROM inventory GROUP BY store_id) t"""))
+def q_batch(roles):
+    """Labelled batch, 30-row previews, a rejected statement reported without
+    stopping the others.  One row per label: ok flag and preview size."""
+    adhoc.register_views(roles)
+    spark = roles.rental.sparkSession
+    res = adhoc.run_batch(spark, BATCH, max_rows=30)
+    parts = []
+    for label, r in res.items():
+        if isinstance(r, Exception):
+            parts.append(spark.createDataFrame([(label, False, 0)], "label string, ok boolean, preview_rows bigint"))
+        else:
+            parts.append(r.rows.agg(F.count(F.lit(1)).alias("preview_rows"))
+                         .select(F.lit(label).alias("label"), F.lit(True).alias("ok"), "preview_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -54,6 +54,12 @@ def chart_points_checked(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     return chart_points(df, x_col, y_col)
 
 
+def bundle_dir(roles: Roles, signature: str) -> str:
+    """Folder of the answer bundle for one input version, under the shared checkpoint folder."""
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(roles.rental.sparkSession).rstrip('/')}/shelfline-bundle/{signature}"
+
+
 def write_bundle(roles: Roles, base: str) -> dict[str, str]:
     """Materialise the answer-bundle marts once (parquet under ``base``, a shared
     folder on a cluster) so that report jobs read small tables instead of the fact."""

@@ -72,3 +72,17 @@ def test_history_windows(spark):
 def test_truncate(spark):
     assert one(spark, "abcdef", lambda c: tg.truncate(c, 3)) == "abc\n...[truncated 6 chars]"
     assert one(spark, "abc", lambda c: tg.truncate(c, 3)) == "abc"
+
+
+def test_history_join_and_window_paths_agree(spark):
+    rows = [(1, i, ["user", "assistant", "system"][i % 3], "t") for i in range(20)]
+    rows += [(2, t, r, "t") for t, r in [(0, "user"), (2, "assistant"), (5, "user"), (6, "system"), (9, "user")]]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): (r.chat_turns, r.agent_turns) for r in tg.history(conv).collect()}
+    roles = F.array(F.lit("user"), F.lit("assistant"))
+    ref = (tg._history_window(conv)
+           .select("conv_id", "turn", F.array_join(F.col("_chat").cast("array<string>"), ",").alias("c"),
+                   F.array_join(F.transform(F.filter("_a", lambda x: F.array_contains(roles, x.getField("role"))),
+                                            lambda x: x.getField("turn").cast("string")), ",").alias("a")))
+    want = {(r.conv_id, r.turn): (r.c, r.a) for r in ref.collect()}
+    assert got == want and got[(2, 9)] == ("0,2,5,6", "0,2,5")

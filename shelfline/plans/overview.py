@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_label, month_start
 from ..functions.money import guarded_ratio, money_out, zero_if_null
-from ..operators.fact import paid_rentals, rentals, units
+from ..operators.fact import paid_rentals, units
 from ..operators.filters import Filters, NO_FILTERS
 from ..sources.roles import Roles
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ampm_label
 from ..functions.money import zero_if_null
-from ..operators.fact import paid_rentals, rentals
+from ..operators.fact import paid_rentals
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..plans import customers as cu

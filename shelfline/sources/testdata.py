@@ -173,8 +173,15 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
         # so the planner broadcasts the small side, never the fact)
         sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in STAR_INPUTS + ("part", "customer")])
         rental_paid = star.materialize(spark, "rental_paid", rental_paid, sig, sort_col="rental_date")
-        inventory = star.materialize(spark, "inventory", inventory, sig)
-        film_actor = star.materialize(spark, "film_actor", film_actor, sig)
+        # one distinct pass over lineitem serves both unit dimensions: inventory is
+        # the units that have a store (inner-join semantics), film_actor every pair
+        units_ext = (units.join(supplier_store, units["l_suppkey"] == supplier_store["s_suppkey"], "left")
+                     .select("l_partkey", "l_suppkey", F.col("store_id").cast("int").alias("store_id")))
+        units_m = star.materialize(spark, "units", units_ext, sig)
+        inventory = units_m.where(F.col("store_id").isNotNull()).select(
+            (F.col("l_partkey") * F.lit(100000) + F.col("l_suppkey")).alias("inventory_id"),
+            F.col("l_partkey").alias("film_id"), "store_id")
+        film_actor = units_m.select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id"))
         film_category_named = star.materialize(spark, "film_category_named", film_category_named, sig)
         customer_country = star.materialize(spark, "customer_country", customer_country, sig)
 

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .importance_resampling import op9_importance_resampling
 from .minhash_dedup import op4_minhash_dedup
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op9_importance_resampling": op9_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,8 +17,11 @@ _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=_U) | _U(1)
 _TABLE[65:91] = _TABLE[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# classes of bytes: 0 white space, otherwise part of a run of one class
+PLAIN = np.ones(256, np.int8)
+PLAIN[[9, 10, 11, 12, 13, 32]] = 0
+WORD_PUNCT = PLAIN * 2  # 1: letters, digits and all beyond ASCII; 2: ASCII punctuation
+WORD_PUNCT[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
 _BASE = 0x9E3779B97F4A7C15
 _STEP = _rng.integers(1, 2**63, 5, dtype=_U) | _U(1)
 _powers: list[np.ndarray] = []
@@ -43,14 +46,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of the buffer: a polynomial in the bytes, from prefix sums modulo 2**64."""
+def _hashed(buffer: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each run of one class: a polynomial in the bytes, from prefix sums modulo 2**64."""
     a = np.frombuffer(buffer, np.uint8)
-    inside = np.empty(len(a) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    np.logical_not(_IS_SPACE[a], out=inside[1:-1].view(bool))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
+    kind = np.zeros(len(a) + 2, np.int8)
+    kind[1:-1] = classes[a]
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    inside = kind[edge + 1] > 0
+    start, end = edge[inside], np.append(edge[1:], len(a))[inside]
     up, down = _power(len(a) + 1)
     sums = np.empty(len(a) + 1, _U)
     sums[0] = 0
@@ -58,7 +61,7 @@ def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
 
 
-def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Iterable[bytes | None], classes: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, one after another, and the number of words of each text.
 
     Works on about CHUNK bytes at a time, cut at white space, so memory does not follow a text's length
@@ -72,7 +75,7 @@ def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         nonlocal held, size
         if held:
-            start, h = _hashed(b" ".join(held))
+            start, h = _hashed(b" ".join(held), classes)
             at = np.cumsum([0, *(len(x) + 1 for x in held)])
             counts.extend(np.diff(np.searchsorted(start, at)).tolist())
             out.append(h)
@@ -91,7 +94,7 @@ def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         while at < len(text):
             cut = SPACE.search(text, min(len(text), at + CHUNK))
             end = cut.start() if cut else len(text)
-            h = _hashed(text[at:end])[1]
+            h = _hashed(text[at:end], classes)[1]
             n += len(h)
             out.append(h)
             at = end + 1

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op8_decontamination
 from .importance_resampling import op9_importance_resampling
 from .minhash_dedup import op4_minhash_dedup
 from .toxicity import op2_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_importance_resampling": op9_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {}

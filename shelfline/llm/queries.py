@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import op5_best_fit_packing
 from .decontamination import op8_decontamination
+from .html_extraction import op6_html_extraction
 from .importance_resampling import op9_importance_resampling
 from .minhash_dedup import op4_minhash_dedup
 from .token_counts import op7_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_importance_resampling": op9_importance_resampling,

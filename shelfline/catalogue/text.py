@@ -43,6 +43,8 @@ def _dash() -> str:
 def _answer() -> str:
     parts = []
     for key, phrases in R.ANSWER_RULES:
+        if key not in R.CACHED_ANSWERS:
+            continue
         cond = " OR ".join(f"contains(trim({P}), {_q(ph)})" for ph in phrases)
         parts.append(f"WHEN {cond} THEN {_q(key)}")
     return "CASE " + " ".join(parts) + " END"
@@ -102,7 +104,7 @@ def _thresholds() -> list[str]:
     fields: dict[str, list[str]] = {}
     for name, br, pat in R.THRESHOLDS:
         v = _num(pat)
-        alt = tg._EXTRA_ALTERNATIVES.get((name, br))
+        alt = R.THRESHOLDS_ELSE.get((name, br))
         if alt:
             v = f"COALESCE({v}, {_num(alt)})"
         fields.setdefault(name, []).append(f"CASE WHEN b = {_q(br)} THEN {v} END")

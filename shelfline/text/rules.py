@@ -115,6 +115,11 @@ ANSWER_RULES = [
                        "revenue decrease forecast", "prediksi turun", "forecast turun"]),
 ]
 
+# The answer keys that the dashboard computes; a rule with any other key answers nothing and the
+# next rule is tried.
+CACHED_ANSWERS = ["store_performance", "recommendations", "patterns", "trend", "store_analysis", "compare_months",
+                  "categories", "forecast"]
+
 # Entity dictionaries (first contained entry wins).
 COUNTRIES = ["india", "china", "united states", "usa", "brazil", "mexico", "indonesia", "philippines",
              "nigeria", "russia", "japan", "germany", "france", "united kingdom", "uk", "canada", "australia",
@@ -133,7 +138,7 @@ FORECAST_NAV_RE = r"\bforecast|\bprediksi|\bfuture revenue|\bprediction|\bprojec
 CHART_VERB_RE = r"\b(?:create|make|add|buat|tambahkan|generate)\b"
 CHART_NOUN_RE = r"\b(?:chart|graph|grafik)\b"
 QUERY_VERB_RE = r"\b(?:show|list|find|get|tampilkan|cari|display)\b"
-# query branches, in the parser's order
+# Query branches, in the parser's order
 QUERY_BRANCHES = [
     ("actor", r"\bactor|\bactress|\baktris|\bpemain|\bbintang"),
     ("customer", r"\bcustomer|\bpelanggan|\bclient"),
@@ -141,14 +146,14 @@ QUERY_BRANCHES = [
     ("country", r"\bcountr|\bnegara|\bgeo|\bregion|\bcity|\bkota"),
     ("category", r"\bcategor|\bgenre|\bkategori"),
 ]
-# chart dimensions, in the chart builder's order
+# Chart dimensions, in the chart builder's order
 CHART_DIMENSIONS = [
     ("rating", r"\brating"), ("film", r"\bfilm|\bmovie|\btitle|\bjudul"), ("customer", r"\bcustomer|\bpelanggan"),
     ("category", r"\bcategor|\bgenre"), ("country", r"\bcountr|\bnegara"), ("actor", r"\bactor|\bactress"),
     ("hour", r"\bhour|\bjam"), ("day", r"\bday|\bhari|\bweek"), ("month", r"\bmonth|\bbulan|\bmonthly"),
     ("store", r"\bstore"),
 ]
-# threshold patterns of the query parser: (name, branch, pattern with the number in group 1, suffix group 2)
+# Threshold patterns of the query parser: (name, branch, pattern with the number in group 1, suffix group 2)
 THRESHOLDS = [
     ("min_films", "actor", r"(?:more|greater|over)\s+than\s+([\d,]+)\s+film()"),
     ("min_rentals", "actor", r"(?:rental|disewa).*(?:more|greater|over)\s+than\s+([\d,]+)()"),
@@ -162,6 +167,12 @@ THRESHOLDS = [
     ("min_customers", "country", r"customer\w*\s+(?:more|greater|over)\s+than\s+([\d,]+)()"),
     ("min_revenue", "category", r"(?:revenue|income)\s+(?:more|greater|over)\s+than\s*\$?([\d,]+(?:\.\d+)?)\s*(k|m|juta)?"),
 ]
+# Second forms of three of them, tried when the first finds no amount
+THRESHOLDS_ELSE = {
+    ("min_amount", "customer"): r"(?:spend|spent|cost|bayar)\s*(?:more|>)\s*\$?([\d,]+(?:\.\d+)?)\s*(k|m|juta|ribu)?",
+    ("min_rate", "film"): r"rate\s*>\s*\$?([\d.]+)\s*()",
+    ("min_rentals", "film"): r"(?:rented|disewa)\s+(?:more|greater|over)\s+than\s+([\d,]+)\s*()",
+}
 
 # Route names in decision order.
 ROUTES = ["revert", "instant", "chart", "direct_query", "off_topic", "agent"]

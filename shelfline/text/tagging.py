@@ -40,6 +40,27 @@ def boundaries(pattern: str, word: str = ASCII_WORD) -> str:
     return "".join(out)
 
 
+def factored(pattern: str, word: str = ASCII_WORD) -> str:
+    r"""The same test for Java's engine: one look-behind before one alternation, so a position that starts no word is
+    left at once.  ``\b`` may open or close the pattern or open each of its alternatives."""
+    left, right = f"(?<![{word}])", f"(?![{word}])"
+    close = pattern.endswith(r"\b")
+    body = pattern[:-2] if close else pattern
+    depth, cut = 0, [0]
+    for i, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            cut.append(i + 1)
+    parts = [body[a:b].rstrip("|") for a, b in zip(cut, [*cut[1:], len(body)])]
+    if not all(x.startswith(r"\b") for x in parts) or any(r"\b" in x[2:] for x in parts):
+        raise ValueError(f"cannot factor {pattern}")
+    return left + "(?:" + "|".join(x[2:] for x in parts) + ")" + (right if close else "")
+
+
+def words_rx(words, word: str = ASCII_WORD) -> str:
+    return factored(r"\b(?:" + "|".join(words) + r")\b", word)
+
+
 def words_re(words, word: str = ASCII_WORD) -> str:
     return boundaries(r"\b(?:" + "|".join(words) + r")\b", word)
 
@@ -57,7 +78,7 @@ def on_topic(text: Column) -> Column:
 
 def edit_intent(text: Column) -> Column:
     """Whole-word edit verbs (Python word boundaries, any case)."""
-    return lowered(text).rlike(words_re(R.EDIT_WORDS, UNICODE_WORD))
+    return lowered(text).rlike(words_rx(R.EDIT_WORDS, UNICODE_WORD))
 
 
 # ---------------------------------------------------------------- T3 / T4
@@ -71,15 +92,18 @@ def topic_tags(text: Column) -> Column:
 
 def dashboard_keyword(text: Column) -> Column:
     """T4: the off-topic guard's keyword test."""
-    return lowered(text).rlike(words_re(R.DASHBOARD_WORDS))
+    return lowered(text).rlike(words_rx(R.DASHBOARD_WORDS))
 
 
 # ---------------------------------------------------------------- T5
-def answer_key(text: Column) -> Column:
-    """T5: key of the first rule with a phrase contained in the trimmed lowercase text."""
+def answer_key(text: Column, available=tuple(R.CACHED_ANSWERS)) -> Column:
+    """T5: key of the first rule with a phrase contained in the trimmed lowercase text, among the rules whose key has
+    an ``available`` answer."""
     p = F.trim(lowered(text))
     out = None
     for key, phrases in R.ANSWER_RULES:
+        if key not in available:
+            continue
         hit = None
         for ph in phrases:
             c = F.instr(p, ph) > 0
@@ -96,49 +120,48 @@ def parse_number(s: Column) -> Column:
     return F.when(lead != "", lead.cast("double"))
 
 
-def amount(text: Column, pattern: str) -> Column:
-    """Number captured by group 1 times the suffix in group 2 (k, m, juta, ribu);
-    null when absent or zero (a falsy amount is ignored)."""
-    p = lowered(text)
-    num = parse_number(F.regexp_extract(p, pattern, 1))
-    suf = F.regexp_extract(p, pattern, 2)
+def scaled(number: Column, suffix: Column) -> Column:
+    """The captured number times its suffix (k, m, juta, ribu); null when absent or zero (a falsy amount is
+    ignored)."""
+    num = parse_number(number)
     mult = F.lit(1.0)
     for s, m in reversed(R.AMOUNT_SUFFIXES):
-        mult = F.when(suf == s, F.lit(m)).otherwise(mult)
+        mult = F.when(suffix == s, F.lit(m)).otherwise(mult)
     v = num * mult
-    return F.when(p.rlike(pattern) & (v != 0), v)
+    return F.when(v != 0, v)
+
+
+def amount(text: Column, pattern: str) -> Column:
+    """T6 on a text: number in group 1 of the pattern, suffix in group 2."""
+    p = lowered(text)
+    return scaled(F.regexp_extract(p, pattern, 1), F.regexp_extract(p, pattern, 2))
 
 
 def branch(text: Column) -> Column:
     """Which parameterised query a 'show/list/...' request targets (first match)."""
     p = lowered(text)
-    verb = p.rlike(boundaries(R.QUERY_VERB_RE))
+    verb = p.rlike(factored(R.QUERY_VERB_RE))
     out = None
     for name, pat in R.QUERY_BRANCHES:
-        c = p.rlike(boundaries(pat))
+        c = p.rlike(factored(pat))
         out = F.when(c, F.lit(name)) if out is None else out.when(c, F.lit(name))
     return F.when(verb, out)
 
 
-_EXTRA_ALTERNATIVES = {
-    ("min_amount", "customer"): r"(?:spend|spent|cost|bayar)\s*(?:more|>)\s*\$?([\d,]+(?:\.\d+)?)\s*(k|m|juta|ribu)?",
-    ("min_rate", "film"): r"rate\s*>\s*\$?([\d.]+)\s*()",
-    ("min_rentals", "film"): r"(?:rented|disewa)\s+(?:more|greater|over)\s+than\s+([\d,]+)\s*()",
-}
-
-
-def thresholds(text: Column) -> Column:
-    """A struct of the thresholds of the detected branch (others null)."""
-    b = branch(text)
-    fields = {}
-    for name, br, pat in R.THRESHOLDS:
-        v = amount(text, pat)
-        alt = _EXTRA_ALTERNATIVES.get((name, br))
-        if alt:
-            v = F.coalesce(v, amount(text, alt))
-        cur = F.when(b == br, v)
-        fields[name] = cur if name not in fields else F.coalesce(fields[name], cur)
-    return F.struct(*[c.alias(k) for k, c in fields.items()])
+def captures(p: Column, b: Column) -> tuple[dict[str, Column], dict[str, list[tuple[str, str]]]]:
+    """Per threshold the captured number and suffix of the detected branch's pattern, each regex run once, and which
+    capture columns make up each threshold, in order."""
+    cols, fields = {}, {}
+    for table, mark in (({(n, br): pat for n, br, pat in R.THRESHOLDS}, "a"), (R.THRESHOLDS_ELSE, "b")):
+        for name in dict.fromkeys(n for n, _ in table):
+            num = suf = None
+            for (n, br), pat in table.items():
+                if n == name:
+                    num = (F if num is None else num).when(b == br, F.regexp_extract(p, pat, 1))
+                    suf = (F if suf is None else suf).when(b == br, F.regexp_extract(p, pat, 2))
+            cols[f"_{mark}_{name}"], cols[f"_{mark}s_{name}"] = num, suf
+            fields.setdefault(name, []).append((f"_{mark}_{name}", f"_{mark}s_{name}"))
+    return cols, fields
 
 
 # ---------------------------------------------------------------- T8
@@ -146,7 +169,7 @@ def first_contained(text: Column, entries, word_boundary: bool = False) -> Colum
     p = lowered(text)
     out = None
     for e in entries:
-        c = p.rlike(words_re([re.escape(e)])) if word_boundary else (F.instr(p, e) > 0)
+        c = p.rlike(words_rx([re.escape(e)])) if word_boundary else (F.instr(p, e) > 0)
         out = F.when(c, F.lit(e)) if out is None else out.when(c, F.lit(e))
     return out
 
@@ -164,7 +187,7 @@ def chart_dimension(text: Column) -> Column:
     p = lowered(text)
     out = None
     for name, pat in R.CHART_DIMENSIONS:
-        c = p.rlike(boundaries(pat))
+        c = p.rlike(factored(pat))
         out = F.when(c, F.lit(name)) if out is None else out.when(c, F.lit(name))
     return out
 
@@ -173,9 +196,9 @@ def route(text: Column) -> Column:
     """Revert -> instant answer -> chart -> direct query -> off-topic -> agent.
     The instant route covers the answer library and the forecast shortcut."""
     p = lowered(text)
-    revert = p.rlike(boundaries(R.REVERT_RE))
-    instant = answer_key(text).isNotNull() | F.trim(p).rlike(boundaries(R.FORECAST_NAV_RE))
-    chart = (p.rlike(boundaries(R.CHART_VERB_RE)) & p.rlike(boundaries(R.CHART_NOUN_RE))
+    revert = p.rlike(factored(R.REVERT_RE))
+    instant = answer_key(text).isNotNull() | F.trim(p).rlike(factored(R.FORECAST_NAV_RE))
+    chart = (p.rlike(factored(R.CHART_VERB_RE)) & p.rlike(factored(R.CHART_NOUN_RE))
              & chart_dimension(text).isNotNull())
     direct = branch(text).isNotNull()
     return (F.when(revert, F.lit("revert")).when(instant, F.lit("instant")).when(chart, F.lit("chart"))
@@ -192,16 +215,8 @@ def truncate(text: Column, limit: int, with_length: bool = True) -> Column:
 
 
 # ---------------------------------------------------------------- table-level jobs
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores before
-    CPU-heavy per-row work (regex rules).  A large input already has many splits
-    and is left as it is, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def user_turns(conv: DataFrame) -> DataFrame:
-    return spread(conv.where(F.col("role") == "user"))
+    return conv.where(F.col("role") == "user")
 
 
 def _routed(conv: DataFrame) -> DataFrame:
@@ -210,15 +225,16 @@ def _routed(conv: DataFrame) -> DataFrame:
     t = F.col("text")
     base = user_turns(conv).select("conv_id", "turn", "text", lowered(t).alias("_p"))
     p = F.col("_p")
+    chart_cmd = p.rlike(factored(R.CHART_VERB_RE)) & p.rlike(factored(R.CHART_NOUN_RE))
     step = base.select(
         "*", answer_key(p).alias("answer_key"), branch(p).alias("_branch"),
-        chart_dimension(p).alias("_chart_dim"), dashboard_keyword(p).alias("dashboard_keyword"),
-        p.rlike(boundaries(R.REVERT_RE)).alias("_revert"),
-        F.trim(p).rlike(boundaries(R.FORECAST_NAV_RE)).alias("_fnav"),
-        (p.rlike(boundaries(R.CHART_VERB_RE)) & p.rlike(boundaries(R.CHART_NOUN_RE))).alias("_chart_cmd"))
+        F.when(chart_cmd, chart_dimension(p)).alias("_chart_dim"), dashboard_keyword(p).alias("dashboard_keyword"),
+        p.rlike(factored(R.REVERT_RE)).alias("_revert"),
+        F.trim(p).rlike(factored(R.FORECAST_NAV_RE)).alias("_fnav"),
+        )
     route_col = (F.when(F.col("_revert"), F.lit("revert"))
                  .when(F.col("answer_key").isNotNull() | F.col("_fnav"), F.lit("instant"))
-                 .when(F.col("_chart_cmd") & F.col("_chart_dim").isNotNull(), F.lit("chart"))
+                 .when(F.col("_chart_dim").isNotNull(), F.lit("chart"))
                  .when(F.col("_branch").isNotNull(), F.lit("direct_query"))
                  .when(~F.col("dashboard_keyword"), F.lit("off_topic"))
                  .otherwise(F.lit("agent")))
@@ -246,10 +262,14 @@ def route_counts(conv: DataFrame) -> DataFrame:
 
 def parameters(conv: DataFrame) -> DataFrame:
     """Detected query branch, thresholds and entities per user turn."""
-    t = F.col("text")
-    return user_turns(conv).select("conv_id", "turn", branch(t).alias("branch"),
-                                   thresholds(t).alias("th"), entities(t).alias("ent")) \
-        .select("conv_id", "turn", "branch", "th.*", "ent.*")
+    p, b = F.col("_p"), F.col("branch")
+    base = user_turns(conv).select("conv_id", "turn", lowered(F.col("text")).alias("_p"))
+    base = base.withColumn("branch", branch(p))
+    cols, fields = captures(p, b)
+    ent = entities(p)
+    found = base.select("conv_id", "turn", "branch", ent.alias("_ent"), *(c.alias(k) for k, c in cols.items()))
+    out = [F.coalesce(*(scaled(F.col(n), F.col(s)) for n, s in pairs)).alias(name) for name, pairs in fields.items()]
+    return found.select("conv_id", "turn", "branch", *out, "_ent.*")
 
 
 def _history_window(conv: DataFrame) -> DataFrame:

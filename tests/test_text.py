@@ -31,6 +31,8 @@ def test_edit_intent(spark, text, expected):
     ("show customers in india with spent more than $100k", "direct_query"),
     ("hello there", "off_topic"),
     ("tell me about staff", "agent"),
+    ("what is mae", "agent"),  # its rule has no cached answer
+    ("explain rmse and compare month", "instant"),  # the next rule is tried
 ])
 def test_routes(spark, text, route):
     assert one(spark, text, tg.route) == route

@@ -15,7 +15,7 @@ weighted Jaccard of their shingles, the sum of the lesser weights over the sum o
 4. *Verification.*  Candidates are compared by their full weighted shingles: 100 * intersection >= 75 * union.
 
 The shingle table of the benchmark and the ids of documents with windows are broadcast only when their counted
-rows are within BROADCAST_ROWS; beyond it the same joins are shuffled.
+rows are within a bound (``common.BROADCAST_ROWS``); beyond it the same joins are shuffled.
 
 Defined results: null and empty texts, and documents or items of fewer than five words, match nothing.  Repeated
 rows match once.  A null doc_id or item_id is carried as it is.  An empty table on either side gives an empty
@@ -27,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, table
+from .common import Scratch, bounded, fresh, table
 
 PERCENT = 75
 SHINGLE = 5
 RADIUS = 11
 MAX_STEP = 4
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -86,11 +85,6 @@ def _counted(rows: DataFrame, key: list[str], words: str) -> DataFrame:
             .groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match."""
     scratch = Scratch(spark, "decontamination")
@@ -103,7 +97,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
     step = min(MAX_STEP, *(_least_run(n, percent) for n in range(least, least + 64)))  # longer items have longer runs
     places = items.select("size", "words", F.explode(_positions(F.col("words"), 1)).alias("place")).select(
         "size", "place", shingle_at(F.col("words"), F.col("place")).alias("shingle")).distinct()
-    places = _small(scratch.keep(places))
+    places = bounded(scratch.keep(places))
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     texts = texts.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", words_of(F.col("text")).alias("words"))
@@ -115,7 +109,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
     windows = scratch.keep(seen.join(places, "shingle").select("doc", start.alias("start"), F.least("size", "n_all").alias("size")).distinct())
 
     wanted = scratch.keep(windows.select("doc").distinct())
-    found = scratch.keep(texts.join(_small(wanted), "doc", "left_semi").dropDuplicates(["doc"]))
+    found = scratch.keep(texts.join(bounded(wanted), "doc", "left_semi").dropDuplicates(["doc"]))
     key = ["doc", "start", "size"]
     cut = scratch.keep(found.join(windows, "doc").select(*key, "doc_id", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")))
     marked = simhash(cut, key, "words").select(*key, "fingerprint", F.explode(_blocks("fingerprint", radius)).alias("b"))
@@ -146,7 +140,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     scratch = Scratch(spark, "decontaminated")
     [mark] = fresh(docs, "leaking")
     hit = scratch.keep(leaks(spark, docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(mark)).distinct())
-    return docs.join(_small(hit), F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti").select(docs.columns)
+    return docs.join(bounded(hit), F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti").select(docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shelfline.llm.common import Scratch, fresh, table
-from shelfline.llm.minhash_dedup import near_duplicates
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows with one doc_id, one."""
-    kept = near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
-    [mark] = fresh(docs, "mark")
-    return (docs.dropDuplicates(["doc_id"]).join(kept.withColumnRenamed("doc_id", mark), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
-            .select(docs.columns))
+from shelfline.llm.best_fit_packing import pack_stage
+from shelfline.llm.common import Scratch, table
+from shelfline.llm.decontamination import without_leaks
+from shelfline.llm.importance_resampling import good_only
+from shelfline.llm.minhash_dedup import one_of_each
+from shelfline.llm.toxicity import without_toxic
 
 
 STAGES = [
-    ("minhash_dedup", near_dedup),
+    ("toxicity", without_toxic),
+    ("importance_resampling", good_only),
+    ("minhash_dedup", one_of_each),
+    ("decontamination", without_leaks),
+    ("best_fit_packing", pack_stage),
 ]
 #: Trained models and token ids are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..operators.filters import Filters
 from ..oracle import with_roles
 from ..plans import context as cx
 from ..plans import share as sh
 from ..registry import register
-from .marts import CATS, CHAIN, FACT, GEO, PAY, day_short_sql
+from .marts import CATS, CHAIN, FACT, GEO, PAY, TEST_STORE, day_short_sql
 from .sqlbits import money, store_lbl
 
 _SEG = """CASE WHEN rc > 40 THEN '1. Elite (40+)' WHEN rc BETWEEN 30 AND 40 THEN '2. Frequent (30-40)'
@@ -66,6 +67,13 @@ for _cid in _POINTS:
     _register_share(_cid)
 
 
+@register("share_hourly_store", with_roles(
+    f", pts AS ({_POINTS['chart-hourly'].replace('FROM activity', f'FROM activity WHERE store_id = {TEST_STORE}')}) "
+    "SELECT label, value, ROUND(value / SUM(value) OVER () * 100, 4) AS percent FROM pts"))
+def q_share_hourly_store(roles):
+    return sh.share(roles, "chart-hourly", Filters.of(TEST_STORE))
+
+
 def sales_context_sql(below: int) -> tuple[str, str]:
     """(CTEs, final SELECT) of the Q41 oracle, reusable by report oracles."""
     ctes = f"""

@@ -44,7 +44,8 @@ city AS (SELECT n_nationkey AS city_id, n_nationkey AS country_id FROM nation),
 country AS (SELECT n_nationkey AS country_id, n_name AS country FROM nation),
 stores AS (SELECT CAST(r_regionkey AS INTEGER) AS store_id FROM region),
 activity AS (
-  SELECT ts, user_id AS customer_id, CAST(value AS DECIMAL(12,2)) AS amount FROM events)
+  SELECT e.ts, e.user_id AS customer_id, CAST(e.value AS DECIMAL(12,2)) AS amount, CAST(n.n_regionkey AS INTEGER) AS store_id
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)
 """
 
 

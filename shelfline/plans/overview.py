@@ -86,7 +86,7 @@ def store_summary(roles: Roles) -> DataFrame:
     return agg.select(
         store_label().alias("store"),
         money_out("_rev").alias("revenue"), "rentals", "customers",
-        F.round(F.col("_rev") / F.sum("_rev").over(everyone) * 100, 1).cast("double").alias("revenue_share"),
+        F.round(F.try_divide(F.col("_rev"), F.sum("_rev").over(everyone)) * 100, 1).cast("double").alias("revenue_share"),
         money_out(F.col("_rev") / F.greatest(F.col("rentals"), F.lit(1))).alias("revenue_per_rental"),
         (F.row_number().over(by_rev) == 1).alias("leader"),
         money_out(F.max("_rev").over(everyone) - F.col("_rev")).alias("revenue_gap"),

@@ -1,10 +1,8 @@
 """Time-of-day and weekday patterns.
 
 Hours come from the ``activity`` role (transactions with a real time of day);
-weekday/duration marts on rentals use the rental fact.  The hour × weekday cube
-and its two roll-ups are one aggregation with GROUPING SETS, one pass over the
-data; ``pattern_cube`` can be cached by a dashboard session and re-read by
-Q14, Q15 and Q17.
+weekday/duration marts on rentals use the rental fact.  The hour × weekday cells
+are one aggregation over the data; Q14, Q15 and Q17 roll its 168 rows up.
 """
 
 from __future__ import annotations
@@ -12,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_name, day_short, dow, hour, hour_label, hours_between
+from ..functions.dates import day_name, day_short, dow, hour
 from ..functions.money import money_out, zero_if_null
 from ..operators.fact import bare_paid_rentals, paid_rentals, rentals
 from ..operators.filters import Filters, NO_FILTERS
@@ -21,48 +19,47 @@ from ..sources.roles import Roles
 
 
 def _activity(roles: Roles, f: Filters) -> DataFrame:
-    return Filters(None, f.month).apply_month(roles.activity, "ts")
+    rows = roles.activity if f.store is None else f.apply_store(roles.activity_store)
+    return f.apply_month(rows, "ts")
 
 
 def pattern_cube(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
-    """(hour, dow) cells plus hour-only and dow-only totals, tagged by ``level``."""
-    a = _activity(roles, f).select(hour("ts").alias("hour"), dow("ts").alias("dow"), "amount")
-    return (a.groupingSets([["hour", "dow"], ["hour"], ["dow"]], "hour", "dow")
-            .agg(F.count(F.lit(1)).alias("rentals"), zero_if_null(F.sum("amount")).alias("_rev"),
-                 F.grouping_id().alias("level")))
+    """The (hour, dow) cells, at most 168: joined rows, bare transactions, revenue."""
+    a = _activity(roles, f).select(hour("ts").alias("hour"), dow("ts").alias("dow"), "amount", "rows")
+    return a.groupBy("hour", "dow").agg(F.sum("rows").alias("rentals"), F.count(F.lit(1)).alias("bare"),
+                                        zero_if_null(F.sum("amount")).alias("_rev"))
 
 
 def hour_dow_cube(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q14: rentals and revenue per (hour, dow)."""
-    return (pattern_cube(roles, f).where(F.col("level") == 0)
-            .select("hour", "dow", "rentals", money_out("_rev").alias("revenue")))
+    return pattern_cube(roles, f).select("hour", "dow", "rentals", money_out("_rev").alias("revenue"))
 
 
-def hourly_activity(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
-    """Q15: rentals per hour (roll-up of the cube)."""
-    return pattern_cube(roles, f).where(F.col("level") == 1).select("hour", "rentals")
+def hourly_activity(roles: Roles, f: Filters = NO_FILTERS, bare: bool = False) -> DataFrame:
+    """Q15: rentals per hour (roll-up of the cells); ``bare`` counts without the payment join."""
+    return pattern_cube(roles, f).groupBy("hour").agg(F.sum("bare" if bare else "rentals").alias("rentals"))
 
 
 def hourly_revenue(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q15: revenue per hour."""
-    return (pattern_cube(roles, f).where(F.col("level") == 1)
-            .select("hour", money_out("_rev").alias("revenue")))
+    return pattern_cube(roles, f).groupBy("hour").agg(money_out(F.sum("_rev")).alias("revenue"))
 
 
 def dow_revenue(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q15: revenue per weekday with its short name."""
-    return (pattern_cube(roles, f).where(F.col("level") == 2)
+    return (pattern_cube(roles, f).groupBy("dow").agg(F.sum("_rev").alias("_rev"))
             .select("dow", day_short("dow").alias("day"), money_out("_rev").alias("revenue")))
 
 
 def peaks(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q17: peak hour by rentals and peak weekday by revenue (lowest index on ties)."""
-    c = pattern_cube(roles, f)
-    ph = F.min(F.when(F.col("level") == 1, F.struct((-F.col("rentals")).alias("k"), F.col("hour").alias("v"))))
-    pd_ = F.min(F.when(F.col("level") == 2, F.struct((-F.col("_rev")).alias("k"), F.col("dow").alias("v"))))
+    c = (pattern_cube(roles, f).groupingSets([["hour"], ["dow"]], "hour", "dow")  # expands cells, not transactions
+         .agg(F.sum("rentals").alias("rentals"), F.sum("_rev").alias("_rev"), F.grouping("dow").alias("by_hour")))
+    ph = F.min(F.when(F.col("by_hour") == 1, F.struct((-F.col("rentals")).alias("k"), F.col("hour").alias("v"))))
+    pd_ = F.min(F.when(F.col("by_hour") == 0, F.struct((-F.col("_rev")).alias("k"), F.col("dow").alias("v"))))
     return c.agg(ph.alias("h"), pd_.alias("d")).select(
         F.coalesce(F.col("h.v"), F.lit(0)).alias("peak_hour"),
-        F.coalesce(day_short(F.col("d.v")), F.lit("N/A")).alias("peak_day"))
+        F.when(F.col("d").isNotNull(), day_short(F.col("d.v"))).otherwise(F.lit("N/A")).alias("peak_day"))
 
 
 def avg_duration_by_dow(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
@@ -93,9 +90,9 @@ def best_days_all(roles: Roles, k: int = 3) -> DataFrame:
 
 
 def peak_hours(roles: Roles, f: Filters = NO_FILTERS, k: int = 5) -> DataFrame:
-    """Q30: top k hours by COUNT(*) with revenue."""
+    """Q30: top k hours by COUNT(*) after the payment join, with revenue."""
     c = (_activity(roles, f).groupBy(hour("ts").alias("hour"))
-         .agg(F.count(F.lit(1)).alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
+         .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
     return top_k(c, [F.col("rentals").desc(), F.col("hour")], k)
 
 
@@ -109,7 +106,7 @@ def days(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 def chart_hour(roles: Roles, by_revenue: bool = False) -> DataFrame:
     """Q26: rentals and revenue per hour, label 'H:00'."""
     c = (roles.activity.groupBy(hour("ts").alias("h"))
-         .agg(F.count(F.lit(1)).alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
+         .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
     return c.select(F.concat(F.col("h").cast("string"), F.lit(":00")).alias("hour"), "rentals", "revenue")
 
 
@@ -118,8 +115,3 @@ def chart_day(roles: Roles) -> DataFrame:
     return (bare_paid_rentals(roles)
             .groupBy(day_name("rental_date").alias("day"), dow("rental_date").alias("dow"))
             .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("paid"))).alias("revenue")))
-
-
-__all__ = ["pattern_cube", "hour_dow_cube", "hourly_activity", "hourly_revenue", "dow_revenue",
-           "peaks", "avg_duration_by_dow", "peak_hours_all", "best_days_all", "peak_hours", "days",
-           "chart_hour", "chart_day", "hour_label", "hours_between"]

@@ -60,7 +60,7 @@ def _points(roles: Roles, cid: str, f: Filters) -> DataFrame:
     if cid in ("chart-geo-map", "chart-geo-bar"):
         return ge.geo_top(roles, f, 10).select(F.col("country").alias("label"), F.col("revenue").alias("value"))
     if cid == "chart-hourly":
-        return pa.hourly_activity(roles, f).select(hour_label("hour").alias("label"),
+        return pa.hourly_activity(roles, f, bare=True).select(hour_label("hour").alias("label"),
                                                    F.col("rentals").cast("double").alias("value"))
     if cid == "chart-hourly-rev":
         return pa.hourly_revenue(roles, f).select(hour_label("hour").alias("label"),
@@ -74,7 +74,8 @@ def _points(roles: Roles, cid: str, f: Filters) -> DataFrame:
 
 
 def share(roles: Roles, chart_id: str, f: Filters = NO_FILTERS) -> DataFrame:
-    """label, value, percent of the chart's total (rounded to 4 places)."""
+    """label, value, percent of the chart's total (rounded to 4 places; null when the total is 0)."""
     pts = _points(roles, chart_id, f)
     total = F.sum("value").over(Window.partitionBy())  # bounded: one row per chart point
-    return pts.select("label", "value", F.round(F.col("value") / total * 100, 4).alias("percent"))
+    # nothing paid: no share of nothing, so null rather than an error
+    return pts.select("label", "value", F.round(F.try_divide(F.col("value"), total) * 100, 4).alias("percent"))

@@ -91,7 +91,7 @@ def ranked_categories(roles: Roles, k: int = 5) -> DataFrame:
     w = Window.orderBy(F.col("_rev").desc_nulls_first(), F.col("category"))
     return top.select(F.row_number().over(w).cast("bigint").alias("rank"), "category",
                       F.col("_rev").cast("double").alias("revenue"), "rentals",
-                      F.round(F.col("_rev") / F.sum("_rev").over(Window.partitionBy()) * 100, 2)
+                      F.round(F.try_divide(F.col("_rev"), F.sum("_rev").over(Window.partitionBy())) * 100, 2)
                       .cast("double").alias("share_pct"))
 
 
@@ -130,6 +130,7 @@ def unusual(roles: Roles, z: float = 2.0) -> DataFrame:
                     F.round(zero_if_null("_r"), 2).cast("double").alias("value")))
     both = months.unionByName(cats)
     w = Window.partitionBy("kind")  # two groups of bounded size
-    zs = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    # without spread nothing is unusual: z is null and the flag false
+    zs = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
     return both.select("kind", "label", "value", F.round(zs, 4).alias("z")).select(
-        "kind", "label", "value", "z", (F.abs(F.col("z")) > z).alias("unusual"))
+        "kind", "label", "value", "z", F.coalesce(F.abs(F.col("z")) > z, F.lit(False)).alias("unusual"))

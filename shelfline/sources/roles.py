@@ -17,8 +17,10 @@ Column contracts (all lazily planned DataFrames):
 * ``customer_country`` customer_id, country (the address -> city -> country chain)
 * ``staff``       staff_id, first_name, last_name
 * ``stores``      store_id (every store, also those without rentals)
-* ``activity``    ts, customer_id, amount: timestamped transactions carrying
-                  a real time of day (hour patterns)
+* ``activity``    ts, customer_id, amount, rows: timestamped transactions carrying
+                  a real time of day (hour patterns); ``rows`` is what joining the
+                  payments makes of one, greatest(#payments, 1)
+* ``activity_store`` the same with store_id, read only when a store is asked for
 * ``conversations`` conv_id, turn, role, text
 
 ``rental_id`` may be any equality-comparable type (a struct in the test-data
@@ -57,6 +59,7 @@ class Roles:
     stores: DataFrame
     activity: DataFrame
     conversations: DataFrame
+    activity_store: DataFrame | None = None
     rental_paid: DataFrame | None = None
     rental_paid_complete: bool = False
     film_category_named: DataFrame | None = None

@@ -34,15 +34,20 @@ def roles_from_tables(read: Reader, conversations: DataFrame | None = None) -> R
            .join(t["city"].select("city_id", "country_id"), "city_id")
            .join(t["country"].select("country_id", "country"), "country_id")
            .select("customer_id", "country"))
-    paid = payment.groupBy("rental_id").agg(F.sum("amount").alias("amount"))
-    activity = (rental.join(paid, "rental_id", "left")
-                .select(F.col("rental_date").alias("ts"), "customer_id",
-                        F.coalesce("amount", F.lit(0)).cast("decimal(12,2)").alias("amount")))
+    paid = payment.groupBy("rental_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("rows"))
+    act = ["ts", "customer_id", "amount", "rows"]
+    units = t["inventory"].select("inventory_id", "film_id", F.col("store_id").cast("int").alias("store_id"))
+    joined = (rental.join(paid, "rental_id", "left")
+              .select(F.col("rental_date").alias("ts"), "customer_id", "inventory_id",
+                      F.coalesce("amount", F.lit(0)).cast("decimal(12,2)").alias("amount"),
+                      F.coalesce("rows", F.lit(1)).cast("bigint").alias("rows")))
+    activity = joined.select(*act)
+    activity_store = joined.join(units, "inventory_id").select(*act, "store_id")
     if conversations is None:
         conversations = rental.sparkSession.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     return Roles(
         rental=rental, payment=payment,
-        inventory=t["inventory"].select("inventory_id", "film_id", F.col("store_id").cast("int").alias("store_id")),
+        inventory=units,
         film=t["film"].select("film_id", "title", "rating", F.col("rental_rate").cast("decimal(12,2)").alias("rental_rate")),
         film_category=t["film_category"].select("film_id", "category_id"),
         category=t["category"].select("category_id", "name"),
@@ -52,7 +57,7 @@ def roles_from_tables(read: Reader, conversations: DataFrame | None = None) -> R
         customer_country=geo,
         staff=t["staff"].select(F.col("staff_id").cast("string").alias("staff_id"), "first_name", "last_name"),
         stores=t["store"].select(F.col("store_id").cast("int").alias("store_id")),
-        activity=activity, conversations=conversations)
+        activity=activity, activity_store=activity_store, conversations=conversations)
 
 
 def parquet_tables(spark: SparkSession, base: str) -> Reader:

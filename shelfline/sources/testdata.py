@@ -135,7 +135,11 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     stores = t["region"].select(F.col("r_regionkey").cast("int").alias("store_id"))
 
     activity = t["events"].select(F.col("ts"), F.col("user_id").alias("customer_id"),
-                                  F.col("value").cast(MONEY).alias("amount"))
+                                  F.col("value").cast(MONEY).alias("amount"), F.lit(1).cast("bigint").alias("rows"))
+    # an event belongs to the store (region) of its customer's nation
+    store_of = cust.join(F.broadcast(nation), cust["c_nationkey"] == nation["n_nationkey"]) \
+        .select(cust["c_custkey"].alias("customer_id"), nation["n_regionkey"].cast("int").alias("store_id"))
+    activity_store = activity.join(store_of, "customer_id")
 
     # rental_paid: payments and the inventory unit of a rental come from its own
     # lineitem row, so the fact is enriched without a payment union/aggregate/join
@@ -189,5 +193,5 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
                  film_category=film_category, category=category, film_actor=film_actor,
                  actor=actor, customer=customer, customer_country=customer_country,
                  staff=staff, stores=stores, activity=activity,
-                 conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True,
+                 activity_store=activity_store, conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True,
                  film_category_named=film_category_named)

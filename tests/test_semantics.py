@@ -10,6 +10,7 @@ from shelfline.plans import inventory as inv
 from shelfline.plans import leaderboards as lb
 from shelfline.plans import overview as ov
 from shelfline.plans import patterns as pa
+from shelfline.plans import share as sh
 from shelfline.plans import trend as tr
 
 
@@ -114,7 +115,7 @@ def test_day_and_hour_labels(spark):
 def test_peak_hour_tie_takes_lowest(spark):
     acts = [(ts("2024-01-01 03:10:00"), 1, D(1)), (ts("2024-01-01 08:10:00"), 1, D(1))]
     roles = roles_of(spark)
-    roles = roles.__class__(**{**roles.__dict__, "activity": spark.createDataFrame(acts, "ts timestamp, customer_id bigint, amount decimal(12,2)")})
+    roles = roles.__class__(**{**roles.__dict__, "activity": spark.createDataFrame([(*x, 1) for x in acts], "ts timestamp, customer_id bigint, amount decimal(12,2), rows bigint")})
     assert pa.peaks(roles).collect()[0].peak_hour == 3
 
 
@@ -129,3 +130,23 @@ def test_month_filter_is_pushed_as_range(spark):
     roles = roles_of(spark, rental=[rental(1, "2024-01-31 23:59:59"), rental(2, "2024-02-01")])
     n = ov.trend(roles, Filters.of(None, "2024-01")).agg(F.sum("rentals")).collect()[0][0]
     assert n == 1
+
+
+def test_hour_patterns_follow_store_and_payment_fan_out(spark):
+    rentals = [rental(1, "2024-01-05 08:00:00"), rental(2, "2024-01-05 09:00:00")]
+    roles = roles_of(spark, rental=rentals, payment=[(1, D("1.00")), (1, D("2.00"))],
+                     inventory=[(1, 1, 1), (2, 1, 1), (3, 2, 2)])
+    cells = {(r.hour, r.rentals, r.revenue) for r in pa.hour_dow_cube(roles).collect()}
+    assert cells == {(8, 2, 3.0), (9, 1, 0.0)}  # two payments make two joined rows
+    bare = {r.label: r.value for r in sh.share(roles, "chart-hourly").collect()}
+    assert bare == {"08:00": 1.0, "09:00": 1.0}
+    assert pa.hour_dow_cube(roles, Filters.of(2)).count() == 0
+    assert pa.peaks(roles, Filters.of(2)).collect()[0].peak_day == "N/A"
+
+
+def test_ratios_without_payment_or_spread(spark):
+    roles = roles_of(spark, rental=[rental(1, "2024-01-05")])
+    assert [r.percent for r in sh.share(roles, "chart-store-rev").collect()] == [None]
+    roles = roles_of(spark, rental=[rental(1, "2024-01-05"), rental(2, "2024-02-05")], payment=[(1, D("2.00")), (2, D("2.00"))])
+    months = [r for r in tr.unusual(roles).collect() if r.kind == "month"]
+    assert [(r.z, r.unusual) for r in months] == [(None, False)] * 2

@@ -14,13 +14,16 @@ def _future(preds: DataFrame) -> DataFrame:
     return preds.where(F.col("kind") == "future").select("series_id", "model", "step", "yhat")
 
 
-def guard(preds: DataFrame, info: DataFrame, target: str = "xgboost",
-          candidates=("random_forest", "linear_regression")) -> DataFrame:
-    """if any step of ``target`` deviates from the candidates' mean by more than
+# Models whose forecasts judge the guarded one.
+GUARD_MODELS = ("random_forest", "linear_regression", "lstm", "xgboost")
+
+
+def guard(preds: DataFrame, info: DataFrame, target: str = "xgboost") -> DataFrame:
+    """the candidates are the GUARD_MODELS that a series has, the target excluded.  If any step of ``target`` deviates from the candidates' mean by more than
     2·std(candidates) + 1 % of the series' mean, replace every step of it by
     round(clip(0.6·target + 0.4·mean), 2).  Other rows pass unchanged."""
     fut = _future(preds)
-    cand = (fut.where(F.col("model").isin(list(candidates))).groupBy("series_id", "step")
+    cand = (fut.where(F.col("model").isin([m for m in GUARD_MODELS if m != target])).groupBy("series_id", "step")
             .agg(F.avg("yhat").alias("_cm"), F.stddev_pop("yhat").alias("_cs"),
                  F.count(F.lit(1)).alias("_cn")))
     tgt = (preds.where((F.col("kind") == "future") & (F.col("model") == target))

@@ -85,7 +85,7 @@ def _ridge_solve(alpha: float):
             a_mat = sxx - n[:, None, None] * xm[:, :, None] * xm[:, None, :] + alpha * np.eye(MAX_LAGS)
             rhs = sxy - n[:, None] * xm * ym[:, None]
             w = np.linalg.solve(a_mat, rhs[:, :, None])[:, :, 0]
-            b = ym - np.einsum("ij,ij->i", xm, w)
+            b = ym - np.einsum("ij,ij->i", xm, w) + pdf["at"].to_numpy(float) * (1 - w.sum(axis=1))
             out = pd.DataFrame({"series_id": pdf["series_id"], "b": b})
             for a in range(MAX_LAGS):
                 out[f"w{a + 1}"] = w[:, a]
@@ -96,10 +96,12 @@ def _ridge_solve(alpha: float):
 def ridge(panel: DataFrame, info: DataFrame, horizon: int, alpha: float = 1.0) -> DataFrame:
     lags = {j: _lag(j) for j in range(1, MAX_LAGS + 1)}
     train = panel.where("is_train")
-    aggs = [F.count(F.lit(1)).cast("double").alias("cnt"), F.sum("y").alias("sy")]
-    aggs += [F.sum(lags[a]).alias(f"sx{a}") for a in lags]
-    aggs += [F.sum(lags[a] * lags[b]).alias(f"sxx{a}_{b}") for a in lags for b in lags if b >= a]
-    aggs += [F.sum(lags[a] * F.col("y")).alias(f"sxy{a}") for a in lags]
+    # sums of deviations from the series' mean: money-sized raw sums would lose the digits next to alpha
+    dev, y = {j: c - F.col("ymean") for j, c in lags.items()}, F.col("y") - F.col("ymean")
+    aggs = [F.count(F.lit(1)).cast("double").alias("cnt"), F.sum(y).alias("sy"), F.first("ymean").alias("at")]
+    aggs += [F.sum(dev[a]).alias(f"sx{a}") for a in lags]
+    aggs += [F.sum(dev[a] * dev[b]).alias(f"sxx{a}_{b}") for a in lags for b in lags if b >= a]
+    aggs += [F.sum(dev[a] * y).alias(f"sxy{a}") for a in lags]
     stats = train.groupBy("series_id").agg(*aggs)
     coef_schema = "series_id string, b double, " + ", ".join(f"w{a} double" for a in lags)
     coef = stats.mapInPandas(_ridge_solve(alpha), coef_schema)
@@ -143,27 +145,25 @@ def moving_average(panel: DataFrame, info: DataFrame, horizon: int) -> DataFrame
 
 # ----------------------------------------------------------------------------- pooled trees
 def _features(vals, k):
-    """Scaled lag features (most recent first, 0 beyond k) plus k itself."""
+    """Lag features (most recent first, 0 beyond k), scaled by what the training windows show, plus k itself."""
     from pyspark.ml.functions import array_to_vector
-    cols = [F.when(F.lit(j) <= k, scaled(F.coalesce(F.try_element_at(vals, F.lit(-j)), F.col("ymin"))))
+    cols = [F.when(F.lit(j) <= k, scaled(F.coalesce(F.try_element_at(vals, F.lit(-j)), F.col("tmin")), "tmin", "tmax"))
             .otherwise(F.lit(0.0)) for j in range(1, MAX_LAGS + 1)]
     return array_to_vector(F.array(*cols, k.cast("double")))
 
 
 def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_forest", "decision_tree", "xgboost"),
-                seed: int = 42) -> DataFrame:
+                seed: int = 42, partitions: int = 8) -> DataFrame:
+    """F10-F12.  MLlib draws its samples per partition, so the fitted trees depend on the partitioning: it is a hash of
+    the series into ``partitions`` (a parameter of the model, to be raised with the panel) in a fixed order, never a
+    function of the rows or the cluster's cores."""
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
     w = panel.where(F.col("win").isNotNull()).withColumn("features", _features(F.col("win"), F.col("k"))) \
-        .withColumn("label", scaled(F.col("y")))
+        .withColumn("label", scaled(F.col("y"), "tmin", "tmax"))
     # iterative learners re-read their input every round: cut the lineage once.
     # The table is one row per training window (series x months), a bounded panel.
-    train = cut(w.where("is_train").select("features", "label"))
-    # boosting runs one job per round: size the partitions to the rows (a handful
-    # of series needs one task per round, a large panel keeps its parallelism)
-    rows = train.count()
-    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // 50000)))
-    if parts < train.rdd.getNumPartitions():
-        train = train.coalesce(parts)
+    train = cut(w.where("is_train").repartition(partitions, "series_id").sortWithinPartitions("series_id", "t")
+                .select("features", "label"))
     makers = {
         "random_forest": lambda: RandomForestRegressor(numTrees=200, maxDepth=6, featureSubsetStrategy="all", seed=seed),
         "decision_tree": lambda: DecisionTreeRegressor(maxDepth=4, seed=seed),
@@ -173,13 +173,13 @@ def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_
     out = None
     for name in kinds:
         model = makers[name]().fit(train)
-        scored = model.transform(w).withColumn("yhat", unscaled(F.col("prediction")))
+        scored = model.transform(w).withColumn("yhat", unscaled(F.col("prediction"), "tmin", "tmax"))
         rows = _rows(scored, name, F.col("yhat"))
         # recursive forecast, feeding back the unclipped prediction
         state = info.withColumn("vals", F.col("tail")).withColumn("outs", F.array().cast("array<double>"))
         for _ in range(horizon):
             state = (model.transform(state.withColumn("features", _features(F.col("vals"), F.col("k"))))
-                     .withColumn("p", unscaled(F.col("prediction")))
+                     .withColumn("p", unscaled(F.col("prediction"), "tmin", "tmax"))
                      .withColumn("vals", F.concat("vals", F.array("p")))
                      .withColumn("outs", F.concat("outs", F.array("p")))
                      .drop("features", "prediction", "p"))

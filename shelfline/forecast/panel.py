@@ -6,7 +6,7 @@ Steps (all per series, as window functions partitioned by series):
 * F2 eligibility: at least 4 points, the rest goes to a rejects table
 * F3 horizon clamp 1..6
 * F4 adaptive lag length k = min(max(3, min(6, n // 2)), n - 2), then min(k, max(1, n - 3))
-* F5 min-max scale per series (constant series -> 0)
+* F5 min-max scale per series (constant series -> 0); models scale by the training part (tmin, tmax)
 * F6 sliding windows: for every point t >= k the previous k values (oldest first)
 * F7 chronological split of the m = n - k windows: train = max(1, min(int(0.8 m), m - 2))
 * F8 forecast bounds [0.3 min, 2.5 max]
@@ -80,6 +80,9 @@ def prepare(series: DataFrame) -> DataFrame:
          .withColumn("split", F.greatest(F.lit(1), F.least(F.floor(F.col("m") * F.lit(0.8)), F.col("m") - 2)).cast("int"))
          .withColumn("lo", F.lit(0.3) * F.col("ymin"))
          .withColumn("hi", F.lit(2.5) * F.col("ymax")))
+    # what training may see: the values up to the last training target
+    seen = F.when(F.col("t") < F.col("k") + F.col("split"), F.col("y"))
+    p = p.withColumn("tmin", F.min(seen).over(s)).withColumn("tmax", F.max(seen).over(s))
     prev = F.collect_list("y").over(o.rowsBetween(-MAX_LAGS, -1))
     p = p.withColumn("win", F.when(F.col("t") >= F.col("k"), F.slice(prev, -F.col("k"), F.col("k"))))
     i = F.col("t") - F.col("k")
@@ -113,6 +116,7 @@ def series_info(panel: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.first("k").alias("k"), F.first("m").alias("windows"),
         F.first("split").alias("train_size"), (F.first("m") - F.first("split")).alias("test_size"),
         F.first("ymin").alias("ymin"), F.first("ymax").alias("ymax"), F.first("ymean").alias("ymean"),
+        F.first("tmin").alias("tmin"), F.first("tmax").alias("tmax"),
         F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("last_period").alias("last_period"),
         F.transform(tail, lambda x: x.getField("y")).alias("tail"),
         F.max_by("y", "t").alias("last_y"),

@@ -44,10 +44,11 @@ class Forecast:
         return fut.select("series_id", "model", "step", "period", "yhat")
 
 
-def run_forecast(series: DataFrame, horizon=3, models=DEFAULT_MODELS, guard_target: str | None = "xgboost",
+def run_forecast(series: DataFrame, horizon=3, models=DEFAULT_MODELS, guard_target: str | None = "auto",
                  strict_compat: bool = True, extra_predictions: DataFrame | None = None) -> Forecast:
     """``series``: (series_id, period DATE, y DOUBLE).  ``extra_predictions`` lets
-    externally trained models (same long schema) enter scoring and the ensemble."""
+    externally trained models (same long schema) enter scoring and the ensemble.  The guard (F21) watches the
+    transformer where extra predictions bring one, else the boosted trees."""
     h = clamp_horizon(horizon)
     panel = prepare(series)
     info = series_info(panel)
@@ -66,10 +67,12 @@ def run_forecast(series: DataFrame, horizon=3, models=DEFAULT_MODELS, guard_targ
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
-    if guard_target and guard_target in models:
-        preds = en.guard(preds, info, guard_target)
+    targets = ["transformer", "xgboost"] if guard_target == "auto" else [guard_target] if guard_target else []
+    for target in targets:
+        if target in models or extra_predictions is not None and target == "transformer":
+            preds = en.guard(preds, info, target)
+            break
     m = sc.metrics(preds)
-    # ARIMA enters the leaderboard only when it produced a forecast
-    board = sc.leaderboard(m, info.select("series_id", "n"), strict_compat)
+    board = sc.leaderboard(sc.on_board(m, preds), info.select("series_id", "n"), strict_compat)
     return Forecast(panel=panel, info=info, rejects=rejects(series), predictions=preds, metrics=m,
                     leaderboard=board, ensemble=en.ensemble(preds, h), labels=future_labels(info, h), horizon=h)

@@ -64,6 +64,9 @@ def leaderboard(m: DataFrame, n_points: DataFrame, strict_compat: bool = True) -
                          ((F.col("r2") < 0) | (F.col("mape") > 50)).alias("underperforming"))
 
 
-def available_models(m: DataFrame) -> DataFrame:
-    """models entering the leaderboard (non-null MAE)."""
-    return m.where(F.col("mae").isNotNull()).select("series_id", "model")
+def on_board(m: DataFrame, preds: DataFrame) -> DataFrame:
+    """ARIMA enters the leaderboard only where it produced a forecast."""
+    forecast = (preds.where((F.col("kind") == "future") & (F.col("model") == "arima")).select("series_id", "model").distinct()
+                .withColumn("_has", F.lit(True)))
+    return (m.join(forecast, ["series_id", "model"], "left")
+            .where((F.col("model") != "arima") | F.col("_has")).drop("_has"))

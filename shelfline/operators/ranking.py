@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-DEFAULT_BUCKETS = 64
-
-
-def value_ranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Distinct non-null values of ``col`` with ``cnt``, ``below`` and ``n`` (total rows)."""
+def value_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
+    """Distinct non-null values of ``col`` with ``cnt``, ``below`` and ``n`` (total rows).  ``buckets``: one per
+    shuffle partition of the session, unless given."""
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # distinct values with counts, written once: the bucket bounds and the prefix
     # sums both read it (reliable checkpoint in the shared folder)
     vc = cut(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt")))
@@ -50,7 +49,7 @@ def value_ranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> Data
 
 
 def percent_rank(df: DataFrame, col: str, out: str = "pct_rank",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Add PERCENT_RANK() OVER (ORDER BY col): (rank-1)/(n-1), 0 when n = 1."""
     vr = value_ranks(df, col, buckets).select(
         col, F.when(F.col("n") > 1, F.col("below").cast("double") / (F.col("n") - 1).cast("double"))
@@ -59,7 +58,7 @@ def percent_rank(df: DataFrame, col: str, out: str = "pct_rank",
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """One row: ``q0..q{k-1}`` exact linear-interpolated quantiles, plus ``vmin``, ``vmax``, ``n``.
 
     Position h = (n-1)*p; value = x[floor h] + (h - floor h) * (x[floor h + 1] - x[floor h]).

@@ -49,7 +49,8 @@ def monthly_series(roles: Roles, by: str = "all") -> DataFrame:
         base, key = paid_rentals(roles), F.col("store_id").cast("string")
     elif by == "category":
         fc = roles.film_category.join(roles.category, "category_id").select("film_id", "name")
-        base, key = paid_rentals(roles).join(fc, "film_id"), F.col("name")
+        per_film = paid_rentals(roles).groupBy("film_id", month_start("rental_date").alias("rental_date")).agg(F.sum("paid").alias("paid"))
+        base, key = per_film.join(fc, "film_id"), F.col("name")
     else:
         raise ValueError(f"unknown series key {by!r}")
     m = (base.groupBy(key.alias("series_id"), month_start("rental_date").alias("period"))

@@ -60,6 +60,20 @@ def bare_paid_rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     return with_payments(f.apply_month(roles.rental), roles)
 
 
+def bare_rentals(roles: Roles) -> DataFrame:
+    """The rental fact alone, from the enriched fact where that holds every rental."""
+    if roles.rental_paid is not None and roles.rental_paid_complete:
+        return roles.rental_paid.select("rental_id", "rental_date", "return_date", "inventory_id", "customer_id", "staff_id")
+    return roles.rental
+
+
+def per_customer(fact: DataFrame) -> DataFrame:
+    """One row per customer: joined rows, payments (null when none) and last rental.  A dimension met after this
+    meets each customer once, and a hot customer is combined before the shuffle."""
+    return fact.groupBy("customer_id").agg(F.sum("rows").alias("rows"), F.sum("paid").alias("paid"),
+                                           F.max("rental_date").alias("last"))
+
+
 def unit_activity(roles: Roles, month: str | None = None) -> DataFrame:
     """Per inventory unit: ``unit_rows`` (joined rental×payment rows, 0 if never
     rented), ``unit_rentals`` (rental rows, no payment fan-out) and ``unit_paid``

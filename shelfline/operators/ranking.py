@@ -48,13 +48,17 @@ def value_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFram
             .select(col, "cnt", (F.col("_off") + F.col("_in")).alias("below"), "n"))
 
 
+def rank_counts(df: DataFrame, col: str, out: str = "pct_rank", buckets: int | None = None) -> DataFrame:
+    """Per distinct value its number of rows ``cnt`` and PERCENT_RANK: (rank-1)/(n-1), 0 when n = 1."""
+    return value_ranks(df, col, buckets).select(
+        col, "cnt", F.when(F.col("n") > 1, F.col("below").cast("double") / (F.col("n") - 1).cast("double"))
+        .otherwise(F.lit(0.0)).alias(out))
+
+
 def percent_rank(df: DataFrame, col: str, out: str = "pct_rank",
                  buckets: int | None = None) -> DataFrame:
     """Add PERCENT_RANK() OVER (ORDER BY col): (rank-1)/(n-1), 0 when n = 1."""
-    vr = value_ranks(df, col, buckets).select(
-        col, F.when(F.col("n") > 1, F.col("below").cast("double") / (F.col("n") - 1).cast("double"))
-        .otherwise(F.lit(0.0)).alias(out))
-    return df.join(vr, col, "left")
+    return df.join(rank_counts(df, col, out, buckets).drop("cnt"), col, "left")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, paid_rentals, rentals
+from ..operators.fact import bare_paid_rentals, bare_rentals, paid_rentals, per_customer, rentals
 from ..operators.filters import Filters, NO_FILTERS
-from ..operators.ranking import exact_quantiles, percent_rank, top_k
+from ..operators.ranking import exact_quantiles, rank_counts, top_k
 from ..session import cut
 from ..sources.roles import Roles
 
@@ -63,10 +63,10 @@ def top_customers(roles: Roles, f: Filters = NO_FILTERS, k: int = 15) -> DataFra
 
 def top_customers_by_name(roles: Roles, f: Filters = NO_FILTERS, k: int = 10) -> DataFrame:
     """Q10: as Q9 but grouped by the name only, so namesakes merge."""
-    agg = (paid_rentals(roles, f).join(roles.customer, "customer_id")
+    agg = (per_customer(paid_rentals(roles, f)).join(roles.customer, "customer_id")
            .groupBy(full_name().alias("name"))
            .agg(F.sum("rows").alias("rentals"), zero_if_null(F.sum("paid")).alias("_rev"),
-                F.max("rental_date").cast("date").alias("last_rental")))
+                F.max("last").cast("date").alias("last_rental")))
     return top_k(agg, [F.col("_rev").desc(), F.col("name")], k).select(
         "name", "rentals", money_out("_rev").alias("revenue"), "last_rental")
 
@@ -109,11 +109,11 @@ def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def customer_value_tiers_pr(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q12: tiers from PERCENT_RANK()*100 of revenue: <=33 low, <=66 mid, else high."""
-    ranked = percent_rank(cut(customer_value(roles, f)), "revenue", out="pr")
+    ranked = rank_counts(customer_value(roles, f), "revenue", out="pr")
     pct = F.col("pr") * F.lit(100.0)
     tier = (F.when(pct <= 33, F.lit(TIERS[0])).when(pct <= 66, F.lit(TIERS[1]))
             .otherwise(F.lit(TIERS[2])))
-    return ranked.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("customers"))
+    return ranked.groupBy(tier.alias("tier")).agg(F.sum("cnt").alias("customers"))
 
 
 def customers_list(roles: Roles, country: str | None = None, min_spent: float | None = None,
@@ -141,7 +141,7 @@ def customers_list(roles: Roles, country: str | None = None, min_spent: float |
 
 def churn_risk(roles: Roles, cutoff: str) -> DataFrame:
     """Q38: customers whose last rental is before ``cutoff`` (YYYY-MM-DD)."""
-    last = roles.rental.groupBy("customer_id").agg(
+    last = bare_rentals(roles).groupBy("customer_id").agg(
         F.max("rental_date").alias("_last"), F.count("rental_id").alias("rentals"))
     return (last.where(F.col("_last") < F.lit(cutoff).cast(last.schema["_last"].dataType))
             .join(roles.customer, "customer_id")
@@ -151,6 +151,6 @@ def churn_risk(roles: Roles, cutoff: str) -> DataFrame:
 
 def loyal_by_country(roles: Roles, min_rentals: int = 40) -> DataFrame:
     """Q39: number of customers with at least ``min_rentals`` rentals, per country."""
-    counts = roles.rental.groupBy("customer_id").agg(F.count("rental_id").alias("n"))
+    counts = bare_rentals(roles).groupBy("customer_id").agg(F.count("rental_id").alias("n"))
     return (counts.where(F.col("n") >= min_rentals).join(roles.customer_country, "customer_id")
             .groupBy("country").agg(F.count(F.lit(1)).alias("loyal_customers")))

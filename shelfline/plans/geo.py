@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, paid_rentals
+from ..operators.fact import bare_paid_rentals, paid_rentals, per_customer
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
@@ -15,9 +15,9 @@ from ..sources.roles import Roles
 def geo(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q13: per country distinct customers, revenue, joined rentals (country not null)."""
     cc = roles.customer_country.where(F.col("country").isNotNull())
-    agg = (paid_rentals(roles, f).join(cc, "customer_id")
+    agg = (per_customer(paid_rentals(roles, f)).join(cc, "customer_id")
            .groupBy("country")
-           .agg(F.countDistinct("customer_id").alias("customers"),
+           .agg(F.count(F.lit(1)).alias("customers"),
                 zero_if_null(F.sum("paid")).alias("_rev"), F.sum("rows").alias("rentals")))
     return agg.select("country", "customers", money_out("_rev").alias("revenue"), "rentals")
 
@@ -42,9 +42,9 @@ def geo_headline(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 def countries(roles: Roles, min_revenue: float | None = None, min_customers: int | None = None,
               k: int = 25) -> DataFrame:
     """Q22: customers, joined rentals, revenue (null when nothing paid) per country."""
-    agg = (bare_paid_rentals(roles).join(roles.customer_country, "customer_id")
+    agg = (per_customer(bare_paid_rentals(roles)).join(roles.customer_country, "customer_id")
            .groupBy("country")
-           .agg(F.countDistinct("customer_id").alias("customers"), F.sum("rows").alias("rentals"),
+           .agg(F.count(F.lit(1)).alias("customers"), F.sum("rows").alias("rentals"),
                 F.sum("paid").alias("_rev")))
     cond = F.lit(True)
     if min_revenue is not None:

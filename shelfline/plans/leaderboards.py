@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_label
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, paid_rentals
+from ..operators.fact import bare_paid_rentals, paid_rentals, per_customer
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
 from .customers import full_name
@@ -80,7 +80,7 @@ def chart_categories(roles: Roles) -> DataFrame:
 
 def chart_countries(roles: Roles, by_revenue: bool = False, ascending: bool = False, k: int = 15) -> DataFrame:
     """Q25: countries by rentals or revenue."""
-    out = (bare_paid_rentals(roles).join(roles.customer_country, "customer_id")
+    out = (per_customer(bare_paid_rentals(roles)).join(roles.customer_country, "customer_id")
            .groupBy("country")
            .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("paid"))).alias("revenue")))
     return top_k(out, [_dir("revenue" if by_revenue else "rentals", ascending), F.col("country")], k)

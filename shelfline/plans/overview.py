@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_label, month_start
 from ..functions.money import guarded_ratio, money_out, zero_if_null
-from ..operators.fact import paid_rentals, units
+from ..operators.fact import bare_rentals, paid_rentals, units
 from ..operators.filters import Filters, NO_FILTERS
 from ..sources.roles import Roles
 
@@ -22,7 +22,7 @@ def months(roles: Roles) -> DataFrame:
     The distinct list has one row per calendar month (bounded by the time span,
     not by data volume), so numbering it in one ordered window is safe.
     """
-    m = roles.rental.select(month_label("rental_date").alias("month")).distinct()
+    m = bare_rentals(roles).select(month_label("rental_date").alias("month")).distinct()
     numbered = m.select(F.row_number().over(Window.orderBy("month")).cast("bigint").alias("pos"), "month")
     sentinel = roles.stores.sparkSession.createDataFrame([(0, "All")], "pos bigint, month string")
     return sentinel.unionByName(numbered)

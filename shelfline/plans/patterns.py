@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_name, day_short, dow, hour
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, paid_rentals, rentals
+from ..operators.fact import bare_paid_rentals, bare_rentals, paid_rentals, rentals
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
@@ -84,7 +84,7 @@ def peak_hours_all(roles: Roles, k: int = 3) -> DataFrame:
 
 def best_days_all(roles: Roles, k: int = 3) -> DataFrame:
     """Q30: busiest weekdays over the bare rental fact (COUNT(*), no payment join)."""
-    c = (roles.rental.groupBy(day_name("rental_date").alias("day"), dow("rental_date").alias("dow"))
+    c = (bare_rentals(roles).groupBy(day_name("rental_date").alias("day"), dow("rental_date").alias("dow"))
          .agg(F.count(F.lit(1)).alias("rentals")))
     return top_k(c, [F.col("rentals").desc(), F.col("dow")], k)
 

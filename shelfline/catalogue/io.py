@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..oracle import with_roles
@@ -58,9 +60,13 @@ def q_bundle(roles):
     spark = roles.rental.sparkSession
     # the bundle's version is the version of the files its marts read
     sig = star.input_signature(spark, sorted(set(roles.rental.inputFiles() + roles.payment.inputFiles())))
-    base = sinks.bundle_dir(roles, sig)
-    if not star._done(spark, base + "/store_summary"):
+    # the pointer is published after the last mart: a bundle is whole or not there
+    pointer = sinks.bundle_dir(roles, sig) + ".current"
+    base = star.published(spark, pointer)
+    if base is None:
+        base = f"{sinks.bundle_dir(roles, sig)}-{uuid.uuid4().hex}"
         sinks.write_bundle(roles, base)
+        base = star.publish(spark, pointer, base)
     return spark.read.parquet(base + "/store_summary")
 
 

@@ -60,6 +60,14 @@ def bare_paid_rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     return with_payments(f.apply_month(roles.rental), roles)
 
 
+def distinct_rentals(fact: DataFrame):
+    """COUNT(DISTINCT rental_id) of a paid fact: a sum over the marked first rows where the provider marks them, so
+    the nearly unique key is not shuffled."""
+    if "rental_first" in fact.columns:
+        return F.coalesce(F.sum(F.col("rental_first").cast("bigint")), F.lit(0))
+    return F.countDistinct("rental_id")
+
+
 def bare_rentals(roles: Roles) -> DataFrame:
     """The rental fact alone, from the enriched fact where that holds every rental."""
     if roles.rental_paid is not None and roles.rental_paid_complete:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_label, month_start
 from ..functions.money import guarded_ratio, money_out, zero_if_null
-from ..operators.fact import bare_rentals, paid_rentals, units
+from ..operators.fact import bare_rentals, distinct_rentals, paid_rentals, units
 from ..operators.filters import Filters, NO_FILTERS
 from ..sources.roles import Roles
 
@@ -35,10 +35,11 @@ def kpi(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     The fact and catalogue aggregates are two one-row frames computed in
     parallel; stacking them and taking max() per column combines them without
     a join of single-row frames."""
-    facts = paid_rentals(roles, f).agg(
+    fact = paid_rentals(roles, f)
+    facts = fact.agg(
         zero_if_null(F.sum("paid")).alias("_rev"),
         F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct("rental_id").alias("rentals"),
+        distinct_rentals(fact).alias("rentals"),
         F.lit(None).cast("bigint").alias("inventory"), F.lit(None).cast("bigint").alias("films"))
     catalogue = units(roles, f.without_month()).agg(
         F.lit(None).cast(facts.schema["_rev"].dataType).alias("_rev"),
@@ -52,9 +53,10 @@ def kpi(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def store_compare(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q3: per store, month filter only; every store present, missing ones zero."""
-    agg = (paid_rentals(roles, f.without_store()).groupBy("store_id")
+    fact = paid_rentals(roles, f.without_store())
+    agg = (fact.groupBy("store_id")
            .agg(zero_if_null(F.sum("paid")).alias("_rev"),
-                F.countDistinct("rental_id").alias("rentals"),
+                distinct_rentals(fact).alias("rentals"),
                 F.countDistinct("customer_id").alias("customers")))
     # stores is one row per store: a dimension whose size does not grow with the fact
     return (roles.stores.join(agg, "store_id", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ampm_label
 from ..functions.money import zero_if_null
-from ..operators.fact import paid_rentals
+from ..operators.fact import distinct_rentals, paid_rentals
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..plans import customers as cu
@@ -83,8 +83,9 @@ def context_report(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
         _fixed(spark, 0, [f"=== REAL-TIME DASHBOARD DATA (Filter: Store={store_s}, Month={month_s}) ==="]),
         _fixed(spark, 1, ["[KEY PERFORMANCE INDICATORS]"]), kpi,
     ]
-    stores = (paid_rentals(roles, f.without_store()).groupBy("store_id")
-              .agg(zero_if_null(F.sum("paid")).alias("rev"), F.countDistinct("rental_id").alias("n"),
+    store_fact = paid_rentals(roles, f.without_store())
+    stores = (store_fact.groupBy("store_id")
+              .agg(zero_if_null(F.sum("paid")).alias("rev"), distinct_rentals(store_fact).alias("n"),
                    F.countDistinct("customer_id").alias("c")))
     parts.append(_section(stores, 2, "[STORE COMPARISON — both stores, month filter applied]",
                           F.concat(F.lit("  Store "), F.col("store_id").cast("string"), F.lit(": Revenue="),

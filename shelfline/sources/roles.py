@@ -31,7 +31,8 @@ Optional, for providers that can derive it more cheaply than the generic plan:
 * ``rental_paid`` rental ⋈ inventory ⟕ payment already reduced to one row per
   rental: the rental columns plus film_id, store_id, ``paid`` (sum of its
   payments, null if none) and ``rows`` (rows the payment join produces,
-  greatest(#payments, 1)).  ``rental_paid_complete`` states that every rental
+  greatest(#payments, 1)) and, where keys may repeat, ``rental_first``, true on one
+  row of each rental key.  ``rental_paid_complete`` states that every rental
   has its inventory unit, so the frame also stands for rental ⟕ payment.
 * ``film_category_named`` film_category ⋈ category as (film_id, name).
 """

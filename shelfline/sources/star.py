@@ -12,8 +12,9 @@ rental ⋈ inventory ⟕ payment for each is the dominant cost.  Written once
   Hadoop FileSystem API, so HDFS/S3/local alike); new input -> new folder.
 * Layout: rows sorted by ``rental_date`` within each file, so a month filter (a
   pushed range predicate) skips row groups without small-file partitioning.
-* Publication: written to a temporary sibling and renamed into place, so a
-  reader never sees a half-written table; a completed table is reused as is.
+* Publication: a table is written to a folder of its own and then named by a small
+  pointer file, created only if none is there; nothing is renamed or deleted, so a
+  reader sees a whole table or none, and of two writers the first one's is read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -33,36 +35,45 @@ def _fs(spark: SparkSession, path: str):
 
 
 def input_signature(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and times of all files under the paths, partition folders included."""
     h = hashlib.sha256()
     for path in sorted(paths):
         fs, p, _ = _fs(spark, path)
         h.update(path.encode())
         if fs.exists(p):
-            for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-                h.update(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}".encode())
+            files, found = fs.listFiles(p, True), []
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+            h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    fs, p, jvm = _fs(spark, path)
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+def published(spark: SparkSession, pointer: str) -> str | None:
+    """The folder that a pointer file names, or None."""
+    fs, p, _ = _fs(spark, pointer)
+    return spark.read.text(pointer).first()[0] if fs.exists(p) and fs.getFileStatus(p).getLen() else None
+
+
+def publish(spark: SparkSession, pointer: str, folder: str) -> str:
+    """Names the folder in the pointer file unless one is named already; the folder that readers get."""
+    fs, p, jvm = _fs(spark, pointer)
+    try:
+        out = fs.create(p, False)  # fails if it exists
+        out.write(bytearray(folder.encode()))
+        out.close()
+    except Py4JJavaError:
+        pass  # another job published it first
+    return published(spark, pointer) or folder
 
 
 def materialize(spark: SparkSession, name: str, df: DataFrame, signature: str,
                 sort_col: str | None = None) -> DataFrame:
     """Write ``df`` once under the star folder for ``signature`` and return a scan of it."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/shelfline-star/{signature}/{name}"
-    if not _done(spark, path):
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        out = df.sortWithinPartitions(sort_col) if sort_col else df
-        out.write.mode("overwrite").parquet(tmp)
-        fs, src, jvm = _fs(spark, tmp)
-        dst = jvm.org.apache.hadoop.fs.Path(path)
-        if not _done(spark, path):
-            if fs.exists(dst):
-                fs.delete(dst, True)
-            fs.rename(src, dst)
-        else:  # another job published it first
-            fs.delete(src, True)
-    return spark.read.parquet(path)
+    pointer = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfline-star/{signature}/{name}.current"
+    folder = published(spark, pointer)
+    if folder is None:
+        folder = f"{pointer.removesuffix('.current')}-{uuid.uuid4().hex}"
+        (df.sortWithinPartitions(sort_col) if sort_col else df).write.parquet(folder)
+        folder = publish(spark, pointer, folder)
+    return spark.read.parquet(folder)

@@ -3,7 +3,7 @@
 Mapping (one rental per lineitem row):
 
 * rental    = lineitem ⋈ orders; rental_date = o_orderdate, return_date = l_shipdate,
-              customer_id = o_custkey, inventory_id = l_partkey*100000 + l_suppkey,
+              customer_id = o_custkey, inventory_id = struct(l_partkey, l_suppkey),
               staff_id = o_orderpriority
 * payment   = price payment (l_returnflag <> 'R') UNION ALL tax payment
               (l_tax > 0 AND l_linestatus = 'F'), exact decimals
@@ -15,11 +15,8 @@ Mapping (one rental per lineitem row):
 * customer  = customer; country = nation name
 * activity  = events (ts, user_id, value)
 
-``rental_id`` is ``struct(line_key, inventory_id)`` with
-``line_key = l_orderkey*10 + l_linenumber``.  It identifies the same rows as the
-integer ``line_key*10^10 + inventory_id`` but cannot overflow a 64-bit long at
-large scale factors.  Only the parquet columns a mart touches are read:
-every view is a projection Catalyst prunes further.
+``rental_id`` and ``inventory_id`` are structs of the keys they are made of: a
+number made of several keys would overflow or collide at some scale factor.
 """
 
 from __future__ import annotations
@@ -45,12 +42,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _inventory_id(l: DataFrame):
-    return l["l_partkey"] * F.lit(100000) + l["l_suppkey"]
+    # a struct: any product of the two keys overflows or collides at some scale factor
+    return F.struct(l["l_partkey"].alias("part"), l["l_suppkey"].alias("supplier"))
 
 
 def _rental_id(l: DataFrame):
-    return F.struct((l["l_orderkey"] * F.lit(10) + l["l_linenumber"]).alias("line_key"),
-                    _inventory_id(l).alias("inventory_id"))
+    return F.struct(l["l_orderkey"].alias("order"), l["l_linenumber"].alias("line"),
+                    l["l_partkey"].alias("part"), l["l_suppkey"].alias("supplier"))
 
 
 STAR_INPUTS = ("lineitem", "orders", "supplier", "nation")
@@ -104,7 +102,7 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
         .select(supplier["s_suppkey"], nation["n_regionkey"].alias("store_id"))
     units = li.select("l_partkey", "l_suppkey").distinct()
     inventory = units.join(supplier_store, units["l_suppkey"] == supplier_store["s_suppkey"]) \
-        .select((F.col("l_partkey") * F.lit(100000) + F.col("l_suppkey")).alias("inventory_id"),
+        .select(F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("inventory_id"),
                 F.col("l_partkey").alias("film_id"), F.col("store_id").cast("int").alias("store_id"))
 
     part = t["part"]
@@ -151,25 +149,22 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
                      (li["l_extendedprice"].cast(MONEY) * li["l_tax"].cast(RATE)).cast(AMOUNT))
     row_paid = F.coalesce(price_amt, F.lit(0)) + F.coalesce(tax_amt, F.lit(0))
     row_npay = price_amt.isNotNull().cast("int") + tax_amt.isNotNull().cast("int")
-    # Payment totals per rental key from lineitem alone (one shuffle on the key),
-    # then the order and supplier lookups on the already-partitioned rows.
-    lines = li.select((li["l_orderkey"] * F.lit(10) + li["l_linenumber"]).alias("_lk"),
-                      _inventory_id(li).alias("inventory_id"), li["l_orderkey"], li["l_suppkey"],
-                      li["l_partkey"].alias("film_id"), li["l_shipdate"].alias("return_date"),
-                      row_paid.alias("_paid"), row_npay.alias("_npay"))
-    # partition on the two long key parts: sorting longs is much cheaper than a struct
-    same = Window.partitionBy("_lk", "inventory_id")
+    # One shuffle of the fact, by order: it serves the window over equal rental keys and the join with the orders.
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", li["l_shipdate"].alias("return_date"),
+                      row_paid.alias("_paid"), row_npay.alias("_npay")).repartition("l_orderkey")
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     n_pay = F.sum("_npay").over(same)
-    keyed = lines.select("_lk", "inventory_id", "l_orderkey", "l_suppkey", "film_id", "return_date",
+    keyed = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "return_date",
                          F.when(n_pay > 0, F.sum("_paid").over(same)).alias("paid"),
-                         F.greatest(n_pay, F.lit(1)).cast("bigint").alias("rows"))
+                         F.greatest(n_pay, F.lit(1)).cast("bigint").alias("rows"),
+                         (F.row_number().over(same.orderBy("return_date")) == 1).alias("rental_first"))
     rental_paid = (keyed.join(orders, keyed["l_orderkey"] == orders["o_orderkey"])
                    .join(supplier_store, keyed["l_suppkey"] == supplier_store["s_suppkey"])
-                   .select(F.struct(F.col("_lk").alias("line_key"), F.col("inventory_id")).alias("rental_id"),
-                           orders["o_orderdate"].alias("rental_date"), "return_date", "inventory_id",
+                   .select(_rental_id(keyed).alias("rental_id"),
+                           orders["o_orderdate"].alias("rental_date"), "return_date", _inventory_id(keyed).alias("inventory_id"),
                            orders["o_custkey"].alias("customer_id"), orders["o_orderpriority"].alias("staff_id"),
-                           "film_id", F.col("store_id").cast("int").alias("store_id"),
-                           F.col("paid").cast(AMOUNT).alias("paid"), "rows"))
+                           keyed["l_partkey"].alias("film_id"), F.col("store_id").cast("int").alias("store_id"),
+                           F.col("paid").cast(AMOUNT).alias("paid"), "rows", "rental_first"))
 
     film_category_named = film_category.join(category, "category_id").select("film_id", "name")
     if materialized:
@@ -183,7 +178,7 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
                      .select("l_partkey", "l_suppkey", F.col("store_id").cast("int").alias("store_id")))
         units_m = star.materialize(spark, "units", units_ext, sig)
         inventory = units_m.where(F.col("store_id").isNotNull()).select(
-            (F.col("l_partkey") * F.lit(100000) + F.col("l_suppkey")).alias("inventory_id"),
+            F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("inventory_id"),
             F.col("l_partkey").alias("film_id"), "store_id")
         film_actor = units_m.select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id"))
         film_category_named = star.materialize(spark, "film_category_named", film_category_named, sig)

@@ -50,3 +50,24 @@ def test_star_materialised_once(spark):
 def test_batch_keeps_going(spark):
     res = adhoc.run_batch(spark, {"ok": "select 1 as a", "bad": "update x set a = 1"})
     assert isinstance(res["bad"], Exception) and res["ok"].rows.collect()[0].a == 1
+
+
+def test_large_supplier_keys_do_not_collide(spark, tmp_path):
+    """Part 1 / supplier 100005 and part 2 / supplier 5 are two units."""
+    from pyspark.sql import functions as F
+
+    from shelfline.plans import overview as ov
+    from shelfline.sources.testdata import TABLES, load_roles
+    sf = "/root/testdata/sf0.001"
+    for name in TABLES:
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "lineitem":
+            one = df.limit(1).cache()
+            df = (one.withColumn("l_partkey", F.lit(1).cast("long")).withColumn("l_suppkey", F.lit(100005).cast("long"))
+                  .unionByName(one.withColumn("l_partkey", F.lit(2).cast("long")).withColumn("l_suppkey", F.lit(5).cast("long"))))
+        if name == "supplier":
+            one = df.limit(1)
+            df = one.withColumn("s_suppkey", F.lit(100005).cast("long")).unionByName(one.withColumn("s_suppkey", F.lit(5).cast("long")))
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    k = ov.kpi(load_roles(spark, str(tmp_path))).first()
+    assert (k.inventory, k.rentals, k.films) == (2, 2, 2)

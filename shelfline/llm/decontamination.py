@@ -146,3 +146,23 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all ``documents``: doc_id, item_id, start_word, n_words, similarity."""
     return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS at, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh
+       FROM d WHERE len(w) >= 5),
+bs AS (SELECT item_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS at, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh
+       FROM b WHERE len(w) >= 5),
+win AS (SELECT DISTINCT doc_id, item_id, size AS item_size, least(size, n) AS size, greatest(0, least(ds.at - bs.at, n - size)) AS start FROM ds JOIN bs ON ds.sh = bs.sh),
+own AS (SELECT win.doc_id, win.item_id, win.start, ds.sh, COUNT(*) AS c FROM win
+        JOIN ds ON ds.doc_id = win.doc_id AND ds.at BETWEEN win.start AND win.start + win.size - 5 GROUP BY ALL),
+their AS (SELECT item_id, sh, COUNT(*) AS c FROM bs GROUP BY ALL),
+k AS (SELECT doc_id, own.item_id, start, SUM(least(own.c, their.c)) AS k FROM own JOIN their ON their.item_id = own.item_id AND their.sh = own.sh GROUP BY ALL),
+m AS (SELECT k.doc_id, k.item_id, k.start, win.size, k, win.size - 4 + win.item_size - 4 - k AS u FROM k
+      JOIN win ON win.doc_id = k.doc_id AND win.item_id = k.item_id AND win.start = k.start)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(size AS BIGINT) AS n_words, CAST(k AS DOUBLE) / CAST(u AS DOUBLE) AS similarity
+FROM m WHERE 100 * k >= 75 * u
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

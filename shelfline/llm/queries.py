@@ -6,13 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation
+from . import chat_rotation, decontamination, embedding_dedup, minhash_dedup
 from .best_fit_packing import op5_best_fit_packing
-from .decontamination import op8_decontamination
-from .embedding_dedup import op10_embedding_dedup
 from .html_extraction import op6_html_extraction
 from .importance_resampling import op9_importance_resampling
-from .minhash_dedup import op4_minhash_dedup
 from .sharding import op1_sharding
 from .token_counts import op7_token_counts
 from .toxicity import op2_toxicity
@@ -21,14 +18,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_chat_rotation": chat_rotation.op3_chat_rotation,
-    "op4_minhash_dedup": op4_minhash_dedup,
+    "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
-    "op8_decontamination": op8_decontamination,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_importance_resampling": op9_importance_resampling,
-    "op10_embedding_dedup": op10_embedding_dedup,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_rotation": chat_rotation.ORACLE,
+    "op4_minhash_dedup": minhash_dedup.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
 }

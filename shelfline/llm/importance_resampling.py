@@ -181,13 +181,13 @@ def threshold(scratch: Scratch, keys: DataFrame, cut: float) -> float:
 
 
 def resampled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, sample_key, selected: one row per input row."""
+    """doc_id, log_weight, sample_key, kept: one row per input row."""
     weights, scratch = fit(spark, docs, labels), Scratch(spark, "resampling")
     text = F.col("text").cast("string")
     rows = scratch.keep(docs.select("doc_id", text.alias("text")).withColumn("log_weight", weights.column(F.col("text")))
                         .select("doc_id", "log_weight", with_gumbel(F.col("log_weight"), F.col("doc_id"), F.col("text")).alias("sample_key")))
     least = threshold(scratch, rows, weights.cut)
-    return rows.withColumn("selected", F.col("sample_key") >= F.lit(least))
+    return rows.withColumn("kept", F.col("sample_key") >= F.lit(least))
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -206,5 +206,5 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample of all ``documents`` in the likeness of the good ones: doc_id, log_weight, sample_key, selected."""
+    """Sample of all ``documents`` in the likeness of the good ones: doc_id, log_weight, sample_key, kept."""
     return resampled(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -26,14 +26,14 @@ def test_held_out_and_edges(spark, frame, vocabulary, tmp_path):
     docs = frame(rows + extra)
     got = resampled(spark, docs, known).collect()
     truth = {i: bool(q) for i, q, _ in labels} | {5000: True, 5001: True, None: True, 5002: False}
-    wrong = [r.doc_id for r in got if r.selected != truth[r.doc_id]]
+    wrong = [r.doc_id for r in got if r.kept != truth[r.doc_id]]
     assert len(got) == len(rows) + len(extra) and len(wrong) <= 0.02 * len(rows)
     assert {r.log_weight for r in got if r.doc_id in (5000, 5001)} == {0.0}
-    assert len({(r.sample_key, r.selected) for r in got if r.doc_id == 5002}) == 1  # repeated rows fall together
+    assert len({(r.sample_key, r.kept) for r in got if r.doc_id == 5002}) == 1  # repeated rows fall together
     known.write.parquet(str(tmp_path / "labels.parquet"))
     kept = good_only(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.selected)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
 def test_kth_largest_is_exact(spark):
@@ -49,4 +49,4 @@ def test_kth_largest_is_exact(spark):
 def test_empty_and_unlabelled(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resampled(spark, frame([]), none).collect() == []
-    assert resampled(spark, frame([(1, "some text"), (2, None)]), none).where(F.col("selected")).count() == 2
+    assert resampled(spark, frame([(1, "some text"), (2, None)]), none).where(F.col("kept")).count() == 2

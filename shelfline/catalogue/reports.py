@@ -261,3 +261,18 @@ def q_film_util_bars(roles):
     from ..plans import inventory as inv
     u = inv.film_utilization(roles)
     return u.select("title", "util_rate", inv.utilization_bar(F.col("util_rate")).alias("util_bar"))
+
+
+@register("report_result_headings", with_roles("""
+, f AS (SELECT 'films' AS label, COUNT(*) AS n FROM film UNION ALL SELECT 'none', COUNT(*) FROM film WHERE title IS NULL
+        UNION ALL SELECT 'stores', COUNT(*) FROM stores)
+SELECT label, 0 AS rank, CASE WHEN n = 0 THEN '📊 **No results found.**' ELSE '## 👥 ' || label END AS line FROM f
+UNION ALL
+SELECT label, 1, CASE WHEN n = 0 THEN '*' || label || '*' WHEN n > 30 THEN '*Showing top 30 of ' || n || ' found*'
+                      WHEN n = 1 THEN '*1 result found*' ELSE '*' || n || ' results found*' END FROM f"""))
+def q_result_headings(roles):
+    """The heading of a long, an empty and a short result."""
+    from ..reports.sections import result_heading
+    parts = [result_heading(df, label).select(F.lit(label).alias("label"), "rank", "line") for label, df in (
+        ("films", roles.film), ("none", roles.film.where("title is null")), ("stores", roles.stores))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

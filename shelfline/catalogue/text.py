@@ -150,3 +150,18 @@ SELECT conv_id, turn,
 FROM conversations""")
 def q_text_truncated(roles):
     return tg.truncated(roles.conversations, 500)
+
+
+_KPI_NUM = "regexp_extract(replace(raw, ',', ''), '^([0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)', 1)"
+
+
+@register("text_commands", f"""
+SELECT conv_id, turn, COALESCE(TRY_CAST(top AS BIGINT), {R.DEFAULT_LIMIT}) AS row_limit, ascending, by_revenue, overstock, slow,
+       NULLIF(kpi, '') AS kpi,
+       CASE WHEN {_KPI_NUM} <> '' THEN CAST({_KPI_NUM} AS DOUBLE) * CASE {' '.join(
+           f"WHEN regexp_matches(raw, {_q(rx)}) THEN {m}" for rx, m in R.KPI_SUFFIXES)} ELSE 1.0 END END AS kpi_value
+FROM (SELECT conv_id, turn, regexp_extract({P}, {_q(R.LIMIT_RE)}, 1) AS top, {_rx(R.ASCENDING_RE)} AS ascending,
+             {_rx(R.BY_REVENUE_RE)} AS by_revenue, {_rx(R.OVERSTOCK_RE)} AS overstock, {_rx(tg.boundaries(R.SLOW_RE))} AS slow,
+             regexp_extract({P}, {_q(R.KPI_RE)}, 1) AS kpi, regexp_extract({P}, {_q(R.KPI_RE)}, 2) AS raw {USER}) t""")
+def q_text_commands(roles):
+    return tg.commands(roles.conversations)

@@ -187,6 +187,19 @@ def recent_summary(roles: Roles, k: int = 3) -> DataFrame:
     return head.unionByName(lines)
 
 
+def result_heading(found: DataFrame, label: str, shown: int = 30) -> DataFrame:
+    """The lines above a result: its label and 'Showing top n of N' or 'N results', or that there are none.
+    ``found`` is the whole result; it is only counted."""
+    n = F.col("n")
+    # The texts of the result heading.
+    lines = F.when(n == 0, F.array(F.lit("📊 **No results found.**"), F.lit(f"*{label}*"))).otherwise(F.array(
+        F.lit(f"## 👥 {label}"),
+        F.concat(F.lit("*"), F.when(n > shown, F.concat(F.lit(f"Showing top {shown} of "), n.cast("string")))
+                 .otherwise(F.concat(n.cast("string"), F.lit(" result"), F.when(n != 1, "s").otherwise(""))), F.lit(" found*"))))
+    return (found.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).alias("section_ord"), F.posexplode(lines).alias("rank", "line"))
+            .select("section_ord", F.col("rank").cast("int").alias("rank"), "line"))
+
+
 def render_table(df: DataFrame, order: list[Column], money_pattern: str = "spent|revenue|rate|avg_rate") -> DataFrame:
     """A capped result as table lines: row number, money columns (by name) as
     '**$x.xx**', nulls as '—', other values as text.  ``df`` is already limited."""

@@ -174,6 +174,18 @@ THRESHOLDS_ELSE = {
     ("min_rentals", "film"): r"(?:rented|disewa)\s+(?:more|greater|over)\s+than\s+([\d,]+)\s*()",
 }
 
+# Chart and query commands — row limit, sort direction, measure, film flags.
+LIMIT_RE, DEFAULT_LIMIT = r"top\s+(\d+)", 15
+ASCENDING_RE = "least|lowest|fewest|bottom|asc"
+BY_REVENUE_RE = "revenue|income|pendapatan"
+OVERSTOCK_RE = "overstock|over.?stock|too many cop|banyak copy"
+SLOW_RE = r"\bslow|\bunderperform|\bsedikit disewa|\bjarang"
+# The KPI command and its suffixes; the first suffix whose letters occur in the captured number
+# counts, so "rb" counts as "b".
+KPI_RE = (r"(?:set|ubah|ganti|change|update|jadikan)\s+(revenue|rental|customer|avg|transaction|total)\s+(?:to|jadi|ke|menjadi|=)\s*\$?"
+          r"([\d,.]+\s*(?:m|million|juta|b|billion|k|thousand|rb|ribu)?)")
+KPI_SUFFIXES = [("b|billion", 1e9), ("m|million|juta", 1e6), ("k|thousand|rb|ribu", 1e3)]
+
 # Route names in decision order.
 ROUTES = ["revert", "instant", "chart", "direct_query", "off_topic", "agent"]
 

@@ -272,6 +272,23 @@ def parameters(conv: DataFrame) -> DataFrame:
     return found.select("conv_id", "turn", "branch", *out, "_ent.*")
 
 
+def commands(conv: DataFrame) -> DataFrame:
+    """Per user turn the row limit, sort direction, measure and film flags that a chart or query command names,
+    and the KPI override with its second suffix set."""
+    p = F.col("_p")
+    base = user_turns(conv).select("conv_id", "turn", lowered(F.col("text")).alias("_p"))
+    found = base.select("conv_id", "turn", F.regexp_extract(p, R.LIMIT_RE, 1).alias("_top"),
+                        p.rlike(R.ASCENDING_RE).alias("ascending"), p.rlike(R.BY_REVENUE_RE).alias("by_revenue"),
+                        p.rlike(R.OVERSTOCK_RE).alias("overstock"), p.rlike(factored(R.SLOW_RE)).alias("slow"),
+                        F.regexp_extract(p, R.KPI_RE, 1).alias("_kpi"), F.regexp_extract(p, R.KPI_RE, 2).alias("_raw"))
+    mult = F.lit(1.0)
+    for pattern, m in reversed(R.KPI_SUFFIXES):
+        mult = F.when(F.col("_raw").rlike(pattern), F.lit(m)).otherwise(mult)
+    return found.select("conv_id", "turn", F.coalesce(F.col("_top").try_cast("bigint"), F.lit(R.DEFAULT_LIMIT)).alias("row_limit"),
+                        "ascending", "by_revenue", "overstock", "slow", F.when(F.col("_kpi") != "", F.col("_kpi")).alias("kpi"),
+                        (parse_number(F.col("_raw")) * mult).alias("kpi_value"))
+
+
 def _history_window(conv: DataFrame) -> DataFrame:
     """Window version: exact for any turn numbering, one task per conversation."""
     o = Window.partitionBy("conv_id").orderBy("turn")

@@ -88,3 +88,17 @@ def test_history_join_and_window_paths_agree(spark):
                                             lambda x: x.getField("turn").cast("string")), ",").alias("a")))
     want = {(r.conv_id, r.turn): (r.c, r.a) for r in ref.collect()}
     assert got == want and got[(2, 9)] == ("0,2,5,6", "0,2,5")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("show top 5 films by revenue", (5, False, True, False, False, None, None)),
+    ("least rented slow films", (15, True, False, False, True, None, None)),
+    ("films with too many copies", (15, False, False, True, False, None, None)),
+    ("set revenue to $2.5m", (15, False, True, False, False, "revenue", 2.5e6)),
+    ("ubah total jadi 3,000 k", (15, False, False, False, False, "total", 3e6)),
+    ("change customer to 4rb", (15, False, False, False, False, "customer", 4e9)),  # the letters of "rb" hold a "b"
+    ("hello", (15, False, False, False, False, None, None)),
+])
+def test_commands(spark, text, want):
+    conv = spark.createDataFrame([(1, 0, "user", text)], "conv_id bigint, turn bigint, role string, text string")
+    assert tuple(tg.commands(conv).collect()[0])[2:] == want

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 SLICE = 1 << 20
-CACHE = 500_000
+CACHE = 750_000
 # the pre-token pattern of the vocabulary file, written with the classes of Python's re
 PATTERN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 # Basic Latin without the separators 1C-1F, Latin-1 letters and signs without superscripts and fractions, Latin

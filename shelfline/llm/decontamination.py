@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: SimHash windows, a multi-index Hamming join, exact verification.
+"""Benchmark passages in documents: windows placed by shared shingles, exact verification of every one.
 
 Only DataFrame functions run on the rows.  Words are lower-cased runs without white space; a text's shingles are
 its five-word sequences, weighted by how often they occur.  The similarity of a window and an item is the
@@ -8,11 +8,8 @@ weighted Jaccard of their shingles, the sum of the lesser weights over the sum o
    A window that reaches the threshold leaves out at most a quarter of the item's shingles, and an edit inside
    the passage breaks at least four neighbouring shingles, so some run of shared shingles is at least
    ``_least_run`` long; looking at every such position of a document therefore misses none.
-2. *Fingerprints.*  The 64-bit SimHash of a window's words is taken from packed counters: sixteen sums of four
-   16-bit lanes per window.
-3. *Multi-index join.*  Fingerprints are cut into RADIUS + 1 blocks.  Two fingerprints within RADIUS bits agree
-   on some block, so the equi-join on (block, value) meets all of them; the Hamming distance is then exact.
-4. *Verification.*  Candidates are compared by their full weighted shingles: 100 * intersection >= 75 * union.
+2. *Verification.*  Every window left is compared with its item by the full weighted shingles:
+   100 * intersection >= 75 * union.  No fingerprint stands between a window and this comparison.
 
 The shingle table of the benchmark and the ids of documents with windows are broadcast only when their counted
 rows are within a bound (``common.BROADCAST_ROWS``); beyond it the same joins are shuffled.
@@ -31,7 +28,6 @@ from .common import Scratch, bounded, fresh, table
 
 PERCENT = 75
 SHINGLE = 5
-RADIUS = 11
 MAX_STEP = 4
 
 
@@ -55,29 +51,6 @@ def _least_run(shingles: int, percent: int) -> int:
     return max(1, min(-(-(shingles - m) // (m // (SHINGLE - 1) + 1)) for m in range(lost + 1)))
 
 
-def simhash(rows: DataFrame, key: list[str], words: str) -> DataFrame:
-    """(key, fingerprint): bit j is set where more than half of the words have bit j in their hash."""
-    lanes = 0x0001000100010001
-    hashed = rows.select(*key, F.explode(words).alias("w")).select(*key, F.xxhash64("w", F.lit(8)).alias("h"))
-    sums = hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(
-        F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lanes))).alias(f"s{j}") for j in range(16)))
-    bits = [F.when(F.shiftrightunsigned(f"s{j}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"),
-                   F.shiftleft(F.lit(1).cast("long"), j + 16 * lane)).otherwise(F.lit(0).cast("long"))
-            for lane in range(4) for j in range(16)]
-    out = bits[0]
-    for bit in bits[1:]:
-        out = out.bitwiseOR(bit)
-    return sums.select(*key, out.alias("fingerprint"))
-
-
-def _blocks(fingerprint: str, radius: int) -> Column:
-    """(block, value) of each of the radius + 1 blocks of a fingerprint."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"),
-                              F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-                     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
-
-
 def _counted(rows: DataFrame, key: list[str], words: str) -> DataFrame:
     """(key, shingle, weight) of word arrays."""
     at = rows.select(*key, words, F.explode(_positions(F.col(words), 1)).alias("at"))
@@ -85,18 +58,20 @@ def _counted(rows: DataFrame, key: list[str], words: str) -> DataFrame:
             .groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match."""
     scratch = Scratch(spark, "decontamination")
-    # a row's key: equal for repeated rows, never null
-    items = scratch.keep(benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("words"))
-                         .withColumn("size", F.size("words")).where(F.col("size") >= SHINGLE)
-                         .withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
+    # a row's key: equal for repeated rows, never null; items of one text are compared once
+    rows = scratch.keep(benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("words"))
+                        .withColumn("size", F.size("words")).where(F.col("size") >= SHINGLE)
+                        .withColumn("item", F.xxhash64("words")))
+    names = rows.select("item", "item_id").distinct()
+    items = scratch.keep(rows.select("item", "size", "words").dropDuplicates(["item"]))
     shortest = items.agg(F.min("size")).first()[0] or SHINGLE
     least = shortest - SHINGLE + 1
     step = min(MAX_STEP, *(_least_run(n, percent) for n in range(least, least + 64)))  # longer items have longer runs
-    places = items.select("size", "words", F.explode(_positions(F.col("words"), 1)).alias("place")).select(
-        "size", "place", shingle_at(F.col("words"), F.col("place")).alias("shingle")).distinct()
+    places = items.select("item", "size", "words", F.explode(_positions(F.col("words"), 1)).alias("place")).select(
+        "item", "size", "place", shingle_at(F.col("words"), F.col("place")).alias("shingle"))
     places = bounded(scratch.keep(places))
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
@@ -106,31 +81,25 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
     seen = texts.select("doc", F.size("words").alias("n_all"), F.explode(shingles).alias("s")).select(
         "doc", "n_all", F.col("s.at").alias("at"), F.col("s.shingle").alias("shingle"))
     start = F.greatest(F.least(F.col("at") - F.col("place"), F.col("n_all") - F.col("size")), F.lit(0))
-    windows = scratch.keep(seen.join(places, "shingle").select("doc", start.alias("start"), F.least("size", "n_all").alias("size")).distinct())
+    windows = scratch.keep(seen.join(places, "shingle").select(
+        "doc", "item", start.alias("start"), F.least("size", "n_all").alias("size")).distinct())
 
     wanted = scratch.keep(windows.select("doc").distinct())
     found = scratch.keep(texts.join(bounded(wanted), "doc", "left_semi").dropDuplicates(["doc"]))
     key = ["doc", "start", "size"]
-    cut = scratch.keep(found.join(windows, "doc").select(*key, "doc_id", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")))
-    marked = simhash(cut, key, "words").select(*key, "fingerprint", F.explode(_blocks("fingerprint", radius)).alias("b"))
-    named = simhash(items, ["item"], "words").select("item", F.col("fingerprint").alias("item_fingerprint"),
-                                                     F.explode(_blocks("fingerprint", radius)).alias("b"))
-    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius
-    pairs = scratch.keep(marked.select(*key, "fingerprint", "b.block", "b.value")
-                         .join(named.select("item", "item_fingerprint", "b.block", "b.value"), ["block", "value"])
-                         .where(near).select(*key, "item").distinct())
-
+    cut = found.join(windows.select(*key).distinct(), "doc").select(
+        *key, F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
     own = _counted(cut, key, "words")
     theirs = _counted(items, ["item"], "words").withColumnRenamed("weight", "item_weight")
-    shared = (pairs.join(own, key).join(theirs, ["item", "shingle"])
+    shared = (windows.join(own, key).join(theirs, ["item", "shingle"])
               .groupBy(*key, "item").agg(F.sum(F.least("weight", "item_weight")).alias("both")))
-    sizes = items.select("item", "item_id", (F.col("size") - SHINGLE + 1).alias("item_total"))
+    sizes = items.select("item", (F.col("size") - SHINGLE + 1).alias("item_total"))
     union = F.col("size") - SHINGLE + 1 + F.col("item_total") - F.col("both")
     matched = (shared.join(sizes, "item").where(F.col("both") * 100 >= union * percent)
                .withColumn("similarity", F.col("both") / union))
-    best = matched.groupBy("doc", "item", "item_id").agg(
+    best = matched.groupBy("doc", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m"))
-    return (best.join(found.select("doc", "doc_id"), "doc")
+    return (best.join(found.select("doc", "doc_id"), "doc").join(names, "item")
             .select("doc_id", "item_id", (-F.col("m.back")).cast("long").alias("start_word"),
                     F.col("m.size").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity")).distinct())
 

@@ -81,3 +81,30 @@ def test_run_bound():
             if sum(hit) * 100 >= 75 * n and len(hit) == n:
                 longest = max(map(len, "".join("x" if h else " " for h in hit).split()), default=0)
                 assert longest >= bound
+
+
+def test_cut_and_edited_passages(spark, frame):
+    """Passages near the threshold, cut at one edge or edited several times, are all found."""
+    rng = random.Random(21)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 120)))) for i in range(40)]
+    docs = []
+    for d in range(400):
+        w = rng.choice(items)[1].split(" ")
+        lost = rng.randint(0, (len(w) - 4) // 7)
+        w = w[lost:] if d % 4 == 0 else w[:len(w) - lost] if d % 4 == 1 else w
+        if d % 4 == 2:  # a document that is three quarters of an item
+            n = -(-(len(w) - 4) * 3 // 4) + 4
+            at = rng.randint(0, len(w) - n)
+            docs.append((d, " ".join(w[at:at + n])))
+            continue
+        if d % 4 == 3:
+            for _ in range(rng.randint(2, 3)):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randint(0, 1)] = [f"x{d}"]
+        before, after = ([f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 150))] for _ in range(2))
+        docs.append((d, " ".join(before + w + after)))
+    want = brute(docs, items)
+    assert len(want) > 250
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in leaks(spark, frame(docs), bench).collect()}
+    assert set(got) == set(want)  # recall 1

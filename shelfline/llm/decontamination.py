@@ -5,10 +5,10 @@ its five-word sequences, weighted by how often they occur.  The similarity of a
 weighted Jaccard of their shingles, the sum of the lesser weights over the sum of the greater ones.
 
 1. *Windows.*  A window has the size of an item, and starts where a shingle that it shares with the item puts it.
-   A window that reaches the threshold leaves out at most a quarter of the item's shingles, and an edit inside
-   the passage breaks at least four neighbouring shingles, so some run of shared shingles is at least
-   ``_least_run`` long; looking at every such position of a document therefore misses none.
-2. *Verification.*  Every window left is compared with its item by the full weighted shingles:
+   Every shingle position of a document is looked up.
+2. *Bound.*  A document and an item go on only if the document has as many places with the item's shingles as the
+   threshold takes.  No window shares more than its document does, so the bound loses nothing at any similarity.
+3. *Verification.*  Every window left is compared with its item by the full weighted shingles:
    100 * intersection >= 75 * union.  No fingerprint stands between a window and this comparison.
 
 The shingle table of the benchmark and the ids of documents with windows are broadcast only when their counted
@@ -28,7 +28,6 @@ from .common import Scratch, bounded, fresh, table
 
 PERCENT = 75
 SHINGLE = 5
-MAX_STEP = 4
 
 
 def words_of(text: Column) -> Column:
@@ -40,20 +39,20 @@ def shingle_at(words: Column, position: Column) -> Column:
     return F.xxhash64(*(F.get(words, position + i) for i in range(SHINGLE)))
 
 
-def _positions(words: Column, step: int) -> Column:
+def _positions(words: Column) -> Column:
     last = F.size(words) - SHINGLE
-    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
+    return F.when(last >= 0, F.sequence(F.lit(0), last))
 
 
 def _least_run(shingles: int, percent: int) -> int:
-    """The longest run of shared shingles is at least this long in any window that reaches the threshold."""
+    """The longest run of shared shingles that edits leave of a passage at the threshold; the search does not rest on it."""
     lost = shingles * (100 - percent) // 100
     return max(1, min(-(-(shingles - m) // (m // (SHINGLE - 1) + 1)) for m in range(lost + 1)))
 
 
 def _counted(rows: DataFrame, key: list[str], words: str) -> DataFrame:
     """(key, shingle, weight) of word arrays."""
-    at = rows.select(*key, words, F.explode(_positions(F.col(words), 1)).alias("at"))
+    at = rows.select(*key, words, F.explode(_positions(F.col(words))).alias("at"))
     return (at.select(*key, shingle_at(F.col(words), F.col("at")).alias("shingle"))
             .groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("weight")))
 
@@ -67,22 +66,25 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
                         .withColumn("item", F.xxhash64("words")))
     names = rows.select("item", "item_id").distinct()
     items = scratch.keep(rows.select("item", "size", "words").dropDuplicates(["item"]))
-    shortest = items.agg(F.min("size")).first()[0] or SHINGLE
-    least = shortest - SHINGLE + 1
-    step = min(MAX_STEP, *(_least_run(n, percent) for n in range(least, least + 64)))  # longer items have longer runs
-    places = items.select("item", "size", "words", F.explode(_positions(F.col("words"), 1)).alias("place")).select(
+    places = items.select("item", "size", "words", F.explode(_positions(F.col("words"))).alias("place")).select(
         "item", "size", "place", shingle_at(F.col("words"), F.col("place")).alias("shingle"))
     places = bounded(scratch.keep(places))
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     texts = texts.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", words_of(F.col("text")).alias("words"))
-    shingles = F.transform(_positions(F.col("words"), step),
+    shingles = F.transform(_positions(F.col("words")),
                            lambda at: F.struct(at.alias("at"), shingle_at(F.col("words"), at).alias("shingle")))
     seen = texts.select("doc", F.size("words").alias("n_all"), F.explode(shingles).alias("s")).select(
         "doc", "n_all", F.col("s.at").alias("at"), F.col("s.shingle").alias("shingle"))
     start = F.greatest(F.least(F.col("at") - F.col("place"), F.col("n_all") - F.col("size")), F.lit(0))
-    windows = scratch.keep(seen.join(places, "shingle").select(
-        "doc", "item", start.alias("start"), F.least("size", "n_all").alias("size")).distinct())
+    met = scratch.keep(seen.join(places, "shingle").select(
+        "doc", "item", "at", start.alias("start"), F.least("size", "n_all").alias("size"), F.col("size").alias("item_size")))
+    # 100 * both >= percent * (own + theirs - both) takes at least so many places
+    total = F.col("size") + F.col("item_size") - 2 * (SHINGLE - 1)
+    enough = (met.groupBy("doc", "item", "size", "item_size").agg(F.count_distinct("at").alias("n"))
+              .where(F.col("n") * (100 + percent) >= total * percent).select("doc", "item"))
+    windows = scratch.keep(met.join(enough, ["doc", "item"], "left_semi").select("doc", "item", "start", "size").distinct())
+    scratch.drop(met)
 
     wanted = scratch.keep(windows.select("doc").distinct())
     found = scratch.keep(texts.join(bounded(wanted), "doc", "left_semi").dropDuplicates(["doc"]))

@@ -108,3 +108,19 @@ def test_cut_and_edited_passages(spark, frame):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in leaks(spark, frame(docs), bench).collect()}
     assert set(got) == set(want)  # recall 1
+
+
+def test_every_position_places_windows(spark, frame):
+    """Insertions and deletions: the best start may come from any shared run, however short."""
+    rng = random.Random(33)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 70)))) for i in range(30)]
+    docs = []
+    for d in range(400):
+        w = rng.choice(items)[1].split(" ")
+        for _ in range(2):
+            at = rng.choice((rng.randrange(2, 9), len(w) - rng.randrange(2, 9)))
+            w[at:at + rng.randint(0, 2)] = [f"x{d}"] * rng.randint(0, 2)
+        docs.append((d, " ".join([f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))] + w + [f"z{k}" for k in range(d % 30)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in leaks(spark, frame(docs), bench).collect()}
+    assert got == brute(docs, items)

@@ -57,10 +57,15 @@ def _counted(rows: DataFrame, key: list[str], words: str) -> DataFrame:
             .groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match."""
+def row_key() -> Column:
+    """A document's key: equal for rows of one doc_id and text, never null."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
+def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """The columns of ``leaks`` with doc, the document's ``row_key``."""
     scratch = Scratch(spark, "decontamination")
-    # a row's key: equal for repeated rows, never null; items of one text are compared once
+    # items of one text are compared once
     rows = scratch.keep(benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("words"))
                         .withColumn("size", F.size("words")).where(F.col("size") >= SHINGLE)
                         .withColumn("item", F.xxhash64("words")))
@@ -70,8 +75,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
         "item", "size", "place", shingle_at(F.col("words"), F.col("place")).alias("shingle"))
     places = bounded(scratch.keep(places))
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    texts = texts.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", words_of(F.col("text")).alias("words"))
+    texts = docs.select(row_key().alias("doc"), "doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = texts.select("doc", "doc_id", words_of(F.col("text")).alias("words"))
     shingles = F.transform(_positions(F.col("words")),
                            lambda at: F.struct(at.alias("at"), shingle_at(F.col("words"), at).alias("shingle")))
     seen = texts.select("doc", F.size("words").alias("n_all"), F.explode(shingles).alias("s")).select(
@@ -102,16 +107,24 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: i
     best = matched.groupBy("doc", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m"))
     return (best.join(found.select("doc", "doc_id"), "doc").join(names, "item")
-            .select("doc_id", "item_id", (-F.col("m.back")).cast("long").alias("start_word"),
-                    F.col("m.size").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity")).distinct())
+            .select("doc", "doc_id", "item_id", (-F.col("m.back")).cast("long").alias("start_word"),
+                    F.col("m.size").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity")))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match."""
+    return _matches(spark, docs, benchmark, percent).drop("doc").distinct()
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no benchmark passage, with their columns as they are."""
+    """Pipeline stage: the documents that hold no benchmark passage, with their columns as they are.
+
+    Rows are judged by doc_id and text: a clean text stays beside a leaking one of the same or of no doc_id.
+    """
     scratch = Scratch(spark, "decontaminated")
     [mark] = fresh(docs, "leaking")
-    hit = scratch.keep(leaks(spark, docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(mark)).distinct())
-    return docs.join(bounded(hit), F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti").select(docs.columns)
+    hit = scratch.keep(_matches(spark, docs, table(spark, sf_dir, "benchmark"), PERCENT).select(F.col("doc").alias(mark)).distinct())
+    return docs.join(bounded(hit), row_key() == F.col(mark), "left_anti").select(docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

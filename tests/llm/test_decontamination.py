@@ -124,3 +124,11 @@ def test_every_position_places_windows(spark, frame):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in leaks(spark, frame(docs), bench).collect()}
     assert got == brute(docs, items)
+
+
+def test_clean_rows_of_a_leaking_id_stay(spark, frame, tmp_path):
+    item = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, item), (None, "clean text without any id here"), (None, None), (5, item), (5, "another clean text of id five"), (6, item + " end")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = Counter((r.doc_id, r.text) for r in without_leaks(spark, frame(rows), str(tmp_path)).collect())
+    assert kept == Counter([rows[1], rows[2], rows[4]])

@@ -2,11 +2,14 @@
 
 Two bag-of-n-grams models share one hash space: the target model counts the n-grams of labelled good documents,
 the raw model those of all documents.  A document's log weight is the sum over its n-grams of
-log(target probability / raw probability).  Sampling without replacement in proportion to the weights is a
+log(target probability / raw probability).  Sampling without replacement in proportion to powers of the weights is a
 Gumbel top-k: each document's key is its log weight plus Gumbel noise from a hash of its id and text, and the k
 largest keys are taken.  k is the number of documents whose weight reaches ``cut``, a threshold set on labelled
 documents that trained neither model, so good documents are sampled and the rest is rejected.
 
+The filter needs a cut that hardly varies: the noise is scaled by TEMPERATURE = 0.05, so the draw is in proportion to
+the 20th power of the weights, near-deterministic, and differs from the hard cut only for log weights close to it.
+
 n-grams are words, punctuation runs and pairs of neighbours, lower-cased; a pair of equal neighbours is one
 feature whatever the word.  Labelled rows: at most ``per_class`` of each class, those with the smallest hash of
 their id (a documented bound), half to fit and half to set the cut.  The raw model reads every document.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, decontamination, embedding_dedup, minhash_dedup
+from . import centroid_clustering, chat_rotation, decontamination, embedding_dedup, fill_in_middle, minhash_dedup
 from .best_fit_packing import op5_best_fit_packing
 from .html_extraction import op6_html_extraction
 from .importance_resampling import op9_importance_resampling
@@ -25,10 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_rotation": chat_rotation.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_centroid_clustering": centroid_clustering.ORACLE,
 }

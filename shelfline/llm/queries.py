@@ -10,6 +10,7 @@ from . import centroid_clustering, chat_rotation, decontamination, embedding_ded
 from .best_fit_packing import op5_best_fit_packing
 from .html_extraction import op6_html_extraction
 from .importance_resampling import op9_importance_resampling
+from .personal_data import op12_personal_data
 from .sharding import op1_sharding
 from .token_counts import op7_token_counts
 from .toxicity import op2_toxicity
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_importance_resampling": op9_importance_resampling,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_personal_data": op12_personal_data,
     "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -2,14 +2,18 @@
 
 ``value_ranks`` turns a column of N values into one row per *distinct* value
 with ``cnt`` and ``below`` (= number of rows with a strictly smaller value).
-It works at any scale:
+It works at any scale, inside one plan:
 
 1. aggregate to distinct values (partial aggregation map-side, so a hot value,
    even a third of all rows, becomes one row before the shuffle);
-2. cut the value range into ``buckets`` ranges using approximate quantiles of the
-   distinct values (a scalar subquery, no driver round trip);
-3. running counts inside each bucket (a window partitioned by bucket) plus the
-   bucket's offset (prefix sum over ``buckets`` rows).
+2. ``repartitionByRange``: Spark samples the distinct values and deals them to
+   value ranges of about equal size; a row's range is its partition's number;
+3. running counts inside each range (a window partitioned by range) plus the
+   counts of the ranges before it (prefix sums over one row per range).
+
+Steps 3a and 3b read the same exchange (the planner reuses it), so a range means the
+same values in both.  Each value is compared with the limits of its range: were the
+exchange not reused, the query would fail instead of ranking wrongly.
 
 From it: ``percent_rank`` (PERCENT_RANK() OVER (ORDER BY v)) and exact
 linear-interpolated quantiles (numpy/pandas 'linear', SQL ``quantile_cont``).
@@ -20,54 +24,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-def value_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """Distinct non-null values of ``col`` with ``cnt``, ``below`` and ``n`` (total rows).  ``buckets``: one per
-    shuffle partition of the session, unless given."""
-    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # distinct values with counts, written once: the bucket bounds and the prefix
-    # sums both read it (reliable checkpoint in the shared folder)
-    vc = cut(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt")))
-    probs = [i / buckets for i in range(1, buckets)]
-    # bucket bounds: a scalar subquery (one array of buckets-1 values), evaluated once
-    bounds = vc.agg(F.percentile_approx(F.col(col), probs, 10000)).scalar()
-    # bucket = number of bounds strictly below the value (sorted insert position)
-    tagged = vc.withColumn(
-        "_b", F.array_position(F.sort_array(F.array_append(bounds, F.col(col))), F.col(col)) - 1)
-    per_bucket = tagged.groupBy("_b").agg(F.sum("cnt").alias("_bcnt"))
-    ordered = Window.orderBy("_b")  # one row per bucket: bounded
-    offsets = per_bucket.select(
-        "_b",
-        F.coalesce(F.sum("_bcnt").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_off"),
-        F.sum("_bcnt").over(Window.partitionBy()).alias("n"))
-    within = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tagged.withColumn("_in", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-    return (ranked.join(F.broadcast(offsets), "_b")
-            .select(col, "cnt", (F.col("_off") + F.col("_in")).alias("below"), "n"))
-
-
-def rank_counts(df: DataFrame, col: str, out: str = "pct_rank", buckets: int | None = None) -> DataFrame:
+
+def value_ranks(df: DataFrame, col: str, ranges: int | None = None, sums: list[str] | None = None) -> DataFrame:
+    """Distinct non-null values of ``col`` with ``cnt``, ``below``, ``n`` (total rows) and the sums per value of the columns
+    named in ``sums``.  ``ranges``: one per shuffle partition of the session, unless given."""
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    carried = sums or []
+    values = (df.where(F.col(col).isNotNull()).groupBy(col)
+              .agg(F.count(F.lit(1)).alias("cnt"), *(F.sum(c).alias(c) for c in carried)))
+    dealt = values.repartitionByRange(ranges, col).withColumn("_range", F.spark_partition_id())
+    # the limits hold every column, so both readers prune alike and share the exchange
+    row = F.struct(col, "cnt", *carried)
+    per_range = dealt.groupBy("_range").agg(F.sum("cnt").alias("_size"), F.min(row).alias("_low"), F.max(row).alias("_high"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range: bounded
+    offsets = per_range.select("_range", "_low", "_high", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+                               F.sum("_size").over(Window.partitionBy()).alias("n"))
+    within = Window.partitionBy("_range").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("_in", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
+    fits = row.between(F.col("_low"), F.col("_high"))
+    below = F.when(fits, F.col("_offset") + F.col("_in")).otherwise(F.raise_error(F.lit("ranges differ: exchange reuse is off")).cast("bigint"))
+    return (ranked.join(F.broadcast(offsets), "_range", "left")
+            .select(col, "cnt", *carried, below.alias("below"), "n"))
+
+
+def rank_counts(df: DataFrame, col: str, out: str = "pct_rank", ranges: int | None = None) -> DataFrame:
     """Per distinct value its number of rows ``cnt`` and PERCENT_RANK: (rank-1)/(n-1), 0 when n = 1."""
-    return value_ranks(df, col, buckets).select(
+    return value_ranks(df, col, ranges).select(
         col, "cnt", F.when(F.col("n") > 1, F.col("below").cast("double") / (F.col("n") - 1).cast("double"))
         .otherwise(F.lit(0.0)).alias(out))
 
 
 def percent_rank(df: DataFrame, col: str, out: str = "pct_rank",
-                 buckets: int | None = None) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Add PERCENT_RANK() OVER (ORDER BY col): (rank-1)/(n-1), 0 when n = 1."""
-    return df.join(rank_counts(df, col, out, buckets).drop("cnt"), col, "left")
+    return df.join(rank_counts(df, col, out, ranges).drop("cnt"), col, "left")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    buckets: int | None = None) -> DataFrame:
-    """One row: ``q0..q{k-1}`` exact linear-interpolated quantiles, plus ``vmin``, ``vmax``, ``n``.
+                    ranges: int | None = None) -> DataFrame:
+    """One row: ``q0..q{k-1}`` exact linear-interpolated quantiles, plus ``vmin``, ``vmax``, ``n``."""
+    return quantiles_of(value_ranks(df, col, ranges), col, probs)
+
+
+def quantiles_of(ranks: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """``exact_quantiles`` from the rows of ``value_ranks``.
 
     Position h = (n-1)*p; value = x[floor h] + (h - floor h) * (x[floor h + 1] - x[floor h]).
     """
-    vr = value_ranks(df, col, buckets)
     aggs = [F.min(col).alias("vmin"), F.max(col).alias("vmax"), F.first("n").alias("n")]
     v = F.col(col).cast("double")
     for i, p in enumerate(probs):
@@ -78,7 +81,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
         aggs += [F.max(F.when(covers(lo), v)).alias(f"_lo{i}"),
                  F.max(F.when(covers(F.least(hi, F.col("n") - 1)), v)).alias(f"_hi{i}"),
                  F.max(h - lo).alias(f"_fr{i}")]
-    row = vr.agg(*aggs)
+    row = ranks.agg(*aggs)
     outs = [F.col("vmin"), F.col("vmax"), F.col("n")]
     for i in range(len(probs)):
         outs.append((F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))

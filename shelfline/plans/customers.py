@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.money import money_out, zero_if_null
 from ..operators.fact import bare_paid_rentals, bare_rentals, paid_rentals, per_customer, rentals
 from ..operators.filters import Filters, NO_FILTERS
-from ..operators.ranking import exact_quantiles, rank_counts, top_k
-from ..session import cut
+from ..operators.ranking import quantiles_of, rank_counts, top_k, value_ranks
 from ..sources.roles import Roles
 
 # Segment labels and value-tier labels as the dashboard shows them.
@@ -55,10 +54,10 @@ def top_customers(roles: Roles, f: Filters = NO_FILTERS, k: int = 15) -> DataFra
     agg = (paid_rentals(roles, f).groupBy("customer_id")
            .agg(F.sum("rows").alias("rentals"), zero_if_null(F.sum("paid")).alias("_rev"),
                 F.max("rental_date").cast("date").alias("last_rental")))
-    out = agg.join(roles.customer, "customer_id").select(
-        "customer_id", full_name().alias("name"), "rentals", "_rev", "last_rental")
-    return top_k(out, [F.col("_rev").desc(), F.col("customer_id")], k).select(
-        "customer_id", "name", "rentals", money_out("_rev").alias("revenue"), "last_rental")
+    # customers without a name row do not count: keep known ids (a bare key join), then name only the k that stay
+    best = top_k(agg.join(roles.customer.select("customer_id"), "customer_id", "left_semi"), [F.col("_rev").desc(), F.col("customer_id")], k)
+    return (best.join(roles.customer, "customer_id").orderBy(F.col("_rev").desc(), "customer_id")
+            .select("customer_id", full_name().alias("name"), "rentals", money_out("_rev").alias("revenue"), "last_rental"))
 
 
 def top_customers_by_name(roles: Roles, f: Filters = NO_FILTERS, k: int = 10) -> DataFrame:
@@ -83,24 +82,23 @@ def half_even_ratio(num: str, den: str, digits: int):
 def customer_value_tiers(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q11: three equal-frequency revenue tiers (linear-interpolated edges, right
     closed, lowest included).  Any collapsed edge puts everyone in the middle tier."""
-    # the ranking reads the per-customer mart several times: write it once
-    # (reliable checkpoint in the shared folder) instead of re-aggregating the fact
-    cv = cut(customer_value(roles, f))
-    e = exact_quantiles(cv, "revenue", [1 / 3, 2 / 3])
+    # one row per distinct revenue, with its customers and their rentals
+    values = value_ranks(customer_value(roles, f), "revenue", sums=["rentals"])
+    e = quantiles_of(values, "revenue", [1 / 3, 2 / 3])
     edges = e.select(F.struct(F.col("q0").alias("e1"), F.col("q1").alias("e2"),
                               F.col("vmin").cast("double").alias("lo"),
                               F.col("vmax").cast("double").alias("hi"))).scalar()
     # attach the one-row edges once (a single scalar subquery), then refer to its fields
-    cv = cv.withColumn("_e", edges)
+    values = values.withColumn("_e", edges)
     e1, e2 = F.col("_e.e1"), F.col("_e.e2")
     ok = (F.col("_e.lo") < e1) & (e1 < e2) & (e2 < F.col("_e.hi"))
     rev = F.col("revenue").cast("double")
     tier_ord = F.when(~ok, F.lit(1)).when(rev <= e1, F.lit(0)).when(rev <= e2, F.lit(1)).otherwise(F.lit(2))
     tiers = F.array(*[F.lit(t) for t in TIERS])
-    return (cv.withColumn("tier_ord", tier_ord)
+    return (values.withColumn("tier_ord", tier_ord)
             .groupBy("tier_ord")
-            .agg(F.count("customer_id").alias("customers"),
-                 F.sum("revenue").alias("_rev"), F.sum("rentals").alias("_rent"))
+            .agg(F.sum("cnt").alias("customers"),
+                 F.sum(F.col("revenue") * F.col("cnt")).alias("_rev"), F.sum("rentals").alias("_rent"))
             .select(F.element_at(tiers, F.col("tier_ord") + 1).alias("tier"),
                     F.col("tier_ord").cast("bigint").alias("tier_ord"), "customers",
                     F.bround(F.col("_rev") / F.col("customers"), 2).cast("double").alias("avg_revenue"),

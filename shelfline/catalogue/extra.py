@@ -48,6 +48,7 @@ _POINTS = {
                      "ROUND(CAST(SUM(epoch_us(r.return_date) - epoch_us(r.rental_date)) AS DOUBLE) / COUNT(*) / 3.6e9, 6) AS value "
                      f"{FACT} WHERE r.return_date IS NOT NULL GROUP BY EXTRACT(DOW FROM r.rental_date)",
 }
+_POINTS["chart-geo-bar"] = _POINTS["chart-geo-map"]  # two charts of the same ten countries
 
 
 def _share_sql(cid: str) -> str:

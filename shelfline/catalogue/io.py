@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..oracle import with_roles
 from ..plans import leaderboards as lb
 from ..registry import register
+from ..reports.bundle import answers
 from ..sources import adhoc, sinks
 
 ADHOC_SQL = ("SELECT r.staff_id, i.store_id, COUNT(*) AS n, MAX(r.rental_date) AS last_rental "
@@ -54,20 +53,8 @@ SELECT 'Store ' || CAST(store_id AS VARCHAR) AS store, CAST(ROUND(rev, 2) AS DOU
        MAX(rentals) OVER () - rentals AS rentals_gap
 FROM agg"""))
 def q_bundle(roles):
-    """The answer bundle is written once per input version to the shared folder;
-    the store table is read back from it."""
-    from ..sources import star
-    spark = roles.rental.sparkSession
-    # the bundle's version is the version of the files its marts read
-    sig = star.input_signature(spark, sorted(set(roles.rental.inputFiles() + roles.payment.inputFiles())))
-    # the pointer is published after the last mart: a bundle is whole or not there
-    pointer = sinks.bundle_dir(roles, sig) + ".current"
-    base = star.published(spark, pointer)
-    if base is None:
-        base = f"{sinks.bundle_dir(roles, sig)}-{uuid.uuid4().hex}"
-        sinks.write_bundle(roles, base)
-        base = star.publish(spark, pointer, base)
-    return spark.read.parquet(base + "/store_summary")
+    """The store table, read back from the answer bundle of the input version."""
+    return answers(roles)["store_summary"]
 
 
 BATCH = {

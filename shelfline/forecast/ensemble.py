@@ -21,16 +21,18 @@ GUARD_MODELS = ("random_forest", "linear_regression", "lstm", "xgboost")
 def guard(preds: DataFrame, info: DataFrame, target: str = "xgboost") -> DataFrame:
     """the candidates are the GUARD_MODELS that a series has, the target excluded.  If any step of ``target`` deviates from the candidates' mean by more than
     2·std(candidates) + 1 % of the series' mean, replace every step of it by
-    round(clip(0.6·target + 0.4·mean), 2).  Other rows pass unchanged."""
+    round(clip(0.6·target + 0.4·mean), 2).  Other rows pass unchanged, also those of a
+    series that has no candidates."""
     fut = _future(preds)
     cand = (fut.where(F.col("model").isin([m for m in GUARD_MODELS if m != target])).groupBy("series_id", "step")
             .agg(F.avg("yhat").alias("_cm"), F.stddev_pop("yhat").alias("_cs"),
                  F.count(F.lit(1)).alias("_cn")))
     tgt = (preds.where((F.col("kind") == "future") & (F.col("model") == target))
-           .join(cand, ["series_id", "step"]).join(info.select("series_id", "ymean", "lo", "hi"), "series_id"))
+           .join(cand, ["series_id", "step"], "left").join(info.select("series_id", "ymean", "lo", "hi"), "series_id", "left"))
     dev = F.abs(F.col("yhat") - F.col("_cm")) > F.lit(2.0) * F.col("_cs") + F.lit(0.01) * F.col("ymean")
     s = Window.partitionBy("series_id")
-    tgt = tgt.withColumn("_blend", F.max(dev.cast("int")).over(s) == 1)
+    # a step without candidates neither raises the guard nor is blended: its forecast stays
+    tgt = tgt.withColumn("_blend", (F.max(dev.cast("int")).over(s) == 1) & F.col("_cm").isNotNull())
     fixed = tgt.select("series_id", "model", "kind", "step", "actual",
                        F.when(F.col("_blend"), py_round(clip(F.lit(0.6) * F.col("yhat") + F.lit(0.4) * F.col("_cm")), 2))
                        .otherwise(F.col("yhat")).alias("yhat"))

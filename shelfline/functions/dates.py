@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Weekday short names, Sunday first (day index 0 = Sunday).
 DAY_SHORT = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+DAY_LONG = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 
 
 def _c(c):
@@ -36,6 +37,11 @@ def day_short(dow_col) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DAY_SHORT]), _c(dow_col).cast("int") + F.lit(1))
 
 
+def day_long(dow_col) -> Column:
+    """Name of a day of week, 0 = Sunday."""
+    return F.element_at(F.array(*[F.lit(d) for d in DAY_LONG]), _c(dow_col).cast("int") + F.lit(1))
+
+
 def day_name(ts) -> Column:
     """TO_CHAR(ts, 'Day') without the blank padding (callers strip it anyway)."""
     return F.date_format(_c(ts), "EEEE")

@@ -35,7 +35,7 @@ def rentals(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     if roles.rental_paid is not None:
         cols = ["rental_id", "rental_date", "return_date", "inventory_id", "customer_id", "staff_id",
                 "film_id", "store_id"]
-        return f.apply_store(f.apply_month(roles.rental_paid.select(*cols)))
+        return f.apply_store(f.apply_month(roles.rental_paid)).select(*cols)
     r = f.apply_month(roles.rental)
     return r.join(units(roles, f), "inventory_id")
 

@@ -58,7 +58,12 @@ class Filters:
         return df if self.store is None else df.where(df[column] == F.lit(self.store))
 
     def apply_month(self, df: DataFrame, column: str = "rental_date") -> DataFrame:
-        return df if self.month is None else df.where(month_range(df, column, self.month))
+        if self.month is None:
+            return df
+        kept = df.where(month_range(df, column, self.month))
+        if column == "rental_date" and "rental_month" in df.columns:  # a partition column: only this month's files are listed
+            kept = kept.where(F.col("rental_month") == int(self.month.replace("-", "")))
+        return kept
 
     def without_store(self) -> "Filters":
         return Filters(None, self.month)

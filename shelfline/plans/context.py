@@ -13,11 +13,12 @@ from .overview import store_summary
 from .trend import ranked_categories
 
 
-def sales_context(roles: Roles, slow_below: int = 5) -> DataFrame:
+def sales_context(roles: Roles, slow_below: int = 5, marts: dict[str, DataFrame] | None = None) -> DataFrame:
     """total revenue, leading store, first three slow titles, top and bottom of the
     top-5 categories.  Each input is already a bounded mart (stores, 5 categories,
-    5 titles), combined one row each."""
-    stores = store_summary(roles).agg(
+    5 titles), combined one row each; ``marts`` may hold stored ones by name."""
+    marts = marts or {"store_summary": store_summary(roles), "ranked_categories": ranked_categories(roles, 5)}
+    stores = marts["store_summary"].agg(
         F.sum("revenue").alias("_total"),
         F.min(F.struct(F.when(F.col("revenue").isNull(), 0).otherwise(1).alias("nn"),
                        (-F.col("revenue")).alias("neg"), F.col("store").alias("store"))).alias("_lead"))
@@ -25,7 +26,7 @@ def sales_context(roles: Roles, slow_below: int = 5) -> DataFrame:
             .where(F.col("film_rentals") < slow_below))
     first3 = top_k(slow, [F.col("film_rentals"), F.col("film_id")], 3)
     slow3 = first3.agg(F.sort_array(F.collect_list(F.struct("film_rentals", "film_id", "title"))).alias("_s"))
-    cats = ranked_categories(roles, 5).agg(F.max_by("category", "rank").alias("low_category"),
+    cats = marts["ranked_categories"].agg(F.max_by("category", "rank").alias("low_category"),
                                            F.min_by("category", "rank").alias("top_category"),
                                            F.count(F.lit(1)).alias("_n"))
     # the slow titles and the category pair are one-row scalar subqueries

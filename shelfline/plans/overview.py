@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_label, month_start
+from ..functions.dates import month_start
 from ..functions.money import guarded_ratio, money_out, zero_if_null
-from ..operators.fact import bare_rentals, distinct_rentals, paid_rentals, units
+from ..operators.cells import facts
+from ..operators.fact import distinct_rentals, paid_rentals, units
 from ..operators.filters import Filters, NO_FILTERS
 from ..sources.roles import Roles
 
@@ -22,7 +23,7 @@ def months(roles: Roles) -> DataFrame:
     The distinct list has one row per calendar month (bounded by the time span,
     not by data volume), so numbering it in one ordered window is safe.
     """
-    m = bare_rentals(roles).select(month_label("rental_date").alias("month")).distinct()
+    m = facts(roles, joined=False).select("month").distinct()
     numbered = m.select(F.row_number().over(Window.orderBy("month")).cast("bigint").alias("pos"), "month")
     sentinel = roles.stores.sparkSession.createDataFrame([(0, "All")], "pos bigint, month string")
     return sentinel.unionByName(numbered)
@@ -69,8 +70,11 @@ def store_compare(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 def trend(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q4: rentals (joined rows) and revenue per (period, store); monthly without a
     month filter, daily with one."""
-    period = month_start("rental_date") if f.month is None else F.col("rental_date").cast("date")
-    return (paid_rentals(roles, f)
+    if f.month is None:
+        rows, period = facts(roles, f), month_start(F.concat("month", F.lit("-01")))
+    else:
+        rows, period = paid_rentals(roles, f), F.col("rental_date").cast("date")
+    return (rows
             .groupBy(period.alias("period"), "store_id")
             .agg(F.sum("rows").alias("rentals"), zero_if_null(F.sum("paid")).alias("_rev"))
             .select("period", store_label().alias("store"), "rentals",

@@ -1,8 +1,8 @@
 """Time-of-day and weekday patterns.
 
 Hours come from the ``activity`` role (transactions with a real time of day);
-weekday/duration marts on rentals use the rental fact.  The hour × weekday cells
-are one aggregation over the data; Q14, Q15 and Q17 roll its 168 rows up.
+weekday/duration marts on rentals use the rental fact.  Both are read through their stored
+cells (:mod:`shelfline.operators.cells`), which hold every count and sum these marts need.
 """
 
 from __future__ import annotations
@@ -10,24 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_name, day_short, dow, hour
+from ..functions.dates import day_long, day_short
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, bare_rentals, paid_rentals, rentals
+from ..operators.cells import facts, transactions
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
 
 
-def _activity(roles: Roles, f: Filters) -> DataFrame:
-    rows = roles.activity if f.store is None else f.apply_store(roles.activity_store)
-    return f.apply_month(rows, "ts")
-
-
 def pattern_cube(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """The (hour, dow) cells, at most 168: joined rows, bare transactions, revenue."""
-    a = _activity(roles, f).select(hour("ts").alias("hour"), dow("ts").alias("dow"), "amount", "rows")
-    return a.groupBy("hour", "dow").agg(F.sum("rows").alias("rentals"), F.count(F.lit(1)).alias("bare"),
-                                        zero_if_null(F.sum("amount")).alias("_rev"))
+    return (transactions(roles, f).groupBy("hour", "dow")
+            .agg(F.sum("rentals").alias("rentals"), F.sum("bare").alias("bare"), zero_if_null(F.sum("_rev")).alias("_rev")))
 
 
 def hour_dow_cube(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
@@ -67,10 +61,8 @@ def avg_duration_by_dow(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
     Summed as exact microseconds (a long), divided once, so the mean does not
     depend on the order partitions are combined in."""
-    r = rentals(roles, f).where(F.col("return_date").isNotNull())
-    micros = F.unix_micros(F.col("return_date").cast("timestamp")) - F.unix_micros(F.col("rental_date").cast("timestamp"))
-    return (r.groupBy(dow("rental_date").alias("dow"))
-            .agg(F.sum(micros).alias("_us"), F.count(F.lit(1)).alias("_n"))
+    return (facts(roles, f).where(F.col("returned") > 0).groupBy("dow")
+            .agg(F.sum("micros").alias("_us"), F.sum("returned").alias("_n"))
             .select("dow", day_short("dow").alias("day"),
                     F.round(F.col("_us").cast("double") / F.col("_n").cast("double") / F.lit(3.6e9), 6)
                     .alias("avg_hours")))
@@ -78,40 +70,40 @@ def avg_duration_by_dow(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def peak_hours_all(roles: Roles, k: int = 3) -> DataFrame:
     """Q30: busiest hours over all activity (COUNT(*), no filters)."""
-    c = roles.activity.groupBy(hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("rentals"))
+    c = transactions(roles).groupBy("hour").agg(F.sum("bare").alias("rentals"))
     return top_k(c, [F.col("rentals").desc(), F.col("hour")], k)
 
 
 def best_days_all(roles: Roles, k: int = 3) -> DataFrame:
     """Q30: busiest weekdays over the bare rental fact (COUNT(*), no payment join)."""
-    c = (bare_rentals(roles).groupBy(day_name("rental_date").alias("day"), dow("rental_date").alias("dow"))
-         .agg(F.count(F.lit(1)).alias("rentals")))
+    c = (facts(roles, joined=False).groupBy(day_long("dow").alias("day"), "dow")
+         .agg(F.sum("bare").alias("rentals")))
     return top_k(c, [F.col("rentals").desc(), F.col("dow")], k)
 
 
 def peak_hours(roles: Roles, f: Filters = NO_FILTERS, k: int = 5) -> DataFrame:
     """Q30: top k hours by COUNT(*) after the payment join, with revenue."""
-    c = (_activity(roles, f).groupBy(hour("ts").alias("hour"))
-         .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
+    c = (transactions(roles, f).groupBy("hour")
+         .agg(F.sum("rentals").alias("rentals"), money_out(zero_if_null(F.sum("_rev"))).alias("revenue")))
     return top_k(c, [F.col("rentals").desc(), F.col("hour")], k)
 
 
 def days(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q30: per weekday COUNT(*) after the payment join, and revenue."""
-    return (paid_rentals(roles, f)
-            .groupBy(day_name("rental_date").alias("day_name"), dow("rental_date").alias("dow"))
+    return (facts(roles, f)
+            .groupBy(day_long("dow").alias("day_name"), "dow")
             .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("paid"))).alias("revenue")))
 
 
 def chart_hour(roles: Roles, by_revenue: bool = False) -> DataFrame:
     """Q26: rentals and revenue per hour, label 'H:00'."""
-    c = (roles.activity.groupBy(hour("ts").alias("h"))
-         .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("amount"))).alias("revenue")))
+    c = (transactions(roles).groupBy(F.col("hour").alias("h"))
+         .agg(F.sum("rentals").alias("rentals"), money_out(zero_if_null(F.sum("_rev"))).alias("revenue")))
     return c.select(F.concat(F.col("h").cast("string"), F.lit(":00")).alias("hour"), "rentals", "revenue")
 
 
 def chart_day(roles: Roles) -> DataFrame:
     """Q26: rentals (joined rows) and revenue per weekday over rental ⟕ payment."""
-    return (bare_paid_rentals(roles)
-            .groupBy(day_name("rental_date").alias("day"), dow("rental_date").alias("dow"))
+    return (facts(roles, joined=False)
+            .groupBy(day_long("dow").alias("day"), "dow")
             .agg(F.sum("rows").alias("rentals"), money_out(zero_if_null(F.sum("paid"))).alias("revenue")))

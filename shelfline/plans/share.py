@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_short, hour_label, month_label
+from ..functions.dates import day_short, hour_label
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import paid_rentals, rentals
+from ..operators.cells import facts
 from ..operators.filters import Filters, NO_FILTERS
 from ..sources.roles import Roles
 from . import customers as cu
@@ -34,19 +34,19 @@ def _store_lbl():
 
 def _points(roles: Roles, cid: str, f: Filters) -> DataFrame:
     if cid == "chart-store-rev":
-        return (paid_rentals(roles, f.without_store()).groupBy("store_id")
+        return (facts(roles, f.without_store()).groupBy("store_id")
                 .agg(money_out(zero_if_null(F.sum("paid"))).alias("value"))
                 .select(_store_lbl().alias("label"), "value"))
     if cid == "chart-store-rent":
-        return (rentals(roles, f.without_store()).groupBy("store_id")
-                .agg(F.count("rental_id").cast("double").alias("value"))
+        return (facts(roles, f.without_store()).groupBy("store_id")
+                .agg(F.sum("bare").cast("double").alias("value"))
                 .select(_store_lbl().alias("label"), "value"))
     if cid == "chart-trend-rev":
-        return (paid_rentals(roles, f).groupBy(month_label("rental_date").alias("label"))
+        return (facts(roles, f).groupBy(F.col("month").alias("label"))
                 .agg(money_out(zero_if_null(F.sum("paid"))).alias("value")))
     if cid == "chart-trend-rent":
-        return (rentals(roles, f).groupBy(month_label("rental_date").alias("label"))
-                .agg(F.count("rental_id").cast("double").alias("value")))
+        return (facts(roles, f).groupBy(F.col("month").alias("label"))
+                .agg(F.sum("bare").cast("double").alias("value")))
     if cid in ("chart-top-cat", "chart-cat-pie", "chart-rev-inv"):
         col = {"chart-top-cat": "revenue", "chart-cat-pie": "rentals", "chart-rev-inv": "rev_per_inv"}[cid]
         return inv.categories(roles, f).select(F.col("category").alias("label"),

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_label
 from ..functions.money import money_out, zero_if_null
-from ..operators.fact import bare_paid_rentals, paid_rentals
+from ..operators.cells import facts
 from ..operators.filters import Filters, NO_FILTERS
 from ..operators.ranking import top_k
 from ..sources.roles import Roles
@@ -21,7 +20,7 @@ from .inventory import film_activity, film_categories
 
 def monthly_revenue_all(roles: Roles) -> DataFrame:
     """Revenue per month over rental ⟕ payment; null when nothing was paid that month."""
-    return (bare_paid_rentals(roles).groupBy(month_label("rental_date").alias("month"))
+    return (facts(roles, joined=False).groupBy("month")
             .agg(F.round(F.sum("paid"), 2).alias("revenue")))
 
 
@@ -97,7 +96,7 @@ def ranked_categories(roles: Roles, k: int = 5) -> DataFrame:
 
 def monthly_trend(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
     """Q36: revenue and joined rentals per month through the inventory join."""
-    return (paid_rentals(roles, f).groupBy(month_label("rental_date").alias("month"))
+    return (facts(roles, f).groupBy("month")
             .agg(money_out(zero_if_null(F.sum("paid"))).alias("revenue"), F.sum("rows").alias("rentals")))
 
 

@@ -24,6 +24,7 @@ from ..plans import overview as ov
 from ..plans import patterns as pa
 from ..plans import trend as tr
 from ..sources.roles import Roles
+from .bundle import answers
 
 
 def money_txt(c) -> Column:
@@ -134,7 +135,7 @@ def context_report(roles: Roles, f: Filters = NO_FILTERS) -> DataFrame:
 
 def store_performance(roles: Roles) -> DataFrame:
     """R2: store table (revenue descending, nulls first), total and leader share."""
-    s = ov.store_summary(roles)
+    s = answers(roles)["store_summary"]
     order = [F.col("revenue").desc_nulls_first(), F.col("store")]
     table = _section(s, 1, "| Store | Revenue | Rentals | Customers |",
                      F.concat(F.lit("| **"), F.col("store"), F.lit("** | **"), money_txt("revenue"), F.lit("** | "),
@@ -167,7 +168,7 @@ MEDALS = ["🥇", "🥈", "🥉", "4️⃣", "5️⃣"]
 
 def category_ranking(roles: Roles, k: int = 5) -> DataFrame:
     """Ranked categories with medals."""
-    rc = tr.ranked_categories(roles, k)
+    rc = answers(roles)["ranked_categories"] if k == 5 else tr.ranked_categories(roles, k)
     medal = F.element_at(F.array(*[F.lit(m) for m in MEDALS]), F.col("rank").cast("int"))
     line = F.concat(F.lit("| "), F.coalesce(medal, F.col("rank").cast("string")), F.lit(" | **"), F.col("category"),
                     F.lit("** | **"), money_txt("revenue"), F.lit("** | "), int_txt("rentals"), F.lit(" |"))
@@ -224,7 +225,7 @@ def render_table(df: DataFrame, order: list[Column], money_pattern: str = "spent
 def recommendations(roles: Roles, slow_below: int = 5) -> DataFrame:
     """The fact-bearing lines of the recommendations text (top category, slow titles)."""
     from ..plans.context import sales_context
-    c = sales_context(roles, slow_below)
+    c = sales_context(roles, slow_below, answers(roles))
     titles = F.when(F.col("slow_titles") == "several titles", F.col("slow_titles")).otherwise(
         F.concat(F.lit("*"), F.regexp_replace("slow_titles", ", ", "*, *"), F.lit("*")))
     lines = c.select(F.array(
@@ -237,8 +238,8 @@ def recommendations(roles: Roles, slow_below: int = 5) -> DataFrame:
 
 def patterns_report(roles: Roles, k: int = 3) -> DataFrame:
     """Busiest hours and weekdays tables with the peak lines."""
-    hours = pa.peak_hours_all(roles, k)
-    days = pa.best_days_all(roles, k)
+    stored = answers(roles) if k == 3 else {"peak_hours": pa.peak_hours_all(roles, k), "best_days": pa.best_days_all(roles, k)}
+    hours, days = stored["peak_hours"], stored["best_days"]
     h = _section(hours, 1, "| Hour | Rentals |",
                  F.concat(F.lit("| **"), F.col("hour").cast("string"), F.lit(":00** | "), int_txt("rentals"), F.lit(" |")),
                  [F.col("rentals").desc(), F.col("hour")])
@@ -258,7 +259,7 @@ def patterns_report(roles: Roles, k: int = 3) -> DataFrame:
 def trend_report(roles: Roles, cutoff: float = 1000.0, drop: float = -10.0) -> DataFrame:
     """Positive months with peak / data-cutoff notes, the biggest drop, the peak
     and the latest change."""
-    m = tr.monthly_revenue_all(roles).where(F.col("revenue") > 0)
+    m = answers(roles)["monthly_revenue"].where(F.col("revenue") > 0)
     peak = F.max("revenue").over(Window.partitionBy())  # one row per month: bounded
     w = Window.orderBy("month")
     prev = F.lag("revenue").over(w)
@@ -290,7 +291,7 @@ def trend_report(roles: Roles, cutoff: float = 1000.0, drop: float = -10.0) -> D
 def store_difference(roles: Roles) -> DataFrame:
     """The two leading stores side by side: revenue, rentals, revenue per rental,
     and which one has more rentals and which more revenue."""
-    s = ov.store_summary(roles)
+    s = answers(roles)["store_summary"]
     two = top_k(s, [F.col("revenue").desc_nulls_first(), F.col("store")], 2)
     w = Window.orderBy(F.col("revenue").desc_nulls_first(), F.col("store"))
     p = two.select("*", F.row_number().over(w).alias("_i"))

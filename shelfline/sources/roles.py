@@ -35,6 +35,9 @@ Optional, for providers that can derive it more cheaply than the generic plan:
   row of each rental key.  ``rental_paid_complete`` states that every rental
   has its inventory unit, so the frame also stands for rental ⟕ payment.
 * ``film_category_named`` film_category ⋈ category as (film_id, name).
+* ``rental_cells``, ``rental_sketches``, ``activity_cells``: stored aggregates by store and month
+  (see :mod:`shelfline.operators.cells`); ``rental_paid`` then has a partition column ``rental_month``.
+* ``signature``: a digest of all input files the views were planned on.
 """
 
 from __future__ import annotations
@@ -64,3 +67,7 @@ class Roles:
     rental_paid: DataFrame | None = None
     rental_paid_complete: bool = False
     film_category_named: DataFrame | None = None
+    rental_cells: DataFrame | None = None
+    rental_sketches: DataFrame | None = None
+    activity_cells: DataFrame | None = None
+    signature: str | None = None

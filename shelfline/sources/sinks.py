@@ -60,21 +60,8 @@ def bundle_dir(roles: Roles, signature: str) -> str:
     return f"{ensure_checkpoint_dir(roles.rental.sparkSession).rstrip('/')}/shelfline-bundle/{signature}"
 
 
-def write_bundle(roles: Roles, base: str) -> dict[str, str]:
-    """Materialise the answer-bundle marts once (parquet under ``base``, a shared
-    folder on a cluster) so that report jobs read small tables instead of the fact."""
-    from ..plans import inventory as inv
-    from ..plans import overview as ov
-    from ..plans import patterns as pa
-    from ..plans import trend as tr
-    marts = {
-        "store_summary": ov.store_summary(roles),
-        "ranked_categories": tr.ranked_categories(roles, 5),
-        "peak_hours": pa.peak_hours_all(roles, 3),
-        "best_days": pa.best_days_all(roles, 3),
-        "monthly_revenue": tr.monthly_revenue_all(roles),
-        "slow_moving": inv.slow_moving(roles),
-    }
+def write_bundle(marts: dict[str, DataFrame], base: str) -> dict[str, str]:
+    """Write cleaned marts under ``base``, a shared folder on a cluster; name -> path."""
     out = {}
     for name, df in marts.items():
         path = os.path.join(base, name)

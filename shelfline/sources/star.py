@@ -1,17 +1,15 @@
-"""Materialised star: the enriched rental fact and the inventory dimension,
-written once to the shared checkpoint folder and read by every mart.
+"""Materialised tables: written once to the shared checkpoint folder and read by every mart.
 
 The dashboard runs dozens of marts over the same fact; rebuilding
-rental ⋈ inventory ⟕ payment for each is the dominant cost.  Written once
-(per input version), each mart becomes scan + aggregate.
+rental ⋈ inventory ⟕ payment for each is the dominant cost.  The fact is kept by
+month (:mod:`.monthly`); this module writes the conformed dimensions once per input version.
 
 * Location: ``<spark.checkpoint.dir>/shelfline-star/<signature>/<table>`` — the
   cluster's shared folder, so the tables survive executor loss and are shared by
   every job of the session.
-* Signature: paths, sizes and modification times of the input files (through the
-  Hadoop FileSystem API, so HDFS/S3/local alike); new input -> new folder.
-* Layout: rows sorted by ``rental_date`` within each file, so a month filter (a
-  pushed range predicate) skips row groups without small-file partitioning.
+* Signature: a digest of names, sizes and modification times of the input files,
+  summed up by Spark from its own file listing (one job for all tables, one row per table to
+  the driver); new input -> new folder.
 * Publication: a table is written to a folder of its own and then named by a small
   pointer file, created only if none is there; nothing is renamed or deleted, so a
   reader sees a whole table or none, and of two writers the first one's is read.
@@ -24,6 +22,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -34,19 +33,28 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, length, modificationTime of all files under the paths; contents are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+            .select("path", "length", "modificationTime"))
+
+
+def input_signatures(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """For each path a digest of its files, independent of their order."""
+    plain = [p.rstrip("/") for p in paths]
+    # the listing names a path with its scheme; the longest given path that a file lies under is its own
+    owner = F.coalesce(*(F.when(F.col("path").endswith(p) | F.col("path").contains(p + "/"), F.lit(p)) for p in sorted(plain, key=len, reverse=True)))
+    mark = F.xxhash64("path", "length", "modificationTime")
+    rows = (listing(spark, plain).groupBy(owner.alias("owner"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("mixed")).collect())
+    found = {r["owner"]: f"{r['n']}:{r['total']}:{r['mixed']}" for r in rows}
+    return {p: hashlib.sha256(f"{q}:{found.get(q, '')}".encode()).hexdigest()[:16] for p, q in zip(paths, plain, strict=True)}
+
+
 def input_signature(spark: SparkSession, paths: list[str]) -> str:
-    """Names, sizes and times of all files under the paths, partition folders included."""
-    h = hashlib.sha256()
-    for path in sorted(paths):
-        fs, p, _ = _fs(spark, path)
-        h.update(path.encode())
-        if fs.exists(p):
-            files, found = fs.listFiles(p, True), []
-            while files.hasNext():
-                st = files.next()
-                found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-            h.update("\n".join(sorted(found)).encode())
-    return h.hexdigest()[:16]
+    """One digest of all files under the paths."""
+    found = input_signatures(spark, sorted(paths))
+    return hashlib.sha256("\n".join(f"{p}:{s}" for p, s in found.items()).encode()).hexdigest()[:16]
 
 
 def published(spark: SparkSession, pointer: str) -> str | None:

@@ -21,12 +21,18 @@ number made of several keys would overflow or collide at some scale factor.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cells
+from ..session import ensure_checkpoint_dir
 from . import star
+from .monthly import MONTH, MonthStore, Snapshot, month_number
 from .roles import Roles
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -51,31 +57,117 @@ def _rental_id(l: DataFrame):
                     l["l_partkey"].alias("part"), l["l_suppkey"].alias("supplier"))
 
 
-STAR_INPUTS = ("lineitem", "orders", "supplier", "nation")
-
-
 _CACHE: dict = {}
 
 
-def load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Roles:
-    """Role views over ``sf_dir``, planned once per session and input version.
+def load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True, refresh: bool = False) -> Roles:
+    """Role views over ``sf_dir``, planned once per session.
 
-    The bundle is a set of lazy DataFrames; reusing it across marts only saves
-    the file listing and footer reads of planning it again."""
-    sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in TABLES])
-    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), sig, materialized)
-    if key not in _CACHE:
+    The input files are listed once, with the first call of a session; ``refresh`` lists them again, writes the
+    months that new files touch and returns views of the new version.  The bundle is a set of lazy
+    DataFrames; reusing it across marts only saves planning it again."""
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialized)
+    if refresh or key not in _CACHE:
         _CACHE[key] = _load_roles(spark, sf_dir, materialized)
     return _CACHE[key]
 
 
+def _supplier_store(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    # supplier -> store (region).  nation is a fixed 25-row TPC table: broadcast is bounded.
+    return supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]) \
+        .select(supplier["s_suppkey"], nation["n_regionkey"].alias("store_id"))
+
+
+def enriched_fact(li: DataFrame, orders: DataFrame, supplier_store: DataFrame) -> DataFrame:
+    """rental_paid: payments and the inventory unit of a rental come from its own
+    lineitem row, so the fact is enriched without a payment union/aggregate/join
+    and without the distinct-units join.  A window over rental_id keeps the
+    join semantics exact even when two lineitem rows share a rental_id."""
+    price_amt = F.when(li["l_returnflag"] != "R",
+                       (li["l_extendedprice"].cast(MONEY) * (F.lit(1) - li["l_discount"].cast(RATE))).cast(AMOUNT))
+    tax_amt = F.when((li["l_tax"] > 0) & (li["l_linestatus"] == "F"),
+                     (li["l_extendedprice"].cast(MONEY) * li["l_tax"].cast(RATE)).cast(AMOUNT))
+    row_paid = F.coalesce(price_amt, F.lit(0)) + F.coalesce(tax_amt, F.lit(0))
+    row_npay = price_amt.isNotNull().cast("int") + tax_amt.isNotNull().cast("int")
+    # One shuffle of the fact, by order: it serves the window over equal rental keys and the join with the orders.
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", li["l_shipdate"].alias("return_date"),
+                      row_paid.alias("_paid"), row_npay.alias("_npay")).repartition("l_orderkey")
+    # one ordering for all three, so one sort serves them
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("return_date")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n_pay = F.sum("_npay").over(whole)
+    keyed = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "return_date",
+                         F.when(n_pay > 0, F.sum("_paid").over(whole)).alias("paid"),
+                         F.greatest(n_pay, F.lit(1)).cast("bigint").alias("rows"),
+                         (F.row_number().over(same) == 1).alias("rental_first"))
+    return (keyed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(supplier_store, F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(_rental_id(keyed).alias("rental_id"),
+                    F.col("o_orderdate").alias("rental_date"), "return_date", _inventory_id(keyed).alias("inventory_id"),
+                    F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("staff_id"),
+                    F.col("l_partkey").alias("film_id"), F.col("store_id").cast("int").alias("store_id"),
+                    F.col("paid").cast(AMOUNT).alias("paid"), "rows", "rental_first",
+                    month_number("o_orderdate").alias(MONTH)))
+
+
+def _touched_months(spark: SparkSession, files: DataFrame, old: DataFrame, orders: DataFrame) -> list[int] | None:
+    """Months of the orders that new files hold or add lines to; None when an old file is gone or changed."""
+    if old.join(files, files.columns, "left_anti").limit(1).count():
+        return None
+    # names of the files added since: as many as a refresh brings
+    new = [r["path"] for r in files.join(old, files.columns, "left_anti").select("path").collect()]
+    keys = []
+    for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        paths = [p for p in new if f"/{table}.parquet" in p]
+        if paths:
+            keys.append(spark.read.parquet(*paths).select(F.col(column).alias("o_orderkey")))
+    if not keys:
+        return []
+    keys = reduce(DataFrame.unionByName, keys).distinct()
+    months = orders.join(keys, "o_orderkey", "left_semi").select(month_number("o_orderdate").alias("m")).distinct()
+    return [r["m"] for r in months.collect()]  # one row per calendar month
+
+
+def monthly_fact(spark: SparkSession, sf_dir: str, li: DataFrame, orders: DataFrame, supplier_store: DataFrame,
+                 signatures: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The enriched fact, its cells and its sketches, by month; only months that new input files touch are written."""
+    plan = enriched_fact(li, orders, supplier_store)
+    # other suppliers or nations put other stores into every month: another family of tables
+    family = hashlib.sha256(f"{os.path.abspath(sf_dir)}:{signatures['supplier']}:{signatures['nation']}".encode()).hexdigest()[:16]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfline-star/fact-{family}"
+    store = MonthStore(spark, root)
+    signature = f"{signatures['lineitem']}-{signatures['orders']}"
+    snapshot = store.published(signature)
+    schemas = {"fact": plan.schema, "cells": cells.rental_cells(plan).schema, "sketches": cells.rental_sketches(plan).schema}
+    if snapshot is None:
+        files = star.listing(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in ("lineitem", "orders")])
+        base = store.newest()
+        months = _touched_months(spark, files, spark.read.parquet(base.files), orders) if base else None
+        if months is None:
+            base, part = Snapshot(), plan
+        else:
+            some = month_number("o_orderdate").isin(months)
+            kept = orders.where(some)
+            part = enriched_fact(li.join(kept.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"), kept, supplier_store)
+        snapshot = Snapshot({t: {m: v for m, v in base.months.get(t, {}).items() if m not in (months or [])} for t in schemas},
+                            f"{root}/files-{uuid.uuid4().hex}")
+        files.write.parquet(snapshot.files)
+        written = store.write("fact", part)
+        snapshot.months["fact"] |= written
+        # the aggregates of these months come from the rows just written
+        rows = store.read("fact", written, schemas["fact"])
+        for table, build in (("cells", cells.rental_cells), ("sketches", cells.rental_sketches)):
+            snapshot.months[table] |= store.write(table, build(rows))
+        snapshot = store.publish(signature, snapshot)
+    return tuple(store.read(t, snapshot.months[t], schemas[t]) for t in ("fact", "cells", "sketches"))
+
+
 def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Roles:
     """Role views over the parquet tables in ``sf_dir``.
 
     With ``materialized`` the enriched rental fact and the inventory dimension
-    are written once per input version to the shared checkpoint folder (see
-    :mod:`.star`) and every mart scans them; otherwise they are planned from the
-    raw tables on every use."""
+    are written to the shared checkpoint folder (see :mod:`.star` and :mod:`.monthly`) and every mart scans them;
+    otherwise they are planned from the raw tables on every use."""
     t = {name: read_table(spark, sf_dir, name) for name in TABLES}
     li, orders, supplier, nation = t["lineitem"], t["orders"], t["supplier"], t["nation"]
 
@@ -97,9 +189,7 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
         .cast(AMOUNT).alias("amount"))
     payment = price.unionByName(tax)
 
-    # supplier -> store (region).  nation is a fixed 25-row TPC table: broadcast is bounded.
-    supplier_store = supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]) \
-        .select(supplier["s_suppkey"], nation["n_regionkey"].alias("store_id"))
+    supplier_store = _supplier_store(supplier, nation)
     units = li.select("l_partkey", "l_suppkey").distinct()
     inventory = units.join(supplier_store, units["l_suppkey"] == supplier_store["s_suppkey"]) \
         .select(F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("inventory_id"),
@@ -139,54 +229,38 @@ def _load_roles(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
         .select(cust["c_custkey"].alias("customer_id"), nation["n_regionkey"].cast("int").alias("store_id"))
     activity_store = activity.join(store_of, "customer_id")
 
-    # rental_paid: payments and the inventory unit of a rental come from its own
-    # lineitem row, so the fact is enriched without a payment union/aggregate/join
-    # and without the distinct-units join.  A window over rental_id keeps the
-    # join semantics exact even when two lineitem rows share a rental_id.
-    price_amt = F.when(li["l_returnflag"] != "R",
-                       (li["l_extendedprice"].cast(MONEY) * (F.lit(1) - li["l_discount"].cast(RATE))).cast(AMOUNT))
-    tax_amt = F.when((li["l_tax"] > 0) & (li["l_linestatus"] == "F"),
-                     (li["l_extendedprice"].cast(MONEY) * li["l_tax"].cast(RATE)).cast(AMOUNT))
-    row_paid = F.coalesce(price_amt, F.lit(0)) + F.coalesce(tax_amt, F.lit(0))
-    row_npay = price_amt.isNotNull().cast("int") + tax_amt.isNotNull().cast("int")
-    # One shuffle of the fact, by order: it serves the window over equal rental keys and the join with the orders.
-    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", li["l_shipdate"].alias("return_date"),
-                      row_paid.alias("_paid"), row_npay.alias("_npay")).repartition("l_orderkey")
-    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    n_pay = F.sum("_npay").over(same)
-    keyed = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "return_date",
-                         F.when(n_pay > 0, F.sum("_paid").over(same)).alias("paid"),
-                         F.greatest(n_pay, F.lit(1)).cast("bigint").alias("rows"),
-                         (F.row_number().over(same.orderBy("return_date")) == 1).alias("rental_first"))
-    rental_paid = (keyed.join(orders, keyed["l_orderkey"] == orders["o_orderkey"])
-                   .join(supplier_store, keyed["l_suppkey"] == supplier_store["s_suppkey"])
-                   .select(_rental_id(keyed).alias("rental_id"),
-                           orders["o_orderdate"].alias("rental_date"), "return_date", _inventory_id(keyed).alias("inventory_id"),
-                           orders["o_custkey"].alias("customer_id"), orders["o_orderpriority"].alias("staff_id"),
-                           keyed["l_partkey"].alias("film_id"), F.col("store_id").cast("int").alias("store_id"),
-                           F.col("paid").cast(AMOUNT).alias("paid"), "rows", "rental_first"))
-
+    rental_paid, rental_cells, rental_sketches, activity_cells = enriched_fact(li, orders, supplier_store), None, None, None
+    signature = None
     film_category_named = film_category.join(category, "category_id").select("film_id", "name")
     if materialized:
         # the fact and the conformed dimensions (plain scans with true sizes afterwards,
         # so the planner broadcasts the small side, never the fact)
-        sig = star.input_signature(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in STAR_INPUTS + ("part", "customer")])
-        rental_paid = star.materialize(spark, "rental_paid", rental_paid, sig, sort_col="rental_date")
+        found = star.input_signatures(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in TABLES])
+        signatures = {n: found[os.path.join(sf_dir, f"{n}.parquet")] for n in TABLES}
+
+        def version(*names: str) -> str:
+            return hashlib.sha256(":".join([os.path.abspath(sf_dir), *(signatures[n] for n in names)]).encode()).hexdigest()[:16]
+
+        rental_paid, rental_cells, rental_sketches = monthly_fact(spark, sf_dir, li, orders, supplier_store, signatures)
+        activity_cells = star.materialize(spark, "activity_cells", cells.activity_cells(activity, activity_store),
+                                          version("events", "customer", "nation"))
         # one distinct pass over lineitem serves both unit dimensions: inventory is
         # the units that have a store (inner-join semantics), film_actor every pair
         units_ext = (units.join(supplier_store, units["l_suppkey"] == supplier_store["s_suppkey"], "left")
                      .select("l_partkey", "l_suppkey", F.col("store_id").cast("int").alias("store_id")))
-        units_m = star.materialize(spark, "units", units_ext, sig)
+        units_m = star.materialize(spark, "units", units_ext, version("lineitem", "supplier", "nation"))
         inventory = units_m.where(F.col("store_id").isNotNull()).select(
             F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("inventory_id"),
             F.col("l_partkey").alias("film_id"), "store_id")
         film_actor = units_m.select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("actor_id"))
-        film_category_named = star.materialize(spark, "film_category_named", film_category_named, sig)
-        customer_country = star.materialize(spark, "customer_country", customer_country, sig)
+        film_category_named = star.materialize(spark, "film_category_named", film_category_named, version("part"))
+        customer_country = star.materialize(spark, "customer_country", customer_country, version("customer", "nation"))
+        signature = version(*TABLES)
 
     return Roles(rental=rental, payment=payment, inventory=inventory, film=film,
                  film_category=film_category, category=category, film_actor=film_actor,
                  actor=actor, customer=customer, customer_country=customer_country,
                  staff=staff, stores=stores, activity=activity,
                  activity_store=activity_store, conversations=t["conversations"], rental_paid=rental_paid, rental_paid_complete=True,
-                 film_category_named=film_category_named)
+                 film_category_named=film_category_named, rental_cells=rental_cells, rental_sketches=rental_sketches,
+                 activity_cells=activity_cells, signature=signature)

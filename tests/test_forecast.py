@@ -122,3 +122,17 @@ def test_arima_runs_and_stays_in_bounds(spark):
     fc = run_forecast(series_df(spark, "d", DIAG), 3, models=("arima",))
     fut = [r.yhat for r in fc.future().collect()]
     assert len(fut) == 3 and all(300 <= v <= 6000 for v in fut)
+
+
+def test_guard_keeps_forecasts_without_candidates(spark):
+    preds = spark.createDataFrame(
+        [("a", "xgboost", "future", k, None, 100.0 + k) for k in (1, 2)] + [("a", "arima", "future", k, None, 1.0) for k in (1, 2)]
+        + [("b", "xgboost", "future", k, None, 1000.0) for k in (1, 2)] + [("b", "linear_regression", "future", 1, None, 10.0)]
+        + [("c", "xgboost", "future", 1, None, 5.0)],
+        "series_id string, model string, kind string, step int, actual double, yhat double")
+    info = spark.createDataFrame([("a", 50.0, 0.0, 500.0), ("b", 50.0, 0.0, 500.0)], "series_id string, ymean double, lo double, hi double")
+    got = {(r.series_id, r.model, r.step): r.yhat for r in en.guard(preds, info).collect()}
+    assert len(got) == 8
+    assert got["a", "xgboost", 1] == 101.0 and got["a", "xgboost", 2] == 102.0 and got["c", "xgboost", 1] == 5.0
+    # one step of b deviates from its candidate and is blended; the other has no candidate and stays
+    assert got["b", "xgboost", 1] == 500.0 and got["b", "xgboost", 2] == 1000.0

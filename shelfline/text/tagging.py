@@ -15,6 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import positions
 from . import rules as R
 
 ASCII_WORD = "A-Za-z0-9_"
@@ -289,55 +290,30 @@ def commands(conv: DataFrame) -> DataFrame:
                         (parse_number(F.col("_raw")) * mult).alias("kpi_value"))
 
 
-def _history_window(conv: DataFrame) -> DataFrame:
-    """Window version: exact for any turn numbering, one task per conversation."""
-    o = Window.partitionBy("conv_id").orderBy("turn")
-    chat = F.collect_list("turn").over(o.rowsBetween(-R.CHAT_HISTORY, -1))
-    agent = F.collect_list(F.struct("turn", "role")).over(o.rowsBetween(-R.AGENT_HISTORY, -1))
-    return (conv.select("conv_id", "turn", "role", chat.alias("_chat"), agent.alias("_a"))
-            .where(F.col("role") == "user").drop("role"))
-
-
-def _history_join(conv: DataFrame) -> DataFrame:
-    """Join version for conversations whose turns are numbered consecutively: the
-    j-th previous message is turn - j, fetched by an equi-join on the unique key
-    (conv_id, turn).  No task holds a whole conversation, so one very long
-    conversation is spread like any other data."""
-    users = conv.where(F.col("role") == "user").select("conv_id", "turn")
-    back = users.select("conv_id", F.col("turn").alias("_t"),
-                        F.explode(F.sequence(F.lit(1), F.lit(R.CHAT_HISTORY))).alias("_j"))
-    prev = conv.select("conv_id", F.col("turn").alias("_pt"), F.col("role").alias("_pr"))
-    hits = back.join(prev, (back["conv_id"] == prev["conv_id"]) & (prev["_pt"] == back["_t"] - back["_j"])) \
-        .select(back["conv_id"], "_t", "_j", "_pt", "_pr")
-    got = hits.groupBy("conv_id", F.col("_t").alias("turn")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_pt"), F.col("_j"), F.col("_pr")))).alias("_h"))
-    out = users.join(got, ["conv_id", "turn"], "left").withColumn("_h", F.coalesce("_h", F.array()))
-    return out.select("conv_id", "turn",
-                      F.transform("_h", lambda x: x.getField("_pt")).alias("_chat"),
-                      F.transform(F.filter("_h", lambda x: x.getField("_j") <= R.AGENT_HISTORY),
-                                  lambda x: F.struct(x.getField("_pt").alias("turn"),
-                                                     x.getField("_pr").alias("role"))).alias("_a"))
-
-
-def history(conv: DataFrame) -> DataFrame:
+def history(conv: DataFrame, bucket: int = 4096) -> DataFrame:
     """For every user turn, the turns the chat would send (last 12 before it)
     and the agent's (last 4 before it, then only user/assistant ones).
 
-    Conversations numbered 0..n-1 without gaps (checked per conversation with a
-    partially aggregated min/max/count) take the join path; any other
-    conversation takes the exact window path."""
-    shape = conv.groupBy("conv_id").agg(F.min("turn").alias("_lo"), F.max("turn").alias("_hi"),
-                                         F.count(F.lit(1)).alias("_n"), F.countDistinct("turn").alias("_d"))
-    dense = shape.where((F.col("_hi") - F.col("_lo") + 1 == F.col("_n")) & (F.col("_d") == F.col("_n"))) \
-        .select("conv_id")
-    regular = conv.join(dense, "conv_id", "left_semi")
-    irregular = conv.join(dense, "conv_id", "left_anti")
-    both = _history_join(regular).unionByName(_history_window(irregular))
-    roles = F.array(*[F.lit(r) for r in R.AGENT_ROLES])
-    return both.select(
-        "conv_id", "turn", F.array_join(F.col("_chat").cast("array<string>"), ",").alias("chat_turns"),
-        F.array_join(F.transform(F.filter("_a", lambda x: F.array_contains(roles, x.getField("role"))),
-                                 lambda x: x.getField("turn").cast("string")), ",").alias("agent_turns"))
+    Every turn gets its place in its conversation; places are cut into buckets of ``bucket`` rows, and the last 12 rows
+    of a bucket are copied into the next one as a halo.  The windows then run per bucket: a conversation
+    of any length and numbering is spread over tasks of counted size.  Turns with equal numbers go by role and text, turns
+    without a number come first, turns without a conversation form one."""
+    halo = max(R.CHAT_HISTORY, R.AGENT_HISTORY)
+    if bucket <= halo:
+        raise ValueError(f"a bucket must hold more than {halo} rows")
+    rows = conv.select("conv_id", "turn", "role", F.xxhash64("text").alias("_text"))
+    placed = positions(rows, "conv_id", ["turn", "role", "_text"], "_pos")
+    home = F.expr(f"_pos div {bucket}")
+    copies = F.when(F.col("_pos") % bucket >= bucket - halo, F.array(home, home + 1)).otherwise(F.array(home))
+    cut_up = placed.withColumn("_bucket", F.explode(copies))
+    o = Window.partitionBy("conv_id", "_bucket").orderBy("_pos")
+    seen = cut_up.select(
+        "conv_id", "turn", "role", "_pos", "_bucket",
+        F.collect_list(F.col("turn").cast("string")).over(o.rowsBetween(-R.CHAT_HISTORY, -1)).alias("_chat"),
+        F.collect_list(F.when(F.col("role").isin(*R.AGENT_ROLES), F.col("turn").cast("string")))
+        .over(o.rowsBetween(-R.AGENT_HISTORY, -1)).alias("_agent"))
+    return (seen.where((F.col("role") == "user") & (F.col("_bucket") == home))
+            .select("conv_id", "turn", F.array_join("_chat", ",").alias("chat_turns"), F.array_join("_agent", ",").alias("agent_turns")))
 
 
 def truncated(conv: DataFrame, limit: int = 500) -> DataFrame:

@@ -1,10 +1,11 @@
 """Distributed order statistics against Spark's own single-partition versions."""
 
 import random
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import functions as F
 
-from shelfline.operators.ranking import exact_quantiles, percent_rank, value_ranks
+from shelfline.operators.ranking import approximate_quantiles, exact_quantiles, percent_rank, value_ranks
 
 
 def _data(spark):
@@ -51,3 +52,16 @@ def test_plan_shares_the_range_exchange(spark):
     ranges = [line for line in plan.split("\n") if "Exchange rangepartitioning" in line]
     assert len(ranges) == 2 and sum("ReusedExchange" in line for line in ranges) == 1
     assert "sort_array" not in plan and "SinglePartition, REPARTITION" not in plan
+
+
+def test_sketch_quantiles_keep_their_rank(spark):
+    rng = random.Random(9)
+    values = sorted(rng.choice([rng.gauss(0, 1) ** 3, 5.0]) for _ in range(40_000))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
+    probs = [0.01, 1 / 3, 0.5, 2 / 3, 0.99]
+    q = approximate_quantiles(df, "v", probs).collect()[0]
+    assert (q.vmin, q.vmax, q.n) == (values[0], values[-1], len(values))
+    for i, p in enumerate(probs):
+        low, high = bisect_left(values, q[f"q{i}"]) / len(values), bisect_right(values, q[f"q{i}"]) / len(values)
+        assert low - 0.002 <= p <= high + 0.002
+    assert tuple(approximate_quantiles(df.limit(0), "v", [0.5]).collect()[0]) == (None, None, None, None)

@@ -1,8 +1,10 @@
 """Conversation rules on hand-written prompts."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfline.operators.ranking import positions
 from shelfline.text import tagging as tg
 
 
@@ -76,19 +78,34 @@ def test_truncate(spark):
     assert one(spark, "abc", lambda c: tg.truncate(c, 3)) == "abc"
 
 
-def test_history_join_and_window_paths_agree(spark):
-    rows = [(1, i, ["user", "assistant", "system"][i % 3], "t") for i in range(20)]
-    rows += [(2, t, r, "t") for t, r in [(0, "user"), (2, "assistant"), (5, "user"), (6, "system"), (9, "user")]]
-    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {(r.conv_id, r.turn): (r.chat_turns, r.agent_turns) for r in tg.history(conv).collect()}
-    roles = F.array(F.lit("user"), F.lit("assistant"))
-    ref = (tg._history_window(conv)
-           .select("conv_id", "turn", F.array_join(F.col("_chat").cast("array<string>"), ",").alias("c"),
-                   F.array_join(F.transform(F.filter("_a", lambda x: F.array_contains(roles, x.getField("role"))),
-                                            lambda x: x.getField("turn").cast("string")), ",").alias("a")))
-    want = {(r.conv_id, r.turn): (r.c, r.a) for r in ref.collect()}
-    assert got == want and got[(2, 9)] == ("0,2,5,6", "0,2,5")
-
+def test_history_buckets_equal_one_window(spark):
+    """Gaps, repeated and missing turn numbers, no conversation id, one conversation with most turns; buckets of 13 rows up."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(7, rng.choice([None, rng.randrange(900)]), rng.choice(["user", "assistant", "tool", None]), f"t{i}") for i in range(1500)]
+    rows += [(c, t, "user" if t % 2 else "assistant", "x") for c in (1, 2, None) for t in range(0, 60, c or 3)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    o = Window.partitionBy("conv_id").orderBy("turn", "role", F.xxhash64("text"))
+    last = lambda n: F.collect_list(F.struct("turn", "role")).over(o.rowsBetween(-n, -1))
+    one = conv.select("conv_id", "turn", "role", last(12).alias("c"), last(4).alias("a")).where("role = 'user'").collect()
+    expected = sorted((str(r.conv_id), str(r.turn), ",".join(str(x.turn) for x in r.c if x.turn is not None),
+                       ",".join(str(x.turn) for x in r.a if x.role in ("user", "assistant") and x.turn is not None)) for r in one)
+    for bucket in (13, 64, 4096):
+        got = tg.history(conv, bucket).collect()
+        assert sorted((str(r.conv_id), str(r.turn), r.chat_turns, r.agent_turns) for r in got) == expected
+    assert tg.history(conv.limit(0)).collect() == []
+
+
+def test_positions_spread_a_hot_group(spark):
+    df = spark.range(3000).selectExpr("if(id < 2500, null, id % 7) AS g", "(id * 7919) % 3001 AS o").repartition(6)
+    got = positions(df, "g", ["o"], ranges=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    o = Window.partitionBy("g").orderBy("o")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("pos", F.row_number().over(o).cast("bigint") - 1).collect()))
+    assert "RepartitionByExpression" in plan
+    tasks = {r._range: r.n for r in df.repartitionByRange(16, "g", "o").groupBy(F.spark_partition_id().alias("_range")).agg(F.count("*").alias("n")).collect()}
+    assert max(tasks.values()) < 1000  # the group of 2500 rows lies in several ranges
 
 @pytest.mark.parametrize("text,want", [
     ("show top 5 films by revenue", (5, False, True, False, False, None, None)),

@@ -6,7 +6,11 @@ shows the Spark (Java regex) expressions implement the intended semantics.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..oracle import with_roles
 from ..registry import register
+from ..text import entities as en
 from ..text import rules as R
 from ..text import tagging as tg
 
@@ -165,3 +169,31 @@ FROM (SELECT conv_id, turn, regexp_extract({P}, {_q(R.LIMIT_RE)}, 1) AS top, {_r
              regexp_extract({P}, {_q(R.KPI_RE)}, 1) AS kpi, regexp_extract({P}, {_q(R.KPI_RE)}, 2) AS raw {USER}) t""")
 def q_text_commands(roles):
     return tg.commands(roles.conversations)
+
+
+def _entities_sql(texts: str, ids: str) -> str:
+    """The first name of each kind by a containment test of every name in every text."""
+    plain = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    picks = ", ".join(f"MAX(CASE WHEN kind = '{k}' AND k = 1 THEN name END) AS {k}" for k in en.KINDS)
+    return with_roles(f"""
+, raw AS (SELECT DISTINCT 'country' AS kind, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey
+          UNION SELECT 'category', name FROM category UNION SELECT 'title', title FROM film),
+keyed AS (SELECT kind, MIN(name) AS name, key FROM (SELECT kind, name, {plain.format('name')} AS key FROM raw) k WHERE key <> '' GROUP BY kind, key),
+texts AS (SELECT {ids}, ' ' || {plain.format('text')} || ' ' AS w FROM ({texts}) q),
+hits AS (SELECT {ids}, kind, name, row_number() OVER (PARTITION BY {ids}, kind
+                ORDER BY instr(w, ' ' || key || ' '), length(key) DESC, name) AS k
+         FROM texts JOIN keyed ON contains(w, ' ' || key || ' '))
+SELECT {ids}, {picks} FROM hits GROUP BY {ids}""")
+
+
+@register("text_catalogue_entities", _entities_sql("SELECT * FROM conversations WHERE role = 'user'", "conv_id, turn"))
+def q_catalogue_entities(roles):
+    """First country, category and title of the catalogue that each user turn names."""
+    return en.catalogue_entities(roles)
+
+
+@register("title_entities", _entities_sql("SELECT film_id, title AS text FROM film", "film_id"))
+def q_title_entities(roles):
+    """T8 over the catalogue's own texts: the country, category and title that each title names."""
+    hits = en.spotted(roles.film.select("film_id", F.col("title").alias("text")), en.names(roles), ["film_id"])
+    return hits.groupBy("film_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("name"))).alias(k) for k in en.KINDS))

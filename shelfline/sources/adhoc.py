@@ -1,16 +1,22 @@
 """Ad-hoc read-only SQL over registered role views.
 
-``run_select`` applies the dashboard's guard (the statement must start with
+Two guards.  ``check_select`` is the dashboard's word test (the statement must start with
 SELECT; no blocked keyword as a whitespace-separated token; optionally no
-``pg_``-prefixed token), then returns the columns, the first ``max_rows`` rows
-as a DataFrame and the total row count.  The row cap is part of the feature
-(a preview), the count runs over the whole result.
+``pg_``-prefixed token).  ``check_plan`` judges what Spark's own parser makes of the text: only query
+operators, only the role views (and the statement's own WITH names) as relations, no files, tables, table functions,
+streams or calls into the JVM, in subqueries too.  ``run_select`` applies both, or with ``words=False`` the plan alone, which
+also admits leading comments, WITH and blocked words inside strings and names.
+
+It returns the columns, the first ``max_rows`` rows as a DataFrame and the total row count.  The row cap is part of the
+feature (a preview), the count runs over the whole result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from .roles import Roles
@@ -38,6 +44,59 @@ def check_select(sql: str, block_pg: bool = True) -> str:
     return s
 
 
+# Operators that a parsed query may consist of; a command, a write or anything unknown is none of them.
+QUERY_NODES = frozenset("""Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin Union Except Intersect Distinct
+    SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedHaving UnresolvedInlineTable OneRowRelation UnresolvedRelation
+    LocalRelation WithWindowDefinition Pivot Unpivot Generate UnresolvedHint Sample""".split())
+# Functions that run code of the caller's choice.
+BLOCKED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect"})
+
+
+def _seq(scala) -> Iterator:
+    return (scala.apply(i) for i in range(scala.size()))
+
+
+def _functions(expression) -> Iterator[str]:
+    if expression.getClass().getSimpleName() == "UnresolvedFunction":
+        yield ".".join(_seq(expression.nameParts())).lower()
+    for child in _seq(expression.children()):
+        yield from _functions(child)
+
+
+def _check_node(node, known: frozenset[str]) -> None:
+    kind = node.getClass().getSimpleName().rstrip("$")
+    if kind not in QUERY_NODES:
+        raise RejectedQuery(f"{kind} is not part of a query")
+    if kind == "UnresolvedRelation":
+        name = list(_seq(node.multipartIdentifier()))
+        if len(name) != 1 or name[0].lower() not in known or node.isStreaming():
+            raise RejectedQuery(f"Not a view of this schema: {'.'.join(name)}")
+    if kind == "UnresolvedWith":  # a WITH name is known to later ones and to the query, or to all if recursive
+        named = [(r._1(), r._2()) for r in _seq(node.cteRelations())]
+        if node.allowRecursion():
+            known |= {n.lower() for n, _ in named}
+        for name, plan in named:
+            _check_node(plan, known)
+            known |= {name.lower()}
+    for expression in _seq(node.expressions()):
+        if found := BLOCKED_FUNCTIONS.intersection(f.rpartition(".")[2] for f in _functions(expression)):
+            raise RejectedQuery(f"Forbidden function: {', '.join(sorted(found))}")
+    for child in [*_seq(node.children()), *_seq(node.subqueries())]:
+        _check_node(child, known)
+
+
+def check_plan(spark: SparkSession, sql: str, views: Iterable[str] | None = None) -> str:
+    """The statement if its parsed plan is a query over the given views (by default the role views) alone."""
+    if not (sql or "").strip():
+        raise RejectedQuery("Empty query")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise RejectedQuery(f"Not a statement: {str(e).strip().splitlines()[0]}") from e
+    _check_node(plan, frozenset(v.lower() for v in (Roles.__dataclass_fields__ if views is None else views)))
+    return sql
+
+
 @dataclass
 class Result:
     columns: list
@@ -54,8 +113,8 @@ def register_views(roles: Roles) -> None:
 
 
 def run_select(spark: SparkSession, sql: str, max_rows: int = 500, block_pg: bool = True,
-               args: dict | None = None, count: bool = True) -> Result:
-    df = spark.sql(check_select(sql, block_pg), args=args)
+               args: dict | None = None, count: bool = True, words: bool = True) -> Result:
+    df = spark.sql(check_plan(spark, check_select(sql, block_pg) if words else sql), args=args)
     total = df.count() if count else -1
     return Result(columns=df.columns, rows=df.limit(max_rows), total_rows=total)
 

@@ -1,10 +1,13 @@
 """Conversation rules on hand-written prompts."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.ranking import positions
+from shelfline.text import entities as en
 from shelfline.text import tagging as tg
 
 
@@ -119,3 +122,36 @@ def test_positions_spread_a_hot_group(spark):
 def test_commands(spark, text, want):
     conv = spark.createDataFrame([(1, 0, "user", text)], "conv_id bigint, turn bigint, role string, text string")
     assert tuple(tg.commands(conv).collect()[0])[2:] == want
+
+
+def test_entities_come_from_tables(spark):
+    import random
+
+    rng = random.Random(8)
+    names = [("country", "South Korea"), ("country", "Korea"), ("country", "new-land"), ("category", "Sci-Fi"), ("category", "New"), ("title", "..."),
+             ("title", "The Old Man and the Sea"), ("title", "the old"), ("title", "Éa 2")]
+    vocabulary = ["south", "Korea", "new", "land", "sci", "fi", "the", "old", "man", "and", "sea", "éa", "2", "korean", "x"]
+    texts = [(i, rng.choice([" ", "-", ", ", "... "]).join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [(900, None), (901, "")]
+
+    def plain(text):
+        return " ".join(w.lower() for w in re.findall(r"[^\W_]+", text or ""))
+
+    expected = set()
+    for i, text in texts:
+        best = {}
+        for kind, name in names:
+            at = f" {plain(text)} ".find(f" {plain(name)} ")
+            if plain(name) and at >= 0:
+                best[kind] = min(best.get(kind, (10**9, 0, "")), (at, -len(plain(name)), name))
+        expected |= {(i, kind, name) for kind, (_, _, name) in best.items()}
+    roles = type("Names", (), {"customer_country": spark.createDataFrame([(n,) for k, n in names if k == "country"], "country string"),
+                               "category": spark.createDataFrame([(n,) for k, n in names if k == "category"], "name string"),
+                               "film": spark.createDataFrame([(n,) for k, n in names if k == "title"], "title string")})
+    entries = en.names(roles)
+    df = spark.createDataFrame(texts, "id long, text string")
+    assert {tuple(r) for r in en.spotted(df, entries, ["id"]).collect()} == expected and len(expected) > 200
+    assert en.spotted(df, entries.limit(0), ["id"]).collect() == []
+    # a hundred thousand titles are a larger table under the same plan
+    many = spark.range(100_000).selectExpr("'title' AS kind", "concat('old ', id) AS key", "concat('Old ', id) AS name", "2 AS n").unionByName(entries)
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(en.spotted(df, many, ["id"])) <= size(en.spotted(df, entries, ["id"])) + 5

@@ -109,9 +109,6 @@ class Automaton:
             if not edits and self.tolerant[node]:
                 after.add((node, 1))  # the word has a letter more
                 after.update((x, 1) for x in self.children[node].values() if self.tolerant[x])  # another letter
-        if len(self.states) > CACHE:
-            self._open()
-            after, met = set(), met
         self.steps[state][c] = out = self._state(after, met)
         return out
 
@@ -124,6 +121,9 @@ class Automaton:
             if state is None:
                 break
         if state is None:
+            if len(self.states) > CACHE:  # between words only: a word keeps the states it goes through
+                self._open()
+                contents = self.contents
             state = self.start
             for c in word:
                 known = self.steps[state].get(c)

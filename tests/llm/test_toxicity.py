@@ -34,6 +34,21 @@ def test_automaton_equals_edit_distance():
         assert (found[0] if found else 2) == min(best, 2), word
 
 
+def test_full_tables_start_anew_between_words(monkeypatch):
+    from shelfline.llm import toxicity
+
+    rng = random.Random(6)
+    entries = ["".join(rng.choice("abcde") for _ in range(rng.randint(5, 8))) for _ in range(60)]
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 10))) for _ in range(800)] + entries
+    words += [e[:k] + "x" + e[k:] for e in entries for k in (0, 3, len(e))]
+    stems = [e[:4] for e in entries[:5]]
+    whole = Automaton(entries, stems, set(entries))
+    expected = [whole.find(w) for w in words]
+    monkeypatch.setattr(toxicity, "CACHE", 40)
+    small = Automaton(entries, stems, set(entries))
+    assert [small.find(w) for w in words] == expected and any(expected) and len(small.states) < len(whole.states)
+
+
 def test_stems_and_quotation():
     automaton = Automaton(["idiot"], ["lowei"], {"idiot"})
     assert automaton.find("loweischaft") == (0, "lowei") and automaton.find("lowe") is None

@@ -10,8 +10,8 @@ conversation that holds a large share of all turns is numbered by many tasks.
 
 Defined results: a null role is the speaker "unknown", a null text is empty, a null turn comes first, rows without a
 conv_id form one conversation.  Turns with one number are ordered by speaker and text; repeated rows are turns of
-their own.  Conversations of system turns only have no participant and give no rows.  Markers inside a text are broken
-by a space, so no text can end its own segment.  Other columns are not read.
+their own.  Conversations of system turns only have no participant and give no rows.  Markers inside a text or a
+shown name are broken by a space and line ends in a name are spaces, so neither can end its own segment or open another.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ def rotated(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> DataFram
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("ck"), F.col("conv_id").isNull().alias("cn"))
     people = rows.where(~F.col("speaker").isin(*system)).select("ck", "cn", F.col("speaker").alias("perspective")).distinct()
     chat_role = (F.when(F.col("speaker").isin(*system), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user"))
-    head = F.concat(F.lit(START), F.col("chat_role"), F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""),
+    # a name is one line of a header and cannot end it
+    shown = F.regexp_replace(F.translate("speaker", "\r\n", "  "), r"<\|im_", "<| im_")
+    head = F.concat(F.lit(START), F.col("chat_role"), F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), shown)).otherwise(""),
                     F.lit("\n"))
     seen = (rows.join(people, ["ck", "cn"]).withColumn("chat_role", chat_role).withColumn("head", head)
             .withColumn("segment", F.concat("head", "body", F.lit(END + "\n")))
@@ -78,7 +80,7 @@ p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 's
 v AS (SELECT t.*, p.perspective,
              CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM v),
+h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || replace(translate(speaker, chr(13) || chr(10), '  '), '<|im_', '<| im_') ELSE '' END || chr(10) AS head FROM v),
 s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
 n AS (SELECT *, row_number() OVER w - 1 AS seg,
              sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body

@@ -24,6 +24,8 @@ _SERIES = {
            "COALESCE(SUM(p.amount), 0) AS rev FROM rental r LEFT JOIN payment p ON p.rental_id = r.rental_id GROUP BY 1, 2",
     "store": f"SELECT CAST(i.store_id AS VARCHAR) AS series_id, CAST(DATE_TRUNC('month', r.rental_date) AS DATE) AS period, "
              f"COALESCE(SUM(p.amount), 0) AS rev {FACT} {PAY} GROUP BY 1, 2",
+    "film": f"SELECT CAST(i.film_id AS VARCHAR) AS series_id, CAST(DATE_TRUNC('month', r.rental_date) AS DATE) AS period, "
+            f"COALESCE(SUM(p.amount), 0) AS rev {FACT} {PAY} GROUP BY 1, 2",
     "customer": "SELECT CAST(r.customer_id AS VARCHAR) AS series_id, CAST(DATE_TRUNC('month', r.rental_date) AS DATE) AS period, "
                 "COALESCE(SUM(p.amount), 0) AS rev FROM rental r LEFT JOIN payment p ON p.rental_id = r.rental_id GROUP BY 1, 2",
 }
@@ -68,6 +70,12 @@ def q_fc_panel_customer(roles):
     return _panel(roles, "customer")
 
 
+@register("forecast_panel_film", with_roles(_series_cte("film") + _PANEL))
+def q_fc_panel_film(roles):
+    """F1 by film: one series per title."""
+    return _panel(roles, "film")
+
+
 @register("forecast_rejects_customer", with_roles(_series_cte("customer") + """
 SELECT series_id, COUNT(*) AS n, 'Need at least 4 data points, got ' || CAST(COUNT(*) AS VARCHAR) AS reason
 FROM s GROUP BY 1 HAVING COUNT(*) < 4"""))

@@ -40,7 +40,7 @@ def q_records(roles):
     return sinks.as_json(ov.store_summary(roles).withColumn("ratio", F.col("rentals") / F.col("customers")))
 
 
-@register("answer_bundle_store_summary", with_roles(f"""
+_STORES = f"""
 , agg AS (
   SELECT i.store_id, SUM(p.amount) AS rev, COUNT(r.rental_id) AS rentals, COUNT(DISTINCT r.customer_id) AS customers
   FROM rental r JOIN inventory i ON r.inventory_id = i.inventory_id LEFT JOIN payment p ON p.rental_id = r.rental_id
@@ -51,12 +51,24 @@ SELECT 'Store ' || CAST(store_id AS VARCHAR) AS store, CAST(ROUND(rev, 2) AS DOU
        row_number() OVER (ORDER BY rev DESC NULLS FIRST, store_id) = 1 AS leader,
        CAST(ROUND(MAX(rev) OVER () - rev, 2) AS DOUBLE) AS revenue_gap,
        MAX(rentals) OVER () - rentals AS rentals_gap
-FROM agg"""))
+FROM agg"""
+
+
+@register("answer_bundle_store_summary", with_roles(_STORES))
 def q_bundle(roles):
     """The store table, read back from the answer bundle of the input version."""
     return answers(roles)["store_summary"]
 
 
+@register("records_json_round_trip", with_roles(_STORES.replace("AS rentals_gap", "AS rentals_gap, "
+                                                                "CASE WHEN rentals > 0 THEN CAST(rentals AS DOUBLE) / customers END AS ratio")))
+def q_records_round_trip(roles):
+    """The store summary as JSON records, read back; a ratio that is not a finite number comes back as null."""
+    from ..plans import overview as ov
+    rows = ov.store_summary(roles).withColumn("ratio", F.when(F.col("rentals") > 0, F.col("rentals") / F.col("customers")).otherwise(float("nan")))
+    return sinks.as_json(rows).select(F.from_json("record", rows.schema).alias("r")).select("r.*")
+
+
 BATCH = {
     "stores": "SELECT store_id, COUNT(*) AS n FROM inventory GROUP BY store_id",
     "months": "SELECT date_format(rental_date, 'yyyy-MM') AS m, COUNT(*) AS n FROM rental GROUP BY 1",

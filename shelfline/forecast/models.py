@@ -14,8 +14,8 @@ moving average its rounded clipped value.
   (sums over the training windows, computed by Spark), then a k<=6 solve per
   series in a tiny ``mapInPandas`` over one row per series.
 * moving average (F13): native array expressions, no UDF.
-* trees (F10-F12): pooled over the panel on min-max scaled lags with
-  ``pyspark.ml`` (random forest, decision tree, gradient-boosted trees).
+* trees (F10-F12): pooled over the panel on min-max scaled lags: random forest and decision tree with
+  ``pyspark.ml``, boosting with it or, second order, as grouped aggregates (:mod:`.boosting`).
 * ARIMA (F14): one row of values per series, batches of series through numpy
   in ``mapInPandas``; Hannan-Rissanen estimation.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import py_round
 from ..session import cut
+from . import boosting
 from .panel import MAX_LAGS, clip, scaled, unscaled
 
 PRED_SCHEMA = "series_id string, model string, kind string, step int, actual double, yhat double"
@@ -144,45 +145,65 @@ def moving_average(panel: DataFrame, info: DataFrame, horizon: int) -> DataFrame
 
 
 # ----------------------------------------------------------------------------- pooled trees
+def _lags(vals, k):
+    """Lag features (most recent first, 0 beyond k), scaled by what the training windows show."""
+    return [F.when(F.lit(j) <= k, scaled(F.coalesce(F.try_element_at(vals, F.lit(-j)), F.col("tmin")), "tmin", "tmax"))
+            .otherwise(F.lit(0.0)) for j in range(1, MAX_LAGS + 1)]
+
+
 def _features(vals, k):
-    """Lag features (most recent first, 0 beyond k), scaled by what the training windows show, plus k itself."""
+    """The lags and k itself, as MLlib takes them."""
     from pyspark.ml.functions import array_to_vector
-    cols = [F.when(F.lit(j) <= k, scaled(F.coalesce(F.try_element_at(vals, F.lit(-j)), F.col("tmin")), "tmin", "tmax"))
-            .otherwise(F.lit(0.0)) for j in range(1, MAX_LAGS + 1)]
-    return array_to_vector(F.array(*cols, k.cast("double")))
+    return array_to_vector(F.array(*_lags(vals, k), k.cast("double")))
+
+
+def _bins(vals, k):
+    """The same, binned for boosting; k on a scale of 0 to 1."""
+    return boosting.binned(F.array(*_lags(vals, k), k / F.lit(MAX_LAGS + 2.0)))
 
 
 def tree_models(panel: DataFrame, info: DataFrame, horizon: int, kinds=("random_forest", "decision_tree", "xgboost"),
-                seed: int = 42, partitions: int = 8) -> DataFrame:
-    """F10-F12.  MLlib draws its samples per partition, so the fitted trees depend on the partitioning: it is a hash of
+                seed: int = 42, partitions: int = 8, boost: boosting.Settings | None = None) -> DataFrame:
+    """F10-F12.  MLlib draws its samples per partition, so its fitted trees depend on the partitioning: it is a hash of
     the series into ``partitions`` (a parameter of the model, to be raised with the panel) in a fixed order, never a
-    function of the rows or the cluster's cores."""
+    function of the rows or the cluster's cores.  With ``boost`` the boosted model is the second-order one with these
+    settings (``boosting.Settings()`` are the original's), which draws by hash and does not depend on the partitioning; it takes
+    rounds x depth small Spark jobs, some minutes of scheduling at 200 rounds, so MLlib's first-order one is the default."""
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-    w = panel.where(F.col("win").isNotNull()).withColumn("features", _features(F.col("win"), F.col("k"))) \
-        .withColumn("label", scaled(F.col("y"), "tmin", "tmax"))
+    w = panel.where(F.col("win").isNotNull()).withColumn("label", scaled(F.col("y"), "tmin", "tmax"))
     # iterative learners re-read their input every round: cut the lineage once.
     # The table is one row per training window (series x months), a bounded panel.
     train = cut(w.where("is_train").repartition(partitions, "series_id").sortWithinPartitions("series_id", "t")
-                .select("features", "label"))
+                .select("series_id", "t", _features(F.col("win"), F.col("k")).alias("features"), _bins(F.col("win"), F.col("k")).alias("bins"), "label"))
+
+    def forest(estimator):
+        model = estimator.fit(train.select("features", "label"))
+        return lambda df, vals: model.transform(df.withColumn("features", _features(vals, F.col("k")))).drop("features")
+
+    def boosted():
+        if boost is None:
+            return forest(GBTRegressor(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed))
+        model = boosting.train(train, MAX_LAGS + 1, boost)
+        return lambda df, vals: df.withColumn("prediction", boosting.predicted(model, _bins(vals, F.col("k"))))
+
     makers = {
-        "random_forest": lambda: RandomForestRegressor(numTrees=200, maxDepth=6, featureSubsetStrategy="all", seed=seed),
-        "decision_tree": lambda: DecisionTreeRegressor(maxDepth=4, seed=seed),
-        "xgboost": lambda: GBTRegressor(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
-                                        featureSubsetStrategy="0.8", seed=seed),
+        "random_forest": lambda: forest(RandomForestRegressor(numTrees=200, maxDepth=6, featureSubsetStrategy="all", seed=seed)),
+        "decision_tree": lambda: forest(DecisionTreeRegressor(maxDepth=4, seed=seed)),
+        "xgboost": boosted,
     }
     out = None
     for name in kinds:
-        model = makers[name]().fit(train)
-        scored = model.transform(w).withColumn("yhat", unscaled(F.col("prediction"), "tmin", "tmax"))
+        predict = makers[name]()
+        scored = predict(w, F.col("win")).withColumn("yhat", unscaled(F.col("prediction"), "tmin", "tmax"))
         rows = _rows(scored, name, F.col("yhat"))
         # recursive forecast, feeding back the unclipped prediction
         state = info.withColumn("vals", F.col("tail")).withColumn("outs", F.array().cast("array<double>"))
         for _ in range(horizon):
-            state = (model.transform(state.withColumn("features", _features(F.col("vals"), F.col("k"))))
+            state = (predict(state, F.col("vals"))
                      .withColumn("p", unscaled(F.col("prediction"), "tmin", "tmax"))
                      .withColumn("vals", F.concat("vals", F.array("p")))
                      .withColumn("outs", F.concat("outs", F.array("p")))
-                     .drop("features", "prediction", "p"))
+                     .drop("prediction", "p"))
         fut = _future(state, name, F.col("outs"), horizon, start_at_tail=False)
         part = rows.unionByName(fut)
         out = part if out is None else out.unionByName(part)

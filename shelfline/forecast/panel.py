@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
+from ..operators.cells import facts
 from ..operators.fact import bare_paid_rentals, paid_rentals
 from ..sources.roles import Roles
 
@@ -40,13 +41,14 @@ def monthly_series(roles: Roles, by: str = "all") -> DataFrame:
     """(series_id, period, y) with y = monthly revenue > 0.
 
     ``by``: 'all' (the reference's single series, rental ⟕ payment), 'store',
-    'customer' or 'category'."""
-    if by == "all":
-        base, key = bare_paid_rentals(roles), F.lit("all")
+    'customer', 'category' or 'film'."""
+    if by in ("all", "store"):  # from the stored cells
+        base = facts(roles, joined=by == "store").withColumn("rental_date", F.concat("month", F.lit("-01")))
+        key = F.lit("all") if by == "all" else F.col("store_id").cast("string")
     elif by == "customer":
         base, key = bare_paid_rentals(roles), F.col("customer_id").cast("string")
-    elif by == "store":
-        base, key = paid_rentals(roles), F.col("store_id").cast("string")
+    elif by == "film":
+        base, key = paid_rentals(roles), F.col("film_id").cast("string")
     elif by == "category":
         fc = roles.film_category.join(roles.category, "category_id").select("film_id", "name")
         per_film = paid_rentals(roles).groupBy("film_id", month_start("rental_date").alias("rental_date")).agg(F.sum("paid").alias("paid"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from . import ensemble as en
 from . import models as md
 from . import scoring as sc
+from .boosting import Settings
 from .panel import clamp_horizon, future_labels, prepare, rejects, series_info
 
 DEFAULT_MODELS = ("linear_regression", "moving_average", "random_forest", "decision_tree", "xgboost", "arima")
@@ -45,9 +46,9 @@ class Forecast:
 
 
 def run_forecast(series: DataFrame, horizon=3, models=DEFAULT_MODELS, guard_target: str | None = "auto",
-                 strict_compat: bool = True, extra_predictions: DataFrame | None = None) -> Forecast:
+                 strict_compat: bool = True, extra_predictions: DataFrame | None = None, boost: Settings | None = None) -> Forecast:
     """``series``: (series_id, period DATE, y DOUBLE).  ``extra_predictions`` lets
-    externally trained models (same long schema) enter scoring and the ensemble.  The guard (F21) watches the
+    externally trained models (same long schema) enter scoring and the ensemble; ``boost`` asks for second-order boosting.  The guard (F21) watches the
     transformer where extra predictions bring one, else the boosted trees."""
     h = clamp_horizon(horizon)
     panel = prepare(series)
@@ -59,7 +60,7 @@ def run_forecast(series: DataFrame, horizon=3, models=DEFAULT_MODELS, guard_targ
         parts.append(md.moving_average(panel, info, h))
     trees = tuple(m for m in ("random_forest", "decision_tree", "xgboost") if m in models)
     if trees:
-        parts.append(md.tree_models(panel, info, h, trees))
+        parts.append(md.tree_models(panel, info, h, trees, boost=boost))
     if "arima" in models:
         parts.append(md.arima(panel, h))
     if extra_predictions is not None:

@@ -36,7 +36,7 @@ STEM_ENDINGS = 5
 EXPLAINED = 4
 FUZZY_FROM = 5
 WINDOW = 8
-CACHE = 300_000
+CACHE, STATES = 300_000, 50_000  # words; states of the automaton, about 1 kB each, in every worker
 WORD = re.compile(r"\w+")
 QUOTES = re.compile("[\"“”„«»‹›]")
 # Words that report speech, and words that address the reader.
@@ -121,7 +121,7 @@ class Automaton:
             if state is None:
                 break
         if state is None:
-            if len(self.states) > CACHE:  # between words only: a word keeps the states it goes through
+            if len(self.states) > STATES:  # between words only: a word keeps the states it goes through
                 self._open()
                 contents = self.contents
             state = self.start

@@ -44,7 +44,7 @@ def test_full_tables_start_anew_between_words(monkeypatch):
     stems = [e[:4] for e in entries[:5]]
     whole = Automaton(entries, stems, set(entries))
     expected = [whole.find(w) for w in words]
-    monkeypatch.setattr(toxicity, "CACHE", 40)
+    monkeypatch.setattr(toxicity, "STATES", 40)
     small = Automaton(entries, stems, set(entries))
     assert [small.find(w) for w in words] == expected and any(expected) and len(small.states) < len(whole.states)
 

@@ -1,6 +1,7 @@
 """Packing of tokenized documents into sequences by minimum bin slack.
 
-Documents become token ids and an end id; longer ones are cut into pieces of the capacity.  What fills a bin best
+Documents become token ids and an end id; longer ones are cut into pieces of the capacity, of which the first may be
+shorter: the rest of the division comes first, all later pieces are full.  What fills a bin best
 depends on lengths alone, and there are at most ``capacity`` of them, so the plan is made from their histogram:
 the largest length left opens a bin, a bitset subset-sum over the lengths left (each as often as it is left) finds
 the fullest combination that fits, and the combination is taken as often as the counts allow, which makes as many
@@ -46,10 +47,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 rows, out = [], []
                 for i, parts in enumerate(ids_of.encode(batch.column(1).slice(at, 256).to_pylist())):
                     ids = memoryview(b"".join([*parts, end]))
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[start:start + 4 * capacity]
+                    n = len(ids) // 4
+                    for k, end_at in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
+                        start = max(0, end_at - capacity)
+                        piece = ids[4 * start:4 * end_at]
                         rows.append(i)
-                        out.append((k, start // 4, len(piece) // 4, zlib.crc32(piece)))
+                        out.append((k, start, end_at - start, zlib.crc32(piece)))
                 owner = batch.column(0).slice(at, 256).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([owner, *(pa.array([x[k] for x in out], pa.int32() if k == 0 else pa.int64()) for k in range(4))],
                                                  names=["doc_id", *names])

@@ -60,6 +60,19 @@ def test_packing_round_trip(spark, frame, messy, tokenizer):
     assert len(twice) == 3 and len({r.offset for r in twice}) == 3
 
 
+def test_only_the_first_piece_is_shorter(spark, frame, tokenizer):
+    rows = [(i, "word " * n + "end") for i, n in enumerate((0, 5, 6, 7, 12, 13, 14, 20, 61))] + [(100, None)]
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for d, t in rows}
+    assert {len(x) % 8 for x in ids.values()} >= {0, 1, 7}
+    want = set()
+    for d, x in ids.items():
+        ends = list(range(len(x), 0, -8))[::-1]
+        for k, (start, end) in enumerate(zip([0, *ends], ends)):
+            want.add((d, k, start, end - start, zlib.crc32(np.array(x[start:end], "<u4").tobytes())))
+    got = packed(spark, frame(rows), capacity=8).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+
+
 def test_fullest_is_optimal():
     from itertools import product
     counts = {7: 2, 5: 1, 4: 3, 3: 1}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fixtures import D, roles_of, ts
 from shelfline.functions import dates
+from shelfline.operators import cells
 from shelfline.operators.filters import Filters
 from shelfline.plans import customers as cu
 from shelfline.plans import inventory as inv
@@ -150,3 +151,13 @@ def test_ratios_without_payment_or_spread(spark):
     roles = roles_of(spark, rental=[rental(1, "2024-01-05"), rental(2, "2024-02-05")], payment=[(1, D("2.00")), (2, D("2.00"))])
     months = [r for r in tr.unusual(roles).collect() if r.kind == "month"]
     assert [(r.z, r.unusual) for r in months] == [(None, False)] * 2
+
+
+def test_durations_beyond_a_long_of_microseconds(spark):
+    roles = roles_of(spark, rental=[(k, ts("1000-01-05"), ts("9000-01-05"), 1, 1, "s1") for k in range(60)])
+    hours = 24.0 * (ts("9000-01-05") - ts("1000-01-05")).days
+    assert [r.avg_hours for r in pa.avg_duration_by_dow(roles).collect()] == [hours]
+    assert [r.percent for r in sh.share(roles, "chart-avg-dur").collect()] == [100.0]
+    fact = roles.rental.select("rental_date", "return_date", F.lit(1).alias("store_id"), F.lit(100001).alias("rental_month"),
+                               F.lit(1).cast("long").alias("rows"), F.lit(True).alias("rental_first"), F.lit(D("1.00")).alias("paid"))
+    assert [int(r.micros) for r in cells.rental_cells(fact).collect()] == [60 * int(hours) * 3_600_000_000]

@@ -1,5 +1,6 @@
 """Month-wise refresh of the star, stored cells and sketches, the answer bundle."""
 
+import dataclasses
 import datetime as dt
 import os
 import re
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from shelfline.operators import cells
 from shelfline.operators.fact import paid_rentals
 from shelfline.operators.filters import Filters
+from shelfline.plans import inventory as inv
 from shelfline.plans import overview as ov
 from shelfline.plans import patterns as pa
 from shelfline.reports import bundle
-from shelfline.sources import star
+from shelfline.sources import star, testdata
 from shelfline.sources.testdata import TABLES, load_roles
+from shelfline.text import tagging as tg
 
 SF = "/root/testdata/sf0.001"
 FULL = "/root/testdata/sf0.01"
@@ -125,3 +128,31 @@ def test_signatures_follow_files(spark, tmp_path):
     spark.range(5).write.mode("append").parquet(a)
     two = star.input_signatures(spark, [a, b])
     assert two[a] != one[a] and two[b] == one[b]
+
+
+def test_a_mart_builds_what_it_reads(spark, copy, monkeypatch):
+    built = []
+    fact, materialize = testdata.monthly_fact, star.materialize
+    monkeypatch.setattr(testdata, "monthly_fact", lambda *a: built.append("fact") or fact(*a))
+    monkeypatch.setattr(star, "materialize", lambda s, name, *a: built.append(name) or materialize(s, name, *a))
+    roles = load_roles(spark, copy)
+    tg.commands(roles.conversations).collect()
+    assert built == []
+    pa.hour_dow_cube(roles, Filters.of(1, None)).collect()
+    assert built == ["activity_cells"]
+    ov.trend(roles).collect()
+    pa.days(roles).collect()
+    assert built == ["activity_cells", "fact"]
+    inv.film_utilization(roles).collect()
+    assert sorted(built) == ["activity_cells", "fact", "film_category_named", "units"]
+
+
+def test_lines_are_sorted_in_parts_that_follow_their_bytes(spark, copy, monkeypatch):
+    monkeypatch.setattr(testdata, "LINE_BYTES", 10_000)
+    lines = spark.read.parquet(f"{copy}/lineitem.parquet")
+    parts = testdata.line_partitions(spark, lines)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    roles = load_roles(spark, copy)
+    assert rows_of(roles.rental_paid) == rows_of(load_roles(spark, copy, materialized=False).rental_paid)
+    monkeypatch.setattr(testdata, "LINE_BYTES", 1 << 40)
+    assert testdata.line_partitions(spark, lines) is None

@@ -78,13 +78,23 @@ def utilization_bar(util, full_at: float = 30.0):
 def film_utilization(roles: Roles, f: Filters = NO_FILTERS, k: int = 15) -> DataFrame:
     """Q7: per (title, category) copies, times rented, rentals per copy, revenue; top k by
     utilisation.  Month predicate in the ON clause (unrented units stay), store in WHERE."""
-    u = units_with_activity(roles, f)
-    fc = film_categories(roles)
-    agg = (u.join(roles.film.select("film_id", "title"), "film_id").join(fc, "film_id")
-           .groupBy("title", F.col("name").alias("category"))
-           .agg(F.countDistinct("inventory_id").alias("copies"),
-                F.sum("unit_rows").alias("times_rented"),
-                zero_if_null(F.sum("unit_paid")).alias("_rev")))
+    titles = roles.film.select("film_id", "title").join(film_categories(roles), "film_id")
+    key = ["title", F.col("name").alias("category")]
+    if roles.units_keyed:
+        # units and rentals are reduced to the film on their own: neither is sorted or hashed by unit
+        copies = units(roles, f).groupBy("film_id").agg(F.count(F.lit(1)).alias("copies"))
+        act = (paid_rentals(roles, f).where(F.col("store_id").isNotNull()).groupBy("film_id")
+               .agg(F.sum("rows").alias("film_rows"), F.sum("paid").alias("film_paid")))
+        # a film's row may repeat: its copies count once under a title and category, its rentals with every row
+        per_film = (copies.join(act, "film_id", "left").join(titles, "film_id").groupBy(*key, "film_id")
+                    .agg(F.max("copies").alias("copies"), F.sum(F.coalesce("film_rows", F.lit(0))).alias("film_rows"), F.sum("film_paid").alias("film_paid")))
+        agg = per_film.groupBy("title", "category").agg(
+            F.sum("copies").alias("copies"), F.sum("film_rows").alias("times_rented"), zero_if_null(F.sum("film_paid")).alias("_rev"))
+    else:
+        agg = (units_with_activity(roles, f).join(titles, "film_id").groupBy(*key)
+               .agg(F.countDistinct("inventory_id").alias("copies"),
+                    F.sum("unit_rows").alias("times_rented"),
+                    zero_if_null(F.sum("unit_paid")).alias("_rev")))
     out = agg.select("title", "category", "copies", "times_rented",
                      safe_ratio(F.col("times_rented").cast("decimal(20,0)"), F.col("copies"))
                      .cast("double").alias("util_rate"),

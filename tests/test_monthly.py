@@ -156,3 +156,20 @@ def test_lines_are_sorted_in_parts_that_follow_their_bytes(spark, copy, monkeypa
     assert rows_of(roles.rental_paid) == rows_of(load_roles(spark, copy, materialized=False).rental_paid)
     monkeypatch.setattr(testdata, "LINE_BYTES", 1 << 40)
     assert testdata.line_partitions(spark, lines) is None
+
+
+def test_film_utilization_by_film(spark, copy):
+    # some films twice, one of them under another title, one without a category
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    more = part.where("p_partkey % 3 = 0").withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit("Other")).otherwise(F.col("p_name")))
+    more.unionByName(more.limit(1).withColumn("p_type", F.lit(None).cast("string"))).write.mode("append").parquet(f"{copy}/part.parquet")
+    roles = load_roles(spark, copy)
+    assert roles.units_keyed
+    by_unit = dataclasses.replace(roles, units_keyed=False)
+    for f in (Filters(), Filters.of(1, None), Filters.of(None, "1995-03"), Filters.of(2, "1996-07")):
+        df = inv.film_utilization(roles, f, k=10_000)
+        assert rows_of(df) == rows_of(inv.film_utilization(by_unit, f, k=10_000)) and df.count() > 100
+        assert "inventory_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # a supplier that is there twice has two rows a unit
+    spark.read.parquet(f"{SF}/supplier.parquet").limit(1).write.mode("append").parquet(f"{copy}/supplier.parquet")
+    assert not load_roles(spark, copy, refresh=True).units_keyed

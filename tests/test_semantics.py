@@ -161,3 +161,13 @@ def test_durations_beyond_a_long_of_microseconds(spark):
     fact = roles.rental.select("rental_date", "return_date", F.lit(1).alias("store_id"), F.lit(100001).alias("rental_month"),
                                F.lit(1).cast("long").alias("rows"), F.lit(True).alias("rental_first"), F.lit(D("1.00")).alias("paid"))
     assert [int(r.micros) for r in cells.rental_cells(fact).collect()] == [60 * int(hours) * 3_600_000_000]
+
+
+def test_actors_count_each_film_once(spark):
+    pairs = [(1, 100), (1, 100), (2, 100), (1, 101), (1, None), (2, None), (None, 101), (9, 101)]
+    roles = roles_of(spark, film_actor=pairs, rental=[rental(1, "2024-01-05"), rental(2, "2024-01-06", inv_id=3)], payment=[(1, D("2.00"))])
+    df = lb.actors(roles)
+    assert sorted(tuple(r) for r in df.select("films", "total_rentals", "revenue").collect()) == [(1, 1, 2.0), (2, 3, 4.0)]
+    # no hash table of pairs
+    by_actor = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [actor_id" in x]
+    assert by_actor and not any("distinct" in x for x in by_actor)

@@ -118,6 +118,39 @@ def test_a_slot_that_varies_anywhere_is_content(spark):
         assert got[1000 + k] == f"T {k}\n" + ("Odd\n" if k == 77 else "") + f"text {k}"
 
 
+def test_wrappers_come_from_all_pages(spark):
+    # a box of 6 pages in 200, and a text beside the main region that 2 pages in 300 have otherwise: a dozen pages would not show them
+    rows = [(k, f"http://r.example/{k}", f"<article><h1>T {k}</h1>{'<section><p class=box>Always</p></section>' if k % 33 == 1 else '<section></section>'}<p>text {k}</p></article>")
+            for k in range(199)]
+    rows += [(1000 + k, f"http://m.example/{k}", f"<body><div class=top>{'Odd' if k in (77, 177) else 'Always'}</div><div class=post><h1>T {k}</h1><p>text {k}</p></div></body>")
+             for k in range(300)]
+    got = texts_of(spark, rows)
+    for k in range(199):
+        assert got[k] == f"T {k}\ntext {k}"
+    for k in range(300):
+        assert got[1000 + k] == ("Odd\n" if k in (77, 177) else "") + f"T {k}\ntext {k}"
+
+
+def test_copies_of_an_article_are_not_template(spark):
+    # equal main texts beside varying ones, dealt to any group
+    rows = [(k, f"http://c.example/{k}", f"<div class=top>Always</div><article><h1>One</h1><p>copy</p></article><!-- {k} -->") for k in range(150)]
+    assert set(texts_of(spark, rows).values()) == {"One\ncopy"}
+
+
+def test_skeletons_survive_their_rows():
+    rng = random.Random(2)
+
+    def grown(depth):
+        return "".join(f"<{t}>{rng.choice(['', 'a', 'b <i>c</i>'])}{grown(depth - 1)}</{t}>" for t in rng.choices(["div", "p", "b", "nav", "ul class='x y'"], k=rng.randint(0, 4 if depth else 0)))
+
+    for _ in range(100):
+        root = parse(grown(4))
+        top = he.skeleton(root)
+        again = he._grown(*he._flat(top))
+        assert top.digest == he._digest(root) and [x.digest for x in he._walk(top)] == [he._digest(x.source) for x in he._walk(top)]
+        assert [(x.name, x.digest, x.own, x.shown) for x in he._walk(top)] == [(x.name, x.digest, x.own, x.shown) for x in he._walk(again)]
+
+
 def recursive(a, b):
     """The textbook version."""
     if a.name != b.name:

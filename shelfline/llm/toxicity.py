@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, table
+from .pretokens import forget
 
 PER_CLASS, LEXICON = 4000, 2000
 MIN_EVIDENCE, MIN_RATIO = 30.0, math.log(8)
@@ -169,6 +170,7 @@ class Scorer:
         self.automaton, self.weights = automaton, weights
 
     def __call__(self, texts: pa.Array) -> pa.Array:
+        forget()
         x = np.array([features(self.automaton, t) for t in texts.to_pylist()], float).reshape(-1, 3)
         z = self.weights[0] + np.log1p(x) @ self.weights[1:]
         return pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))

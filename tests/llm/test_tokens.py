@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from shelfline.llm import pretokens
 from shelfline.llm.best_fit_packing import fullest, packed, plan
 from shelfline.llm.pretokens import vocabulary as vocabulary_file
 from shelfline.llm.token_counts import token_counts
@@ -91,3 +92,22 @@ def test_plan_uses_every_piece_once():
         assert seen[length] == first
         seen[length] += bins * copies
     assert dict(seen) == counts
+
+
+def test_new_pretokens_share_library_calls(messy, tokenizer, monkeypatch):
+    """Thousands of unseen pre-tokens cost the library a few texts, not one each, and have its ids; also when the cache overflows."""
+    sent = []
+    ids = pretokens.Encoder.ids
+    monkeypatch.setattr(pretokens.Encoder, "ids", lambda self, texts: sent.extend(texts) or ids(self, texts))
+    many = [" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}x{w}" for w in ("word", "'s", "_", "12", "#,")) + "\n\n \tend'll" for i in range(600)]
+    rows = [*many, *(t for _, t in texts(messy)), "\n", " ", "", None, "a\xa0 b\nc"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in rows]
+    encoder = pretokens.Encoder(vocabulary_file(), list)
+    sent.clear()
+    assert [sum(map(list, x), []) for x in encoder.encode(many)] == want[:600]
+    assert len(sent) < 100
+    monkeypatch.setattr(pretokens, "CACHE", 40)
+    small = pretokens.Encoder(vocabulary_file(), list, {" the": tokenizer.encode(" the", add_special_tokens=False).ids})
+    for at in range(0, len(rows), 7):
+        assert [sum(map(list, x), []) for x in small.encode(rows[at:at + 7])] == want[at:at + 7]
+    assert " the" in small.cache
